@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import length_histogram, sharding, url_reputation
+from . import decontamination, length_histogram, repeats, sharding, url_reputation
 from .common import table
 
 
@@ -15,10 +15,18 @@ def op2_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram.histogram(length_histogram.counted(table(spark, sf_dir, "documents")))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome of a page: its document (the number in its path) is labelled toxic or of low quality."""
     pages = table(spark, sf_dir, "pages")
@@ -77,10 +85,13 @@ select page_id, host, path, rule, coalesce(ruled, case when b > 0.3 then 'block'
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_length_histogram": op2_length_histogram,
+    "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
+    "op7_repeats": op7_repeats,
     "op8_url_reputation": op8_url_reputation,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": decontamination.leaks_sql(),
     "op8_url_reputation": _op8_sql(),
 }
