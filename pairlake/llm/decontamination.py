@@ -152,7 +152,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 def leaks_sql(docs: str = "documents") -> str:
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     words = f"regexp_extract_all({lower}, '[^\\x20\\x09-\\x0D]+')"
-    shingles = "case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end"
+    shingles = "case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end"
     return f"""
 with dw as (select doc_id, {words} as w from {docs}),
   iw as (select distinct item_id, {words} as w from benchmark),
