@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, length_histogram, repeats, sharding, url_reputation
+from . import decontamination, jaccard_join, length_histogram, repeats, sharding, url_reputation
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(pages, outcomes)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(table(spark, sf_dir, "documents"))
+
+
 def _op8_sql() -> str:
     rules = sorted(url_reputation.RULES, key=lambda r: -len(r[1] + r[2]))
     fits = lambda host, path: f"(host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}')"
@@ -89,9 +93,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_repeats": op7_repeats,
     "op8_url_reputation": op8_url_reputation,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontamination.leaks_sql(),
     "op8_url_reputation": _op8_sql(),
+    "op10_jaccard_join": jaccard_join.groups_sql(),
 }
