@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textvec
+
 #: Rows that go from blocks to buckets and back: kind tells the messages apart.
 MESSAGE = "block int, kind int, bucket long, payload binary"
 FIELDS = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int64()), ("payload", pa.binary())])
@@ -40,13 +42,24 @@ def firsts(classes: DataFrame, blocks: int) -> DataFrame:
 
 def on_blocks(docs: DataFrame, messages: DataFrame, step: Callable[[pa.Table, pa.Table], pa.Table], schema: str, blocks: int) -> DataFrame:
     """``step`` of each block's documents and the messages to it."""
+    def whole(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = step(left, right)
+        textvec.give_back()
+        return out
+
     right = messages.repartition(blocks, "block")
-    return docs.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(step, schema)
+    return docs.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(whole, schema)
 
 
 def on_buckets(messages: DataFrame, step: Callable[[pa.Table], pa.Table], buckets: int) -> DataFrame:
     """``step`` of all that was sent to a bucket."""
-    return messages.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(step, MESSAGE)
+
+    def whole(sent: pa.Table) -> pa.Table:
+        out = step(sent)
+        textvec.give_back()
+        return out
+
+    return messages.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(whole, MESSAGE)
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -284,16 +284,14 @@ def _compare_strings(length: int):
         starts = np.cumsum(size) - size
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts, count)
         owner = np.repeat(least, count)
-        wide = np.concatenate([text, np.zeros(8, np.uint8)]).astype(_U)
-        pairs = (wide[:-1] << _U(8)) | wide[1:]
-        fours = (pairs[:-2] << _U(16)) | pairs[2:]
-        eights = (fours[:-4] << _U(32)) | fours[4:]
+        # eight bytes at any place as one big-endian number, read where they stand
+        eights = np.ndarray(len(text) - 7, ">u8", text, strides=(1,))
 
         def digits() -> Iterator[np.ndarray]:
             for d in range(0, length - 7, 8):
-                yield eights[at + d]
+                yield eights[at + d].astype(_U)
             if length % 8:
-                yield eights[at + length - 8]
+                yield eights[at + length - 8].astype(_U)
 
         member, group = radix_groups(digits(), len(at))
         smaller = np.zeros(len(at), bool)

@@ -8,17 +8,26 @@ about ``PASS_BYTES``; a longer text is a pass of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 18
 
 _U = np.uint64
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are kept between tasks and share a node with others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The SplitMix64 finaliser: a bijection of 64-bit words."""
     x = x ^ (x >> _U(30))
