@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, length_histogram, repeats, sharding, url_reputation
+from . import decontamination, jaccard_join, length_histogram, outliers, repeats, sharding, url_reputation
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(pages, outcomes)
 
 
+def op9_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judged(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.groups(table(spark, sf_dir, "documents"))
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_repeats": op7_repeats,
     "op8_url_reputation": op8_url_reputation,
+    "op9_outliers": op9_outliers,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
