@@ -7,14 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, length_histogram, outliers, repeats, sharding, url_reputation
+from . import (
+    decontamination,
+    jaccard_join,
+    length_histogram,
+    outliers,
+    quality_model,
+    repeats,
+    secrets,
+    sentencepiece_backend,
+    sharding,
+    url_reputation,
+)
 from .common import table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram.histogram(length_histogram.counted(table(spark, sf_dir, "documents")))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_backend.encoded(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality_model.score(documents, quality_model.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -92,7 +116,10 @@ select page_id, host, path, rule, coalesce(ruled, case when b > 0.3 then 'block'
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_length_histogram": op2_length_histogram,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_quality_model": op4_quality_model,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
     "op7_repeats": op7_repeats,

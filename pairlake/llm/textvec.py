@@ -48,6 +48,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
+#: Bytes of letters: a-z, A-Z and all of non-ASCII characters.
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 _BASE, _STEP = int(spread(1, 77)[0]) | 1, _U(int(spread(1, 78)[0]) | 1)
 _powers = (np.ones(1, _U), np.ones(1, _U))
 
@@ -91,7 +94,8 @@ def passes(texts: pa.Array, limit: int = PASS_BYTES) -> Iterator[tuple[int, int,
 class Words:
     """The words of a pass: byte spans, 64-bit hashes, and the words of row r at first[r]:first[r+1]."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = _WORD) -> None:
+        """``inside`` tells which bytes belong to words."""
         n = len(data)
         self.data, self.offsets = data, offsets
         self.first = np.zeros(len(offsets), np.int64)
@@ -99,7 +103,7 @@ class Words:
         self.hashes = np.zeros(0, _U)
         if not n:
             return
-        word = _WORD[data]
+        word = inside[data]
         before = np.empty(n, bool)
         before[0], before[1:] = False, word[:-1]
         before[offsets[:-1][offsets[:-1] < n]] = False
@@ -115,6 +119,18 @@ class Words:
             np.cumsum(_BYTE[_LOWER[data]] * up[:n], out=sums[1:])
             raw = (sums[self.ends] - sums[self.starts]) * down[self.starts]
             self.hashes = mix(raw + (self.ends - self.starts).astype(_U) * _STEP)
+        self._sums, self._down = sums, down
+
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+    def prefixes(self, size: int) -> np.ndarray:
+        """Hashes of each word's first ``size`` bytes."""
+        if not len(self.starts):
+            return self.hashes
+        end = np.minimum(self.starts + size, self.ends)
+        with np.errstate(over="ignore"):
+            return mix((self._sums[end] - self._sums[self.starts]) * self._down[self.starts] ^ _STEP)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
