@@ -1,8 +1,72 @@
-"""The corpus pipeline: stages applied one after another to ``documents``."""
+"""The corpus pipeline: stages applied one after another to ``documents``.
 
-STAGES = []
+Each stage gets the rows that its predecessor kept and returns documents again, with
+all their columns; the last returns their token ids. ``run`` writes each stage's
+rows to the shared folder as Parquet and reads them back for the next.
+
+Defined results: a row without a doc_id has no identity for the joins by which
+decisions take effect, so the first two stages drop it and the next two keep it as
+it is. A null text has no words and goes in the first stage; later stages pass it
+on. Rows that repeat a doc_id share its decisions, and the second stage keeps one of
+them. Extra columns pass through all stages but the last. An empty table gives no
+rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairlake.llm import decontamination, jaccard_join, outliers, secrets, sentencepiece_backend
+from pairlake.llm.common import staged, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the outlier test keep."""
+    kept = outliers.judged(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    groups = jaccard_join.groups(docs)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which no benchmark item leaks."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by a mark."""
+    found = secrets.scan(docs).where("spans <> ''").select(F.col("doc_id").alias("found_id"), "spans")
+    return secrets.redacted(docs.join(found, F.col("doc_id") == F.col("found_id"), "left").drop("found_id")).select(docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, parity, round_trip."""
+    return sentencepiece_backend.encoded(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("secret scans", without_secrets),
+    ("SentencePiece encoding", token_ids),
+]
+
+#: Outlier estimates, secret tests and token ids cannot be written in SQL; the stages have brute-force tests.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = staged(docs, f"stage-{i}")
+    return docs
