@@ -10,7 +10,8 @@ in a posting list pass the length filter and the positional filter in the join,
 suffix filter before the shingle sets are intersected, and each is verified once.
 
 Groups need no pair twice over: in rounds, each class is paired with the one pivot
-that it shares most postings with, links are merged into components, and only lists
+that it shares most postings with (of a list, the class with the least share of
+shingles of its own is the pivot), links are merged into components, and only lists
 that still hold several components go on, with other pivots. What is left after the
 rounds is joined in full: all pairs of different components in a list, from the side
 of those outside the list's largest component. So no link is lost, and a large group
@@ -222,7 +223,8 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _grouped(sets: DataFrame) -> DataFrame:
     """(doc, comp): the component of each class that posts."""
     posting = sets.where(F.col("post").isNotNull())
-    lists = posting.select("doc", "n", F.explode(F.arrays_zip("post", "pos")).alias("p")).select("doc", "n", F.col("p.post").alias("token"), F.col("p.pos").alias("pos"))
+    lists = posting.select("doc", "n", (F.get("pos", F.lit(0)) / F.col("n")).alias("own"), F.explode(F.arrays_zip("post", "pos")).alias("p"))
+    lists = lists.select("doc", "n", "own", F.col("p.post").alias("token"), F.col("p.pos").alias("pos"))
     labels = cut(posting.select("doc", F.col("doc").alias("comp")))
     tried = None
 
@@ -230,9 +232,13 @@ def _grouped(sets: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
 
-    for k in range(ROUNDS + 1):
+    k = 0
+    while k <= ROUNDS:
         now = lists.join(labels, "doc")
-        key = F.struct(F.xxhash64("doc", F.lit(k)).alias("h"), F.col("doc").alias("p_doc"), F.col("n").alias("p_n"), F.col("pos").alias("p_pos"), F.col("comp").alias("p_comp"))
+        # the first pivot of a list has the least share of shingles of its own: of near copies, that
+        # is the one nearest to what they were made from; later ones are so among a part of the list
+        part = F.pmod(F.xxhash64("doc", F.lit(k)), F.lit(4 if k else 1))
+        key = F.struct(part.alias("h"), "own", F.col("doc").alias("p_doc"), F.col("n").alias("p_n"), F.col("pos").alias("p_pos"), F.col("comp").alias("p_comp"))
         pivots = now.groupBy("token").agg(F.min(key).alias("p"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
         if k < ROUNDS:
             met = now.join(pivots.select("token", "p.*"), "token").where(F.col("comp") != F.col("p_comp"))
@@ -251,13 +257,13 @@ def _grouped(sets: DataFrame) -> DataFrame:
             met = met.where(_filters(F.col("n"), F.col("l_n"), F.col("pos"), F.col("l_pos")))
             pairs = met.select(F.col("l_doc").alias("a"), F.col("doc").alias("b"))
         pairs = new(pairs)
-        if pairs.isEmpty():
-            if k < ROUNDS:
-                continue
-            break
+        if pairs.isEmpty():  # pivots have nothing left to tell
+            k = ROUNDS if k < ROUNDS else ROUNDS + 1
+            continue
         links = cut(verify(pairs, posting))
         labels = _relabelled(labels, links)
         tried = pairs if tried is None else tried.unionByName(pairs)
+        k += 1
     return labels
 
 
