@@ -40,7 +40,8 @@ NO_ID = (1 << 63) - 1
 RESULT = "digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 _U = np.uint64
-_HOT = 2
+#: Text in a block, and parts of a bucket that are sorted apart: bounds of a worker's memory.
+BLOCK_BYTES, PARTS = 4 << 20, 8
 
 
 def _sliding(a: np.ndarray, width: int, pick) -> np.ndarray:
@@ -280,25 +281,24 @@ def _compare_strings(length: int):
             leasts.append(np.frombuffer(raw, np.int64, n, 8 + n))
             texts.append(np.frombuffer(raw, np.uint8, -1, 8 + 9 * n))
         size, least, text = np.concatenate(sizes), np.concatenate(leasts), np.concatenate(texts)
+        del texts
         count = size - length + 1
         starts = np.cumsum(size) - size
-        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts, count)
-        owner = np.repeat(least, count)
+        record = np.repeat(np.arange(len(size), dtype=np.int32), count)
+        at = (np.arange(count.sum(), dtype=np.int64) - np.repeat(np.cumsum(count) - count - starts, count)).astype(np.int32)
         # eight bytes at any place as one big-endian number, read where they stand
         eights = np.ndarray(len(text) - 7, ">u8", text, strides=(1,))
-
-        def digits() -> Iterator[np.ndarray]:
-            for d in range(0, length - 7, 8):
-                yield eights[at + d].astype(_U)
-            if length % 8:
-                yield eights[at + length - 8].astype(_U)
-
-        member, group = radix_groups(digits(), len(at))
+        part = (textvec.mix(eights[at].astype(_U)) % _U(PARTS)).astype(np.uint8)
         smaller = np.zeros(len(at), bool)
-        if len(member):
-            least_of = np.full(group[-1] + 1, NO_ID, np.int64)
-            np.minimum.at(least_of, group, owner[member])
-            smaller[member] = least_of[group] < owner[member]
+        for p in range(PARTS):  # the first digit deals strings to parts, which are sorted one by one
+            own = np.flatnonzero(part == p)
+            here, owner = at[own], least[record[own]]
+            places = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
+            member, group = radix_groups((eights[here + d].astype(_U) for d in places), len(own))
+            if len(member):
+                least_of = np.full(group[-1] + 1, NO_ID, np.int64)
+                np.minimum.at(least_of, group, owner[member])
+                smaller[own[member]] = least_of[group] < owner[member]
         out, i = [], 0
         for (block, bucket, _), s in zip(sent, sizes):
             j = i + int((s - length + 1).sum())
@@ -361,7 +361,7 @@ def _cut(buckets: int, length: int):
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """documents -> doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    n = blocks_for(docs)
+    n = blocks_for(docs, target=BLOCK_BYTES)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
     classes = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
