@@ -1,14 +1,567 @@
-"""Queries of the library, by name, and their oracle SQL."""
+"""Queries of the library, by name, and their oracle SQL (DuckDB)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import sections, text
+from .functions.hashing import digest_sql, draw, draw_sql, uniform_sql
+from .operators import audit, graph, mixer, negatives, retrieval, sampling, scores, signals, training
+from .plans import views
+from .plans.views import DIGRAPH, EDGES, PAPERS, SCORES, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its oracle if there is one."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["cocitation_pairs"](spark, sf_dir)
+    return cocitation_pairs(spark, sf_dir)
+
+
+# --- SQL pieces ---------------------------------------------------------------------------------
+
+SPACE = r"[\t\n\x0B\x0C\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def strip_sql(c: str) -> str:
+    return f"regexp_replace({c}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
+def context_sql(c: str, least: int = 50, most: int = 1_000) -> str:
+    """The stripped text where the context filter passes, else null."""
+    s = strip_sql(c)
+    return (
+        f"case when length({s}) between {least} and {most} and len(regexp_split_to_array({s}, '{SPACE}+')) >= 3 "
+        f"and 2 * length(regexp_replace({s}, '[^\\p{{L}}]', '', 'g')) >= length({s}) then {s} end"
+    )
+
+
+CONVS = f"""turns as (select conv_id, list(text order by turn) as contexts,
+  list(case role when 'user' then 'background' when 'assistant' then 'methodology' when 'system' then 'result' end order by turn) as intents
+  from conversations group by conv_id),
+convs as (select conv_id as citing, conv_id % (select count(*) from documents) as cited, conv_id % 2 = 0 as isinfluential, contexts, intents from turns)"""
+CITED = "cited_docs as (select corpusid, 'search_document: ' || title || '. ' || abstract as document from papers where title is not null and length(abstract) >= 50)"
+TOKENS = "regexp_extract_all(lower({c}), '[a-z0-9]+')"
+
+
+# --- graph --------------------------------------------------------------------------------------
+
+
+@query(f"with {PAPERS} select corpusid, title, substr(abstract, 1, 512) as abstract_preview, field_of_study, coalesce(citationcount, 0)::bigint as citationcount from papers where title is not null and length(abstract) >= 50")
+def paper_pool(spark, sf_dir):
+    return graph.paper_pool(views.papers(spark, sf_dir))
+
+
+@query(f"""with {EDGES}, e as (select *, row_number() over (partition by citing order by cited, citationid) as rn from edges where isinfluential)
+select citing, count(*) as n, string_agg(cast(cited as varchar), ',' order by cited, citationid) as cited_ids from e where rn <= 20 group by citing""")
+def forward_adjacency(spark, sf_dir):
+    rows = graph.forward_adjacency(graph.tier(views.edges(spark, sf_dir), True))
+    return rows.select("citing", F.size("cited_ids").cast("long").alias("n"), F.array_join(F.transform("cited_ids", lambda x: x.cast("string")), ",").alias("cited_ids"))
+
+
+@query(f"""with {EDGES}, {PAPERS}, d as (select distinct citing, cited from edges),
+r as (select *, row_number() over (partition by citing order by cited) as rn from d),
+p as (select distinct a.cited as x, b.cited as y from r a join r b on a.citing = b.citing and a.cited < b.cited where a.rn <= 10 and b.rn <= 10),
+s as (select corpusid, title || '. ' || substr(abstract, 1, 80) as t from papers where title is not null and length(abstract) between 50 and 5000)
+select x, y, 'search_query: ' || a.t as anchor, 'search_document: ' || b.t as positive, cast(null as varchar) as negative, 'co_citation' as signal_type
+from p join s a on a.corpusid = x join s b on b.corpusid = y""")
+def cocitation_pairs(spark, sf_dir):
+    pairs = graph.cocitation(views.edges(spark, sf_dir))
+    found = graph.enriched(pairs, views.papers(spark, sf_dir), "x", "y", preview=80)
+    return found.select("x", "y", "anchor", "positive", F.lit(None).cast("string").alias("negative"), F.lit("co_citation").alias("signal_type"))
+
+
+@query(f"""with {EDGES}, d as (select distinct citing, cited from edges),
+r as (select *, row_number() over (partition by citing order by cited) as rn from d)
+select count(*) as pairs, sum(x)::bigint as sum_x, sum(y)::bigint as sum_y from (select distinct a.cited as x, b.cited as y from r a join r b on a.citing = b.citing and a.cited < b.cited where a.rn <= 10 and b.rn <= 10)""")
+def cocitation_totals(spark, sf_dir):
+    return graph.cocitation(views.edges(spark, sf_dir)).agg(F.count(F.lit(1)).alias("pairs"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+
+
+@query(f"""with {DIGRAPH}, i as (select * from digraph where isinfluential),
+r as (select *, row_number() over (partition by citing order by cited, citationid) as rn from i),
+h as (select distinct e.citing, e.cited, r.cited as hop from (select distinct citing, cited from i) e join r on r.citing = e.cited and r.rn <= 20 where r.cited <> e.citing and r.cited <> e.cited)
+select citing, count(*) as n, sum(hop)::bigint as sum_hop, count(distinct hop) as hops from h group by citing""")
+def two_hop_candidates(spark, sf_dir):
+    edges = graph.tier(views.digraph(spark, sf_dir), True)
+    rows = graph.two_hop(edges, graph.forward_adjacency(edges))
+    return rows.groupBy("citing").agg(F.count(F.lit(1)).alias("n"), F.sum("hop").alias("sum_hop"), F.count_distinct("hop").alias("hops"))
+
+
+@query(f"""with {DIGRAPH}, {PAPERS}, pool as (select * from papers where title is not null and length(abstract) >= 50),
+pairs as (select distinct citing, cited from digraph where isinfluential and citing in (select corpusid from pool) and cited in (select corpusid from pool)),
+adj as (select citing, list(cited order by cited, citationid) as ids from (select *, row_number() over (partition by citing order by cited, citationid) as rn from digraph where isinfluential) where rn <= 20 group by citing),
+fields as (select field_of_study as field, row_number() over (partition by field_of_study order by corpusid) - 1 as idx, corpusid as neg, count(*) over (partition by field_of_study) as n from pool where field_of_study is not null),
+everyone as (select row_number() over (order by corpusid) - 1 as idx, corpusid as neg, count(*) over () as n from pool),
+base as (select citing, cited, field_of_study as field, {uniform_sql(42, 'roll', 'citing', 'cited')} as roll from pairs join pool on corpusid = citing),
+ks as (select unnest(range(20)) as k),
+f as (select b.citing, b.cited, arg_min(x.neg, k) as same_field from base b join (select distinct field, n from fields where n > 100) c on c.field = b.field cross join ks
+  join fields x on x.field = b.field and x.idx = {draw_sql(42, 'field', 'b.citing', 'b.cited', 'k')} % c.n
+  where roll < 0.5 and x.neg <> b.citing and x.neg <> b.cited group by 1, 2),
+h as (select citing, cited, arg_min(neg, k) as two_hop from (select b.citing, b.cited, k, ids[1 + {draw_sql(42, 'hop', 'b.citing', 'b.cited', 'k')} % len(ids)] as neg
+  from base b join adj a on a.citing = b.cited cross join ks where not (roll < 0.5 and field is not null) and roll < 0.8 and k < least(10, len(ids)))
+  where neg <> citing and neg <> cited and neg in (select corpusid from pool) group by 1, 2),
+m as (select b.citing, b.cited, same_field, two_hop from base b left join f using (citing, cited) left join h using (citing, cited)),
+r as (select m.citing, m.cited, arg_min(e.neg, k) as anyone from m cross join ks join everyone e on e.idx = {draw_sql(42, 'pool', 'm.citing', 'm.cited', 'k')} % (select count(*) from pool)
+  where coalesce(same_field, two_hop) is null and k < 10 and e.neg <> m.citing and e.neg <> m.cited group by 1, 2)
+select citing as anchor_id, cited as positive_id, coalesce(same_field, two_hop, anyone) as negative_id,
+  case when same_field is not null then 'same_field' when two_hop is not null then 'two_hop' else 'random' end as branch
+from m left join r using (citing, cited) where coalesce(same_field, two_hop, anyone) is not null""")
+def hard_negatives(spark, sf_dir):
+    pool = graph.paper_pool(views.papers(spark, sf_dir))
+    edges = graph.tier(views.digraph(spark, sf_dir), True)
+    pairs = graph.within(edges.select("citing", "cited").distinct(), pool)
+    rows = negatives.hard_negatives(pairs, pool, graph.forward_adjacency(edges))
+    return rows.select(F.col("citing").alias("anchor_id"), F.col("cited").alias("positive_id"), F.col("negative").alias("negative_id"), "branch")
+
+
+@query()
+def citation_triplets(spark, sf_dir):
+    pool = graph.paper_pool(views.papers(spark, sf_dir))
+    edges = graph.tier(views.digraph(spark, sf_dir), True)
+    pairs = graph.within(edges.select("citing", "cited").distinct(), pool)
+    return negatives.triplets(negatives.hard_negatives(pairs, pool, graph.forward_adjacency(edges)), pool, preview=120)
+
+
+@query(f"with {EDGES} select citing % 4 as worker, count(*) as n, sum(cited)::bigint as sum_cited from edges group by 1")
+def worker_partitions(spark, sf_dir):
+    edges = views.edges(spark, sf_dir)
+    parts = [graph.partitioned(edges, 4, w).select(F.lit(w).cast("long").alias("worker"), "cited") for w in range(4)]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return rows.groupBy("worker").agg(F.count(F.lit(1)).alias("n"), F.sum("cited").alias("sum_cited"))
+
+
+# --- signals ------------------------------------------------------------------------------------
+
+
+@query(f"""with {CONVS}, {PAPERS}, {CITED}, e as (select citing, cited, unnest(contexts) as raw from convs), f as (select citing, cited, {context_sql('raw')} as c from e)
+select 'search_query: ' || c as query, document, citing as citing_id, cited as cited_id from f join cited_docs on corpusid = cited where c is not null""")
+def context_pairs(spark, sf_dir):
+    return signals.context_pairs(views.conversations(spark, sf_dir), views.papers(spark, sf_dir))
+
+
+@query(f"""with {CONVS}, {PAPERS}, {CITED}, e as (select citing, cited, unnest(contexts) as raw, unnest(intents) as intent from convs),
+f as (select citing, cited, intent, {context_sql('raw')} as c from e),
+g as (select *, case intent when 'background' then 'cite_background' when 'methodology' then 'cite_method' when 'result' then 'cite_result' end as prefix,
+  unnest(range(1, 1 + case intent when 'background' then 1 when 'methodology' then 3 when 'result' then 10 end)) as copy from f where c is not null)
+select intent, citing as citing_id, cited as cited_id, prefix || ': ' || c as query, document, copy from g join cited_docs on corpusid = cited where prefix is not null""")
+def intent_pairs(spark, sf_dir):
+    return signals.intent_pairs(views.conversations(spark, sf_dir), views.papers(spark, sf_dir)).withColumn("copy", F.col("copy").cast("long"))
+
+
+@query("""select case role when 'user' then 'background' when 'assistant' then 'methodology' when 'system' then 'result' end as intent, count(*) as n from conversations group by 1""")
+def intent_distribution(spark, sf_dir):
+    rows = views.conversations(spark, sf_dir).select(F.explode(text.intents_of(F.col("intents"))).alias("intent"))
+    return rows.groupBy("intent").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {PAPERS}, t as (select conv_id % (select count(*) from documents) as corpusid, text from conversations where turn = 0)
+select corpusid, 'search_query: ' || text as text1, 'search_document: ' || title as text2, 'search' as task from t join papers using (corpusid) where length(text) >= 20 and title <> ''""")
+def search_pairs(spark, sf_dir):
+    return signals.search_pairs(views.tldrs(spark, sf_dir), views.papers(spark, sf_dir))
+
+
+@query(f"""with {PAPERS}, t as (select conv_id % (select count(*) from documents) as corpusid, text from conversations where turn = 0)
+select corpusid, 'search_query: ' || text as anchor, 'search_document: ' || title || '. ' || abstract as positive, cast(null as varchar) as negative, 'tldr' as signal_type
+from t join papers using (corpusid) where length(text) between 30 and 600 and length(abstract) between 50 and 5000""")
+def tldr_pairs(spark, sf_dir):
+    return signals.summary_pairs(views.tldrs(spark, sf_dir), views.papers(spark, sf_dir))
+
+
+@query(f"""with {DIGRAPH}, {PAPERS}, s as (select corpusid, title || '. ' || substr(abstract, 1, 100) as t from papers where title is not null and length(abstract) between 50 and 5000)
+select citing, cited, citationid, isinfluential, 'search_query: ' || a.t as anchor, 'search_document: ' || b.t as positive, cast(null as varchar) as negative, 'improves_over' as signal_type
+from digraph join s a on a.corpusid = cited join s b on b.corpusid = citing where isinfluential and citationid % 3 = 0""")
+def improves_over_pairs(spark, sf_dir):
+    return signals.improves_over(views.digraph(spark, sf_dir), views.papers(spark, sf_dir), modulus=3, preview=100)
+
+
+def _works(spark, sf_dir):
+    return views.papers(spark, sf_dir).select(F.col("corpusid").alias("id"), "title", F.substring("abstract", 1, 4_000).alias("abstract"), F.col("lang").alias("language"), (F.col("corpusid") % 7 != 0).alias("valid_title_abstract"))
+
+
+@query(f"""with {DIGRAPH}, {PAPERS}, w as (select corpusid as id, title, substr(abstract, 1, 4000) as abstract from papers where lang = 'en' and corpusid % 7 <> 0 and length(substr(abstract, 1, 4000)) between 51 and 4999)
+select work_id, related_work_id, 'search_query: ' || a.title || '. ' || a.abstract as anchor, 'search_document: ' || b.title || '. ' || b.abstract as positive, cast(null as varchar) as negative, 'related_works' as signal_type
+from (select distinct citing as work_id, cited as related_work_id from digraph) r join w a on a.id = work_id join w b on b.id = related_work_id where {uniform_sql(7, 'bernoulli', 'work_id', 'related_work_id')} < 0.02""")
+def related_pairs_bernoulli(spark, sf_dir):
+    related = views.digraph(spark, sf_dir).select(F.col("citing").alias("work_id"), F.col("cited").alias("related_work_id")).distinct()
+    return signals.related_pairs(related, _works(spark, sf_dir), 0.02, 7)
+
+
+@query(f"""with {PAPERS}, t as (select c_custkey as corpusid, n_name as topic, case when r_name = 'ASIA' then '' else r_name end as field from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)
+select corpusid, 'classify: ' || title || '. ' || abstract as text1, 'classify: ' || case when coalesce(field, '') = '' then topic else field || ' > ' || topic end as text2, 'classification' as task from papers join t using (corpusid)""")
+def topic_classification_pairs(spark, sf_dir):
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    joined = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    topics = joined.select(F.col("c_custkey").alias("corpusid"), F.col("n_name").alias("topic"), F.when(F.col("r_name") == "ASIA", "").otherwise(F.col("r_name")).alias("field"))
+    return signals.classification_pairs(views.papers(spark, sf_dir), topics)
+
+
+@query(f"""with {PAPERS}, m as (select field_of_study, corpusid, row_number() over (partition by field_of_study order by corpusid) - 1 as idx, count(*) over (partition by field_of_study) as n from papers),
+g as (select distinct field_of_study, n from m where n > 1),
+d as (select field_of_study, n, unnest(range(1, 1 + least(1000 // (select count(distinct field_of_study) from papers), n * (n - 1) // 2))) as draw from g),
+x as (select *, {draw_sql(42, 'first', 'field_of_study', 'draw')} % n as i, {draw_sql(42, 'second', 'field_of_study', 'draw')} % (n - 1) as j0 from d),
+y as (select *, case when j0 >= i then j0 + 1 else j0 end as j from x)
+select y.field_of_study, draw, a.corpusid as first, b.corpusid as second, 'clustering' as task from y join m a on a.field_of_study = y.field_of_study and a.idx = i join m b on b.field_of_study = y.field_of_study and b.idx = j""")
+def clustering_pairs(spark, sf_dir):
+    return signals.clustering_pairs(views.papers(spark, sf_dir), "field_of_study", 1_000, 42)
+
+
+@query()
+def body_queries(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 300).alias("abstract"), F.col("text").alias("body"))
+    return signals.body_queries(docs)
+
+
+@query(f"""with {PAPERS}, e as (select * from papers where citationcount between 1 and 4 and length(abstract) >= 50 and body_len between 1000 and 80000),
+r as (select *, row_number() over (partition by field_of_study order by {digest_sql(42, 'field', 'corpusid')}, corpusid) as rn from e)
+select corpusid, field_of_study from (select * from r where rn <= greatest(1.0, 200 / 25.0) order by {digest_sql(43, 'exact', 'corpusid')}, corpusid limit 200)""")
+def retrieval_candidates(spark, sf_dir):
+    return signals.retrieval_candidates(views.papers(spark, sf_dir), 200, 42, body=(1_000, 80_000))
+
+
+# --- text ---------------------------------------------------------------------------------------
+
+
+@query(f"select doc_id, {context_sql('text', 50, 5000)} as context from documents")
+def context_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.filter_context(F.col("text"), 50, 5_000).alias("context"))
+
+
+@query(r"""with a as (select doc_id, regexp_replace(text, '(?i)(?:This article has been cited by other articles in PMC|Articles from [^\n]* are provided here courtesy of|External link\. Please review our privacy policy|Go to:)', '', 'g') as t from documents)
+select doc_id, regexp_replace(t, '(?i)(?:©|Copyright|All rights reserved|Licensed under|Published by)[^\n]*(?:\n|$)', '', 'g') as cleaned from a""")
+def clean_boilerplate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.remove_boilerplate(F.col("text")).alias("cleaned"))
+
+
+@query("select page_id, regexp_replace(html, '<[^>]+>', '', 'g') as cleaned from pages")
+def clean_xml_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.clean_xml(F.col("html")).alias("cleaned"))
+
+
+@query()
+def clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean_text(F.col("text"), F.col("source")).alias("cleaned"))
+
+
+@query()
+def nfkc_normalise(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalize_space(F.col("text")).alias("cleaned"))
+
+
+@query()
+def document_sections(spark, sf_dir):
+    """Headings put before the lines of documents, as none of them has any."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Introduction\n"), F.col("text"), F.lit("\n# Methods\n"), F.col("text"), F.lit("\n2. Results\n"), F.col("text")).alias("text"))
+    return sections.extract(docs)
+
+
+@query(f"""with t as (select doc_id, {TOKENS.format(c='substr(text, 1, 400)')} as a, {TOKENS.format(c='substr(text, 200, 400)')} as b from documents),
+g as (select doc_id, case when len(a) >= 3 then list_distinct(list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i+1] || ' ' || a[i+2])) else [] end as s,
+  case when len(b) >= 3 then list_distinct(list_transform(range(1, len(b) - 1), lambda i: b[i] || ' ' || b[i+1] || ' ' || b[i+2])) else [] end as u from t)
+select doc_id, len(s) as n, case when len(s) > 0 then round(len(list_intersect(s, u)) / len(s), 6) end as overlap from g""")
+def trigram_overlap(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.trigrams(F.substring("text", 1, 400)).alias("s"), text.trigrams(F.substring("text", 200, 400)).alias("u"))
+    return rows.select("doc_id", F.size("s").cast("long").alias("n"), F.round(text.overlap_ratio(F.col("s"), F.col("u")), 6).alias("overlap"))
+
+
+# --- statistics and sampling --------------------------------------------------------------------
+
+
+@query("""select source, count(*) as n, quantile_cont(n_chars, 0.5) as p50, quantile_cont(n_chars, 0.9) as p90, quantile_cont(n_chars, 0.95) as p95, quantile_cont(n_chars, 0.99) as p99, max(n_chars) as max,
+round(avg((n_chars > 512)::double), 6) as over_512, round(avg((n_chars > 2048)::double), 6) as over_2048, round(avg((n_chars > 8192)::double), 6) as over_8192 from documents group by source""")
+def length_stats(spark, sf_dir):
+    return scores.length_stats(table(spark, sf_dir, "documents"), "n_chars", (512, 2_048, 8_192), "source")
+
+
+@query("""select cast(quantile_cont(n_chars, 0.05) as bigint) as p5, cast(floor(quantile_cont(n_chars, 0.25)) as bigint) as p25, cast(floor(quantile_cont(n_chars, 0.5)) as bigint) as p50,
+cast(floor(quantile_cont(n_chars, 0.75)) as bigint) as p75, cast(floor(quantile_cont(n_chars, 0.95)) as bigint) as p95 from documents""".replace("cast(quantile_cont(n_chars, 0.05) as bigint)", "cast(floor(quantile_cont(n_chars, 0.05)) as bigint)"))
+def length_quantiles(spark, sf_dir):
+    shares = (0.05, 0.25, 0.5, 0.75, 0.95)
+    rows = table(spark, sf_dir, "documents").agg(F.percentile("n_chars", F.array(*[F.lit(s) for s in shares])).alias("q"))
+    return rows.select(*[F.floor(F.get("q", F.lit(i))).alias(f"p{round(100 * s)}") for i, s in enumerate(shares)])
+
+
+@query("select source, lang, count(*) as n, sum(n_chars)::bigint as chars, sum(case when n_chars between 1000 and 500000 then 1 else 0 end)::bigint as in_range from documents group by source, lang")
+def source_counts(spark, sf_dir):
+    in_range = F.sum(F.when(F.col("n_chars").between(1_000, 500_000), 1).otherwise(0))
+    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), in_range.alias("in_range"))
+
+
+@query(f"select doc_id, source from (select *, row_number() over (partition by source order by {digest_sql(42, 'stratum', 'doc_id')}, doc_id) as rn from documents) where rn <= 5")
+def stratified_sample(spark, sf_dir):
+    return sampling.stratified(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", 5, 42, "doc_id")
+
+
+@query(f"select doc_id, lang from documents order by {digest_sql(42, 'exact', 'doc_id')}, doc_id limit 100")
+def exact_sample(spark, sf_dir):
+    return sampling.exact(table(spark, sf_dir, "documents").select("doc_id", "lang"), 100, 42, "doc_id")
+
+
+@query(f"select {draw_sql(42, 'shard', 'doc_id')} % 16 as shard, count(*) as n, sum(doc_id)::bigint as ids from documents group by 1")
+def shuffle_shards(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select((draw(42, "shard", "doc_id") % 16).alias("shard"), "doc_id")
+    return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
+
+
+@query("select n_chars, round(cume_dist() over (order by n_chars), 9) as share from (select distinct n_chars from documents) where false union all select n_chars, round(sum(count(*)) over (order by n_chars) / (select count(*) from documents), 9) from documents group by n_chars")
+def length_distribution(spark, sf_dir):
+    return scores.distribution(table(spark, sf_dir, "documents"), "n_chars").withColumn("share", F.round("share", 9))
+
+
+@query("select source, count(*) as n from documents group by source order by n desc, source limit 8")
+def top_sources(spark, sf_dir):
+    return scores.top_labels(table(spark, sf_dir, "documents"), "source")
+
+
+# --- mixing and training ------------------------------------------------------------------------
+
+
+def _signals(spark, sf_dir):
+    docs, convs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations")
+    triplets = docs.select(F.substring("text", 1, 40).alias("anchor"), F.substring("text", 41, 40).alias("positive"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("negative"))
+    instructions = convs.select(F.substring("text", 1, 40).alias("text1"), F.when(F.col("turn") == 0, F.substring("text", 1, 40)).otherwise(F.substring("text", 41, 40)).alias("text2"))
+    contexts = docs.select(F.substring("text", 1, 40).alias("query"), F.substring("text", 41, 40).alias("document"))
+    return {"citation_triplets": triplets, "instruction_pairs": instructions, "context_pairs": contexts}
+
+
+def _parts_sql(samples: tuple[int | None, ...]) -> str:
+    bodies = (
+        "select substr(text, 1, 40) as anchor, substr(text, 41, 40) as positive, case when doc_id % 2 = 0 then lang end as negative, 'citation_triplets' as signal_type, 0 as o from documents",
+        "select * from (select substr(text, 1, 40) as anchor, case when turn = 0 then substr(text, 1, 40) else substr(text, 41, 40) end as positive, cast(null as varchar) as negative, 'instruction_pairs' as signal_type, 1 as o from conversations) where anchor is not null and not starts_with(anchor, 'cluster:') and anchor is distinct from positive",
+        "select substr(text, 1, 40) as anchor, substr(text, 41, 40) as positive, cast(null as varchar) as negative, 'context_pairs' as signal_type, 2 as o from documents",
+    )
+    cut = lambda s, n: f"({s})" if n is None else f"(select * from ({s}) order by {digest_sql(42, 'exact', 'anchor', 'positive')}, anchor, positive limit {n})"
+    return " union all ".join(f"select * from {cut(s, n)}" for s, n in zip(bodies, samples))
+
+
+@query(f"select anchor, positive, negative, signal_type from (select *, row_number() over (partition by anchor, positive order by o, negative nulls first) as rn from ({_parts_sql((None, None, None))})) where rn = 1")
+def mix_dedup(spark, sf_dir):
+    return mixer.mix({k: (v, None) for k, v in _signals(spark, sf_dir).items()})
+
+
+@query(f"select anchor, positive, signal_type from (select *, row_number() over (partition by anchor, positive order by o) as rn from ({_parts_sql((50, 40, 30))})) where rn = 1")
+def mix_sample_exact(spark, sf_dir):
+    parts = _signals(spark, sf_dir)
+    return mixer.mix({k: (v, n) for (k, v), n in zip(parts.items(), (50, 40, 30))}).drop("negative")
+
+
+@query(f"""with m as (select * from (select *, row_number() over (partition by anchor, positive order by o, negative nulls first) as rn from ({_parts_sql((None, None, None))})) where rn = 1)
+select signal_type, count(*) as n, sum(case when coalesce(negative, '') <> '' then 1 else 0 end)::bigint as n_negatives, sum(case when coalesce(negative, '') <> '' then 1 else 0 end) > 0.5 * count(*) as is_triplet from m group by signal_type""")
+def route_signals(spark, sf_dir):
+    return training.routed(mixer.mix({k: (v, None) for k, v in _signals(spark, sf_dir).items()}))
+
+
+@query(f"select doc_id, case when {uniform_sql(42, 'split', 'doc_id')} < 0.05 then 'eval' else 'train' end as split from documents")
+def train_eval_split(spark, sf_dir):
+    return training.train_eval(table(spark, sf_dir, "documents").select("doc_id"), 0.05, 42, "doc_id")
+
+
+@query(f"select doc_id, quality, case when row_number() over (partition by quality order by {digest_sql(42, 'split', 'doc_id')}, doc_id) <= ceil(count(*) over (partition by quality) * 0.05) then 'eval' else 'train' end as split from labels")
+def stratified_split(spark, sf_dir):
+    return training.train_eval(table(spark, sf_dir, "labels").select("doc_id", "quality"), 0.05, 42, "doc_id", by="quality")
+
+
+_IDS = f"ids as (select doc_id, list_transform({TOKENS.format(c='text')}, lambda t: length(t)) as ids from documents)"
+
+
+@query(f"""with {_IDS}, s as (select doc_id, ids, unnest(list_filter(range(0, greatest(len(ids), 1), 110), lambda s: least(len(ids) - s, 126) >= 64)) as start from ids),
+c as (select *, row_number() over (partition by doc_id order by start) - 1 as chunk, ids[start + 1:start + 126] as body from s)
+select doc_id, chunk, array_to_string(list_concat(list_concat([101], body), list_concat([102], list_transform(range(126 - len(body)), lambda x: 0))), ' ') as input_ids, len(body) + 2 as active from c""")
+def chunk_tokens(spark, sf_dir):
+    """Token ids here are the lengths of tokens."""
+    ids = table(spark, sf_dir, "documents").select("doc_id", F.transform(text.tokens(F.col("text")), lambda t: F.length(t)).alias("ids"))
+    rows = training.chunked(ids, 128, 16, 101, 102, 0)
+    active = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x.cast("int"))
+    return rows.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("input_ids"), active.cast("long").alias("active"))
+
+
+@query(f"""with {_IDS}, t as (select doc_id, unnest(ids[1:50]) as x, unnest(range(len(ids[1:50]))) as i from ids),
+u as (select *, {uniform_sql(42, 'choose', 'doc_id', 'i')} < 0.3 and x not in (101, 102, 0) as chosen from t),
+v as (select *, case when not chosen then x when {uniform_sql(42, 'kind', 'doc_id', 'i')} < 0.8 then 103 when {uniform_sql(42, 'half', 'doc_id', 'i')} < 0.5 then floor({uniform_sql(42, 'word', 'doc_id', 'i')} * 1000)::bigint else x end as y from u)
+select doc_id, sum(case when chosen then 1 else 0 end)::bigint as n_chosen, sum(case when chosen and y = 103 then 1 else 0 end)::bigint as n_masked, sum(y)::bigint as sum_ids from v group by doc_id""")
+def mask_tokens(spark, sf_dir):
+    ids = table(spark, sf_dir, "documents").select("doc_id", F.slice(F.transform(text.tokens(F.col("text")), lambda t: F.length(t)), 1, 50).alias("input_ids")).where(F.size("input_ids") > 0)
+    rows = training.masked(ids.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids"))), "doc_id", 103, 1_000, (101, 102, 0))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+    chosen = F.transform("labels", lambda x: (x != training.IGNORED).cast("int"))
+    mask = F.transform(F.arrays_zip("labels", "input_ids"), lambda z: ((z["labels"] != training.IGNORED) & (z["input_ids"] == 103)).cast("int"))
+    return rows.select("doc_id", total(chosen).alias("n_chosen"), total(mask).alias("n_masked"), total(F.col("input_ids")).alias("sum_ids"))
+
+
+# --- retrieval ----------------------------------------------------------------------------------
+
+_METRICS = """select count(*) as queries, round(avg((rank <= 1)::double), 6) as r1, round(avg((rank <= 10)::double), 6) as r10, round(avg((rank <= 100)::double), 6) as r100,
+round(avg(case when rank <= 10 then 1 / log2(rank + 1) else 0 end), 6) as ndcg10, round(avg(1 / rank), 6) as mrr, quantile_cont(rank, 0.5) as median_rank, min(pool) as pool_min, max(pool) as pool_max from ranks"""
+_VECTORS = """q as (select vec_id as query_id, embedding::double[] as v, vec_id + 1 as gold from embeddings where vec_id % 20 = 0 and vec_id + 1 in (select vec_id from embeddings)),
+s as (select query_id, gold, c.vec_id as cand, c.label, g.label as gold_label, round(list_inner_product(v, c.embedding::double[]), 9) as score, round(list_inner_product(v, g.embedding::double[]), 9) as gold_score
+  from q cross join embeddings c join embeddings g on g.vec_id = gold)"""
+
+
+def _dense(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    candidates = rows.select(F.col("vec_id").alias("candidate_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("field"))
+    queries = rows.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), (F.col("vec_id") + 1).alias("gold"))
+    return queries, candidates
+
+
+@query(f"with {_VECTORS}, ranks as (select query_id, 1 + sum(case when cand <> gold and score > gold_score then 1 else 0 end) as rank, count(*) as pool from s group by query_id) {_METRICS}")
+def dense_rank_metrics(spark, sf_dir):
+    return retrieval.metrics(retrieval.dense_ranks(*_dense(spark, sf_dir)))
+
+
+@query(f"with {_VECTORS}, ranks as (select query_id, 1 + sum(case when cand <> gold and score > gold_score then 1 else 0 end) as rank, count(*) as pool from s where cand = gold or label = gold_label group by query_id) {_METRICS}")
+def samefield_rank_metrics(spark, sf_dir):
+    return retrieval.metrics(retrieval.dense_ranks(*_dense(spark, sf_dir), same_field=True))
+
+
+@query("""select vec_id, i - 1 as dim, round(e[i] / greatest(sqrt(list_sum(list_transform(e, lambda x: x * x))), 1e-12), 6) as value from (select vec_id, e, unnest(range(1, 17)) as i from (select vec_id, (embedding::double[])[1:16] as e from embeddings))""")
+def matryoshka_truncate(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(retrieval.normalized(F.col("embedding"), 16)).alias("dim", "value"))
+    return rows.select("vec_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+
+
+def _neighbours_sql(cut: str) -> str:
+    e = f"(embedding::double[]){cut}"
+    unit = f"list_transform({e}, lambda x: x / greatest(sqrt(list_sum(list_transform({e}, lambda y: y * y))), 1e-12))"
+    return f"""(select a, b from (select a, b, row_number() over (partition by a order by s desc, b) as rn from
+(select x.vec_id as a, y.vec_id as b, round(list_inner_product(x.u, y.u), 9) as s from (select vec_id, {unit} as u from embeddings) x join (select vec_id, {unit} as u from embeddings) y on x.vec_id <> y.vec_id)) where rn <= 10)"""
+
+
+@query(f"""select (select count(*) from embeddings) as n, count(*) as common, round(count(*) / ((select count(*) from embeddings) * 10), 6) as agreement
+from {_neighbours_sql('')} p join {_neighbours_sql('[1:32]')} q on p.a = q.a and p.b = q.b""")
+def nn_agreement(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    space = lambda d: rows.select("vec_id", retrieval.normalized(F.col("embedding"), d).alias("vector"))
+    return retrieval.agreement(space(64), space(32), 10)
+
+
+_BM25 = f"""toks as (select doc_id, {TOKENS.format(c='text')} as t from documents),
+stats as (select count(*) as n, avg(len(t)) as avgdl from toks),
+post as (select doc_id, token, len(any_value(t)) as dl, count(*) as tf from (select doc_id, t, unnest(t) as token from toks) group by doc_id, token),
+raw as (select token, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) as r from post, stats group by token, n),
+idf as (select token, case when r < 0 then (select 0.25 * avg(r) from raw) else r end as idf from raw),
+qt as (select item_id as query_id, token, count(*) as times from (select item_id, unnest({TOKENS.format(c='text')}) as token from benchmark) group by 1, 2),
+scores as (select query_id, doc_id as doc, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score from qt join idf using (token) join post using (token), stats group by 1, 2)"""
+
+
+def _bm25(spark, sf_dir):
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("item_id").alias("gold"))
+    return queries, retrieval.bm25(queries, table(spark, sf_dir, "documents"))
+
+
+@query(f"with {_BM25} select query_id, doc, round(score, 4) as score from scores")
+def bm25_scores(spark, sf_dir):
+    return _bm25(spark, sf_dir)[1].withColumn("score", F.round("score", 4))
+
+
+@query(f"""with {_BM25}, g as (select item_id as query_id, item_id as gold, round(coalesce(score, 0), 9) as gold_score from benchmark left join scores on query_id = item_id and doc = item_id),
+ranks as (select g.query_id, 1 + sum(case when d.doc_id <> gold and round(coalesce(score, 0), 9) > gold_score then 1 else 0 end) as rank, count(*) as pool from g cross join documents d left join scores s on s.query_id = g.query_id and s.doc = d.doc_id group by 1) {_METRICS}""")
+def bm25_rank_metrics(spark, sf_dir):
+    queries, found = _bm25(spark, sf_dir)
+    return retrieval.metrics(retrieval.sparse_ranks(queries, found, table(spark, sf_dir, "documents").count()))
+
+
+# --- audit --------------------------------------------------------------------------------------
+
+
+@query(f"""with {PAPERS}, u as (select corpusid from papers where length(abstract) >= 50 and citationcount >= 5), t as (select distinct l_partkey as id from lineitem)
+select (select count(*) from t) as n, 0::bigint as unresolved, count(*) as overlap, round(100.0 * count(*) / greatest((select count(*) from t), 1), 2) as percent from t join u on corpusid = id""")
+def paper_overlap(spark, sf_dir):
+    ids = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("long").alias("id"))
+    return audit.paper_overlap(ids, audit.candidate_universe(views.papers(spark, sf_dir)))
+
+
+@query(f"""with {DIGRAPH}, {PAPERS}, u as (select corpusid from papers where length(abstract) >= 50 and citationcount >= 5),
+t as (select distinct o_custkey % (select count(*) from documents) as src, o_orderkey % (select count(*) from documents) as dst from orders),
+e as (select citing, cited from digraph where citing in (select corpusid from u) and cited in (select corpusid from u)),
+h as (select distinct src, dst from t where exists (select 1 from e where citing = src and cited = dst) or exists (select 1 from e where citing = dst and cited = src))
+select (select count(*) from t) as n, count(*) as overlap, round(100.0 * count(*) / greatest((select count(*) from t), 1), 2) as percent from h""")
+def edge_overlap_undirected(spark, sf_dir):
+    n = table(spark, sf_dir, "documents").count()
+    task = table(spark, sf_dir, "orders").select((F.col("o_custkey") % n).alias("src"), (F.col("o_orderkey") % n).alias("dst"))
+    return audit.edge_overlap(task, views.digraph(spark, sf_dir), audit.candidate_universe(views.papers(spark, sf_dir)))
+
+
+@query(f"with {DIGRAPH}, {PAPERS}, u as (select corpusid from papers where length(abstract) >= 50 and citationcount >= 5) select count(*) as edges from digraph where citing in (select corpusid from u) and cited in (select corpusid from u)")
+def edge_universe(spark, sf_dir):
+    return audit.edge_universe(views.digraph(spark, sf_dir), audit.candidate_universe(views.papers(spark, sf_dir)))
+
+
+@query(f"""with {PAPERS}, u as (select corpusid from papers where length(abstract) >= 50 and citationcount >= 5),
+r as (select doc_id as id, case when quality = 1 then 'quality' else 'junk' end as task, case when doc_id % 3 = 0 then 'test' else 'train' end as split from labels)
+select id, task, split from r where not (split = 'test' and id in (select corpusid from u))""")
+def cold_filter(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "quality").otherwise("junk").alias("task"), F.when(F.col("doc_id") % 3 == 0, "test").otherwise("train").alias("split"))
+    cold = audit.cold_filter(rows, audit.candidate_universe(views.papers(spark, sf_dir)))
+    return audit.apply_cold_filter(rows, cold).select("id", "task", "split")
+
+
+# --- scores -------------------------------------------------------------------------------------
+
+
+@query(f"with {SCORES} select model, round(avg(mean), 6) as macro from (select model, task, avg(score) as mean from scores group by 1, 2) where mean > 0 group by model")
+def macro_average(spark, sf_dir):
+    rows = views.scores(spark, sf_dir).withColumn("category", F.col("task"))
+    return scores.macro_average(rows).withColumn("macro", F.round("macro", 6))
+
+
+@query(f"""with {SCORES}, m as (select model, task, avg(score) as score from scores group by 1, 2)
+select task, count(*) as n, round(avg(score), 6) as mean, round(stddev_pop(score), 6) as std, round(max(score) - min(score), 6) as spread, case when stddev_pop(score) < 1 then 'STUCK' when stddev_pop(score) > 3 then 'DISCRIM' else '' end as flag from m group by task having count(*) >= 5""")
+def task_variance(spark, sf_dir):
+    rows = views.scores(spark, sf_dir).groupBy("task", "model").agg(F.avg("score").alias("score"))
+    return scores.task_variance(rows).withColumns({c: F.round(c, 6) for c in ("mean", "std", "spread")})
+
+
+@query(f"""with {SCORES}, a as (select model, seed, avg(score) as mean, coalesce(stddev_samp(score), 0) as std from scores group by 1, 2)
+select model, {', '.join(f"round(max(case when seed = {d} then {c} end), 6) as {c}_{d}" for d in (0, 1, 2) for c in ('mean', 'std'))},
+{', '.join(f"round(100 * max(case when seed = {d} then mean end) / max(case when seed = 0 then mean end), 6) as percent_{d}" for d in (0, 1, 2))} from a group by model""")
+def seed_pivot(spark, sf_dir):
+    rows = scores.seed_pivot(views.scores(spark, sf_dir).withColumn("dim", F.col("seed")), [0, 1, 2], 0)
+    return rows.select("model", *[F.round(c, 6).alias(c) for c in rows.columns if c != "model"])
+
+
+@query(f"""with {SCORES}, m as (select model, task, avg(score) as score from scores group by 1, 2),
+b as (select *, row_number() over (partition by task order by score desc, model) as rn from m where model <> '0')
+select m.task, round(m.score, 6) as own, b.model as best_model, round(b.score, 6) as best, round(m.score - b.score, 6) as delta from m join b on b.task = m.task and rn = 1 where m.model = '0'""")
+def best_baseline(spark, sf_dir):
+    rows = views.scores(spark, sf_dir).groupBy("task", "model").agg(F.avg("score").alias("score"))
+    return scores.best_baseline(rows, "0").withColumns({c: F.round(c, 6) for c in ("own", "best", "delta")})
+
+
+@query(f"""with {SCORES}, m as (select task, model, avg(score) as mean, stddev_pop(score) as std from scores group by 1, 2)
+select a.task, round(a.mean, 6) as own_mean, round(a.std, 6) as own_std, round(b.mean, 6) as base_mean, round(b.std, 6) as base_std, round(a.mean - b.mean, 6) as delta from m a join m b on a.task = b.task where a.model = '0' and b.model = '1'""")
+def seed_decomposition(spark, sf_dir):
+    rows = scores.seed_decomposition(views.scores(spark, sf_dir), "0", "1")
+    return rows.select("task", *[F.round(c, 6).alias(c) for c in rows.columns if c != "task"])
+
+
+@query(f"""with recursive {SCORES}, s as (select model, cast(row_number() over (partition by model order by task, seed) as bigint) as step, score as v from scores),
+e as (select model, step, v, v as ema from s where step = 1 union all select s.model, s.step, s.v, 0.9 * e.ema + (1 - 0.9) * s.v from e join s on s.model = e.model and s.step = e.step + 1)
+select model, step, round(v, 6) as v, round(ema, 6) as ema from e""")
+def smoothed_scores(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = views.scores(spark, sf_dir).select("model", F.row_number().over(Window.partitionBy("model").orderBy("task", "seed")).cast("long").alias("step"), F.col("score").alias("v"))
+    return scores.smoothed(rows, "model", "step", "v", 0.9).withColumns({"v": F.round("v", 6), "ema": F.round("ema", 6)})
+
+
+@query(f"with {SCORES}, m as (select task, model, avg(score) as score from scores group by 1, 2) select task, {', '.join(f'''round(100 * max(case when model = '{i}' then score end), 2) as m{i}''' for i in range(8))} from m group by task")
+def task_by_model(spark, sf_dir):
+    rows = views.scores(spark, sf_dir).groupBy("task", "model").agg(F.avg("score").alias("score"))
+    wide = scores.task_by_model(rows, [str(i) for i in range(8)])
+    return wide.select("task", *[F.col(str(i)).alias(f"m{i}") for i in range(8)])
