@@ -58,3 +58,12 @@ def let(value: Column, body) -> Column:
     lambda that would evaluate it once per element.
     """
     return F.transform(F.array(value), body)[0]
+
+
+#: Rows of a small table that may be sent to every task; a hundred numbers in each make 40 MB.
+BROADCAST_ROWS = 50_000
+
+
+def with_small(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """Join a table that is usually small and cheap to count: broadcast below BROADCAST_ROWS, shuffled beyond."""
+    return rows.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, key)

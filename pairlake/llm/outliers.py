@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, let, staged
+from .common import cut, let, staged, with_small
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -188,18 +188,18 @@ def _distance() -> Column:
 def distances(rows: DataFrame) -> DataFrame:
     """doc rows with g and x0.. -> the same rows with ``d2``, scaled so that ``SHARE`` of a group is below CHI_AT_SHARE."""
     keep = rows.columns
-    rows = rows.join(cut(_start(rows)), "g")
+    rows = with_small(rows, cut(_start(rows)), "g")
     rows = rows.withColumns({f"z{i}": (F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"s{i}") for i in range(D)} | {f"f{i}": F.lit(FLOORS[i]) / F.col(f"s{i}") for i in range(D)})
     rows = rows.select(*keep, *[f"z{i}" for i in range(D)], *[f"f{i}" for i in range(D)])
     cell = lambda d: F.floor(F.log2(d + 1e-6) * LOG_GRID)
     seen = rows.withColumn("d", reduce(lambda a, b: a + b, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(D)]))
     for _ in range(STEPS):
-        limit = _quantile(seen, ["g"], cell(F.col("d")), SHARE)
-        est = _estimate(seen.join(limit, "g").where(cell(F.col("d")) <= F.col("q")))
-        seen = rows.join(est, "g").withColumn("d", _distance()).select(*rows.columns, "d")
+        limit = cut(_quantile(seen, ["g"], cell(F.col("d")), SHARE))
+        est = _estimate(with_small(seen, limit, "g").where(cell(F.col("d")) <= F.col("q")))
+        seen = with_small(rows, est, "g").withColumn("d", _distance()).select(*rows.columns, "d")
     limit = cut(_quantile(seen, ["g"], cell(F.col("d")), SHARE))
     scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("q") + 0.5) / LOG_GRID) / CHI_AT_SHARE)
-    return seen.join(limit, "g").select(*keep, (F.col("d") / scale).alias("d2"))
+    return with_small(seen, limit, "g").select(*keep, (F.col("d") / scale).alias("d2"))
 
 
 def judged(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:

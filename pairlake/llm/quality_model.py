@@ -154,10 +154,13 @@ def fit_labels(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> Weak
     return model
 
 
-def fit_scorer(features: list[np.ndarray], target: np.ndarray, epochs: int = 5, alpha: float = 0.3, l1: float = 3.0, l2: float = 1.0) -> tuple[np.ndarray, float]:
-    """FTRL-proximal logistic regression on 0/1 features and soft targets: weights and bias."""
+def fit_scorer(features: list[np.ndarray], target: np.ndarray, prior: float = 0.5, epochs: int = 5, alpha: float = 0.3, l1: float = 3.0, l2: float = 1.0) -> tuple[np.ndarray, float]:
+    """FTRL-proximal logistic regression on 0/1 features and soft targets: weights and bias.
+
+    Without rows the prior is all that it knows.
+    """
     z, n = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
-    bias = bias_n = 0.0
+    bias, bias_n = float(np.log(prior / (1 - prior))), 0.0
     for _ in range(epochs):
         for f, y in zip(features, target):
             zf, root = z[f], np.sqrt(n[f])
@@ -235,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
     weights, bias = [], []
     for model, v in zip(fitted, (votes_q, votes_t)):
         use = np.flatnonzero((v != NONE).any(axis=1))
-        w, b = fit_scorer([features[i] for i in use], model.posterior(v[use]) if len(use) else np.zeros(0))
+        w, b = fit_scorer([features[i] for i in use], model.posterior(v[use]) if len(use) else np.zeros(0), model.prior)
         weights.append(w)
         bias.append(b)
     return QualityModel(fitted, np.stack(weights, axis=1), np.array(bias))

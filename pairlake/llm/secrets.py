@@ -236,15 +236,15 @@ def redact(text: str | None, spans: str, mark: str = "[SECRET]") -> str | None:
     return "".join([*out, text[done:]])
 
 
-def redacted(docs: DataFrame) -> DataFrame:
-    """Documents with a ``spans`` column -> the same rows, spans replaced in text, n_chars counted anew where it exists."""
+def redacted(docs: DataFrame, spans: str = "spans") -> DataFrame:
+    """Documents with a column of spans -> the same rows without it, spans replaced in text, n_chars counted anew where it exists."""
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i = batch.schema.get_field_index("text")
-            texts = [redact(t.as_py(), s.as_py()) if s.is_valid else t.as_py() for t, s in zip(batch.column("text"), batch.column("spans"))]
+            texts = [redact(t.as_py(), s.as_py()) if s.is_valid else t.as_py() for t, s in zip(batch.column("text"), batch.column(spans))]
             yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))
 
-    found = docs.where(F.col("spans").isNotNull())
-    out = found.mapInArrow(replace, docs.schema).unionByName(docs.where(F.col("spans").isNull())).drop("spans")
+    found = docs.where(F.col(spans).isNotNull())
+    out = found.mapInArrow(replace, docs.schema).unionByName(docs.where(F.col(spans).isNull())).drop(spans)
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
