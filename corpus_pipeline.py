@@ -41,8 +41,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by a mark."""
-    found = secrets.scan(docs).where("spans <> ''").select(F.col("doc_id").alias("found_id"), "spans")
-    return secrets.redacted(docs.join(found, F.col("doc_id") == F.col("found_id"), "left").drop("found_id")).select(docs.columns)
+    found = secrets.scan(docs).where("spans <> ''").groupBy(F.col("doc_id").alias("_found_id")).agg(F.min("spans").alias("_found_spans"))
+    marked = docs.join(found, F.col("doc_id") == F.col("_found_id"), "left").drop("_found_id")
+    return secrets.redacted(marked, "_found_spans").select(docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
