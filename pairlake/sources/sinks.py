@@ -35,7 +35,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
 
 def merged(*parts: DataFrame) -> DataFrame:
     """Worker outputs as one frame; columns that a part lacks are null."""
-    out = parts[0]
+    out = parts[0].select("*")
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
