@@ -43,7 +43,7 @@ _LOW44 = (1 << 20) - 1
 
 
 def _words(text: Column) -> Column:
-    bare = F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    bare = F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE + "+"))
 
 
