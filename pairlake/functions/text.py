@@ -32,7 +32,7 @@ SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z(])"
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 
 
 def remove_references(c: Column) -> Column:
@@ -74,7 +74,7 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 def nfkc(c: Column) -> Column:
     """Unicode NFKC; plain ASCII is already in that form and skips Python's result."""
-    return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(_nfkc(c))
+    return F.when(c.rlike(r"^\p{ASCII}*\z"), c).otherwise(_nfkc(c))
 
 
 def collapse_space(c: Column) -> Column:
