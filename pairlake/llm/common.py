@@ -64,6 +64,6 @@ def let(value: Column, body) -> Column:
 BROADCAST_ROWS = 50_000
 
 
-def with_small(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
+def with_small(rows: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join a table that is usually small and cheap to count: broadcast below BROADCAST_ROWS, shuffled beyond."""
-    return rows.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, key)
+    return rows.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, key, how)

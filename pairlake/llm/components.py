@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import BROADCAST_ROWS, cut
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,13 +24,16 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     pairs = cut(pairs.distinct())
     state = _state(pairs)
+    if state[0] <= BROADCAST_ROWS:  # so few that one task does each round without a shuffle
+        pairs = pairs.coalesce(1)
     while state[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = cut(small.unionByName(least.withColumnRenamed("m", "v")).where(F.col("u") != F.col("v")).distinct())
+        pairs = small.unionByName(least.withColumnRenamed("m", "v")).where(F.col("u") != F.col("v"))
+        pairs = cut((pairs.coalesce(1) if state[0] <= BROADCAST_ROWS else pairs).distinct())
         before, state = state, _state(pairs)
         if state == before:
             break

@@ -26,7 +26,8 @@ Defined results: words are runs of other than U+0009..U+000D and U+0020, A-Z
 lower-cased. One to four words make one shingle, the whole sequence. A document
 without words or with a null text has an empty set, is linked with nothing and is
 its own component. A null doc_id counts as larger than every other and is reported
-as null. Repeated rows link like any equal texts. Extra columns are ignored.
+as null. Repeated rows link like any equal texts; different texts with one doc_id are
+different documents. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocked, textvec
-from .common import blocks_for, cut, staged
+from .common import blocks_for, cut, staged, with_small
 from .components import components
 from .repeats import NO_ID
 
@@ -139,11 +140,11 @@ def _count(messages: pa.Table) -> pa.Table:
     return blocked.table_of(out)
 
 
-SETS = "doc long, digest binary, n long, post array<long>, pos array<int>, shared binary"
+SETS = "doc long, first long, digest binary, n long, post array<long>, pos array<int>, shared binary"
 
 
 def _post(buckets: int):
-    """A row per class: set size; and if its prefix has shingles of other classes, these and its shared shingles."""
+    """A row per class, named by half its digest: set size; and if its prefix has shingles of other classes, these and its shared shingles."""
 
     def step(docs: pa.Table, messages: pa.Table) -> pa.Table:
         docs = _firsts_of(docs, messages) if docs.num_rows else docs.append_column("digest", pa.array([], pa.binary()))
@@ -170,10 +171,11 @@ def _post(buckets: int):
             shared.append(h[a:b][common[a:b] > 1].tobytes())
         return pa.Table.from_arrays(
             [
+                pa.array([int.from_bytes(d[:8], "little", signed=True) for d in docs.column("digest").to_pylist()], pa.int64()),
                 docs.column("doc_id"), docs.column("digest"), pa.array(np.diff(at), pa.int64()),
                 pa.array(post, pa.list_(pa.int64())), pa.array(pos, pa.list_(pa.int32())), pa.array(shared, pa.binary()),
             ],
-            ["doc", "digest", "n", "post", "pos", "shared"],
+            ["doc", "first", "digest", "n", "post", "pos", "shared"],
         )
 
     return step
@@ -203,7 +205,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) pairs of classes -> those that link."""
     x = sets.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("x"))
     y = sets.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(_verified, "a long, b long")
+    return with_small(x, pairs, "a").join(y, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(_verified, "a long, b long")
 
 
 def _filters(n_a: Column, n_b: Column, i: Column, j: Column) -> Column:
@@ -215,9 +217,9 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Merge the components that links join."""
     one = labels.select(F.col("doc").alias("a"), F.col("comp").alias("comp_a"))
     two = labels.select(F.col("doc").alias("b"), F.col("comp").alias("comp_b"))
-    edges = links.join(one, "a").join(two, "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    edges = with_small(with_small(links, one, "a"), two, "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
     roots = components(edges).withColumnRenamed("node", "comp")
-    return cut(labels.join(roots, "comp", "left").select("doc", F.coalesce("root", "comp").alias("comp")))
+    return cut(with_small(labels, roots, "comp", "left").select("doc", F.coalesce("root", "comp").alias("comp")))
 
 
 def _grouped(sets: DataFrame) -> DataFrame:
@@ -234,7 +236,7 @@ def _grouped(sets: DataFrame) -> DataFrame:
 
     k = 0
     while k <= ROUNDS:
-        now = lists.join(labels, "doc")
+        now = with_small(lists, labels, "doc")
         # the first pivot of a list has the least share of shingles of its own: of near copies, that
         # is the one nearest to what they were made from; later ones are so among a part of the list
         part = F.pmod(F.xxhash64("doc", F.lit(k)), F.lit(4 if k else 1))
@@ -279,13 +281,15 @@ def groups(docs: DataFrame) -> DataFrame:
     known = first.unionByName(blocked.on_buckets(sent, _count, n))
     sets = staged(blocked.on_blocks(texts, known, _post(n), SETS, n), "shingle-sets")
     labels = _grouped(sets)
-    known = sets.select("digest", F.col("doc").alias("first"), "n").join(labels.withColumnRenamed("doc", "first"), "first", "left")
+    named = sets.select("doc", "first").join(labels, "doc")
+    roots = named.groupBy("comp").agg(F.min("first").alias("root"))
+    known = sets.select("digest", "doc", "first", "n").join(labels.join(roots, "comp").select("doc", "root"), "doc", "left")
     found = members.join(known, "digest", "left")
     id_or_null = lambda c: F.when(c != NO_ID, c)
     return found.select(
         id_or_null(F.col("doc_id")).alias("doc_id"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"),
-        id_or_null(F.coalesce("comp", "first", "doc_id")).alias("component_id"),
+        id_or_null(F.coalesce("root", "first", "doc_id")).alias("component_id"),
     )
 
 
