@@ -25,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: (verdict, host, path prefix): fixed values of the job.
 RULES: tuple[tuple[str, str, str], ...] = (
     ("allow", "org", "/"),
@@ -91,7 +93,7 @@ def reputation(outcomes: DataFrame, z: float = 2.0) -> tuple[DataFrame, DataFram
     count = [F.count("bad").alias("n_all"), F.sum("bad").alias("n_bad")]
     root = F.lit("").alias("root")
     hosts = outcomes.where(F.col("bad").isNotNull() & (F.col("host") != "")).groupBy("host").agg(*count)
-    hosts = hosts.withColumns({"domain": registered_domain(F.col("host")), "suffix": suffix(F.col("host"))})
+    hosts = cut(hosts.withColumns({"domain": registered_domain(F.col("host")), "suffix": suffix(F.col("host"))}))  # read at every level
     total = [F.sum("n_all").alias("n_all"), F.sum("n_bad").alias("n_bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*total)
     suffixes = domains.groupBy("suffix").agg(*total).withColumn("root", root)
