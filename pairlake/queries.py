@@ -332,10 +332,12 @@ def top_sources(spark, sf_dir):
 
 
 def _signals(spark, sf_dir):
-    docs, convs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations")
-    triplets = docs.select(F.substring("text", 1, 40).alias("anchor"), F.substring("text", 41, 40).alias("positive"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("negative"))
-    instructions = convs.select(F.substring("text", 1, 40).alias("text1"), F.when(F.col("turn") == 0, F.substring("text", 1, 40)).otherwise(F.substring("text", 41, 40)).alias("text2"))
-    contexts = docs.select(F.substring("text", 1, 40).alias("query"), F.substring("text", 41, 40).alias("document"))
+    """Titles with whole documents, whole turns with the first turn of their conversation."""
+    docs, convs = views.papers(spark, sf_dir), table(spark, sf_dir, "conversations")
+    triplets = docs.select(F.col("title").alias("anchor"), F.col("abstract").alias("positive"), F.when(F.col("corpusid") % 2 == 0, F.col("lang")).alias("negative"))
+    opening = convs.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text2"))
+    instructions = convs.join(opening, "conv_id").select(F.col("text").alias("text1"), "text2")
+    contexts = docs.select(F.col("title").alias("query"), F.col("abstract").alias("document"))
     return {"citation_triplets": triplets, "instruction_pairs": instructions, "context_pairs": contexts}
 
 
