@@ -275,7 +275,8 @@ g as (select doc_id, case when len(a) >= 3 then list_distinct(list_transform(ran
   case when len(b) >= 3 then list_distinct(list_transform(range(1, len(b) - 1), lambda i: b[i] || ' ' || b[i+1] || ' ' || b[i+2])) else [] end as u from t)
 select doc_id, len(s) as n, case when len(s) > 0 then round(len(list_intersect(s, u)) / len(s), 6) end as overlap from g""")
 def trigram_overlap(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.trigrams(F.substring("text", 1, 400)).alias("s"), text.trigrams(F.substring("text", 200, 400)).alias("u"))
+    """Trigrams of the whole text, and the share that boilerplate removal leaves."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.trigrams(F.col("text")).alias("s"), text.trigrams(text.remove_boilerplate(F.col("text"))).alias("u"))
     return rows.select("doc_id", F.size("s").cast("long").alias("n"), F.round(text.overlap_ratio(F.col("s"), F.col("u")), 6).alias("overlap"))
 
 
@@ -397,7 +398,7 @@ u as (select *, {uniform_sql(42, 'choose', 'doc_id', 'i')} < 0.3 and x not in (1
 v as (select *, case when not chosen then x when {uniform_sql(42, 'kind', 'doc_id', 'i')} < 0.8 then 103 when {uniform_sql(42, 'half', 'doc_id', 'i')} < 0.5 then floor({uniform_sql(42, 'word', 'doc_id', 'i')} * 1000)::bigint else x end as y from u)
 select doc_id, sum(case when chosen then 1 else 0 end)::bigint as n_chosen, sum(case when chosen and y = 103 then 1 else 0 end)::bigint as n_masked, sum(y)::bigint as sum_ids from v group by doc_id""")
 def mask_tokens(spark, sf_dir):
-    ids = table(spark, sf_dir, "documents").select("doc_id", F.slice(F.transform(text.tokens(F.col("text")), lambda t: F.length(t)), 1, 50).alias("input_ids")).where(F.size("input_ids") > 0)
+    ids = table(spark, sf_dir, "documents").select("doc_id", F.transform(text.tokens(F.col("text")), lambda t: F.length(t)).alias("input_ids")).where(F.size("input_ids") > 0)
     rows = training.masked(ids.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids"))), "doc_id", 103, 1_000, (101, 102, 0))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
     chosen = F.transform("labels", lambda x: (x != training.IGNORED).cast("int"))

@@ -1,5 +1,8 @@
 """Queries over whole texts, against single steps in Python."""
 
+import hashlib
+import re
+
 import pytest
 
 from pairlake import queries
@@ -31,3 +34,37 @@ def test_mixing_keeps_whole_texts(spark, docs):
     assert routes == {s: sum(w[3] == s for w in want) for s in ("citation_triplets", "instruction_pairs")}
     sample = [(r["anchor"], r["positive"]) for r in queries.mix_sample_exact(spark, DATA).collect()]
     assert len(sample) == len(set(sample)) and set(sample) <= {w[:2] for w in want}
+
+
+def tokens(text):
+    return re.findall("[a-z0-9]+", text.lower())
+
+
+def test_trigrams_of_whole_texts(spark, docs):
+    cleaned = {r["doc_id"]: r["cleaned"] for r in queries.clean_boilerplate(spark, DATA).collect()}
+    three = lambda t: {tuple(t[i : i + 3]) for i in range(len(t) - 2)}
+    want = {}
+    for d in docs:
+        s, u = three(tokens(d["text"])), three(tokens(cleaned[d["doc_id"]]))
+        want[d["doc_id"]] = (len(s), round(len(s & u) / len(s), 6) if s else None)
+    got = {r["doc_id"]: (r["n"], r["overlap"]) for r in queries.trigram_overlap(spark, DATA).collect()}
+    assert got.keys() == want.keys() and any(w[1] not in (None, 1) for w in want.values())
+    assert all(got[i][0] == n and got[i][1] == (x if x is None else pytest.approx(x, abs=2e-6)) for i, (n, x) in want.items())
+
+
+def test_masking_of_whole_texts(spark, docs):
+    def u(tag, *key):
+        return int(hashlib.md5(":".join(map(str, (f"42:{tag}", *key))).encode()).hexdigest()[:8], 16) / 2**32
+
+    want = set()
+    for d in docs:
+        ids = [len(t) for t in tokens(d["text"])]
+        chosen = masked = total = 0
+        for i, x in enumerate(ids):
+            key = d["doc_id"], i
+            pick = u("choose", *key) < 0.3 and x not in (101, 102, 0)
+            y = x if not pick else 103 if u("kind", *key) < 0.8 else int(u("word", *key) * 1_000) if u("half", *key) < 0.5 else x
+            chosen, masked, total = chosen + pick, masked + (pick and y == 103), total + y
+        if ids:
+            want.add((d["doc_id"], chosen, masked, total))
+    assert {tuple(r) for r in queries.mask_tokens(spark, DATA).select("doc_id", "n_chosen", "n_masked", "sum_ids").collect()} == want
