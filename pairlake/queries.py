@@ -82,7 +82,7 @@ select x, y, 'search_query: ' || a.t as anchor, 'search_document: ' || b.t as po
 from p join s a on a.corpusid = x join s b on b.corpusid = y""")
 def cocitation_pairs(spark, sf_dir):
     pairs = graph.cocitation(views.edges(spark, sf_dir))
-    found = graph.enriched(pairs, views.papers(spark, sf_dir), "x", "y", preview=80)
+    found = graph.enriched(pairs, views.papers(spark, sf_dir), "x", "y")
     return found.select("x", "y", "anchor", "positive", F.lit(None).cast("string").alias("negative"), F.lit("co_citation").alias("signal_type"))
 
 
@@ -135,7 +135,7 @@ def citation_triplets(spark, sf_dir):
     pool = graph.paper_pool(views.papers(spark, sf_dir))
     edges = graph.tier(views.digraph(spark, sf_dir), True)
     pairs = graph.within(edges.select("citing", "cited").distinct(), pool)
-    return negatives.triplets(negatives.hard_negatives(pairs, pool, graph.forward_adjacency(edges)), pool, preview=120)
+    return negatives.triplets(negatives.hard_negatives(pairs, pool, graph.forward_adjacency(edges)), pool)
 
 
 @query(f"with {EDGES} select citing % 4 as worker, count(*) as n, sum(cited)::bigint as sum_cited from edges group by 1")
@@ -187,11 +187,13 @@ def tldr_pairs(spark, sf_dir):
 select citing, cited, citationid, isinfluential, 'search_query: ' || a.t as anchor, 'search_document: ' || b.t as positive, cast(null as varchar) as negative, 'improves_over' as signal_type
 from digraph join s a on a.corpusid = cited join s b on b.corpusid = citing where isinfluential and citationid % 3 = 0""")
 def improves_over_pairs(spark, sf_dir):
-    return signals.improves_over(views.digraph(spark, sf_dir), views.papers(spark, sf_dir), modulus=3, preview=100)
+    return signals.improves_over(views.digraph(spark, sf_dir), views.papers(spark, sf_dir), modulus=3)
 
 
 def _works(spark, sf_dir):
-    return views.papers(spark, sf_dir).select(F.col("corpusid").alias("id"), "title", F.substring("abstract", 1, 4_000).alias("abstract"), F.col("lang").alias("language"), (F.col("corpusid") % 7 != 0).alias("valid_title_abstract"))
+    """papers as works: valid where title and abstract are more than white space."""
+    valid = (text.strip(F.col("title")) != "") & (text.strip(F.col("abstract")) != "")
+    return views.papers(spark, sf_dir).select(F.col("corpusid").alias("id"), "title", "abstract", F.col("lang").alias("language"), F.coalesce(valid, F.lit(False)).alias("valid_title_abstract"))
 
 
 @query(f"""with {DIGRAPH}, {PAPERS}, w as (select corpusid as id, title, substr(abstract, 1, 4000) as abstract from papers where lang = 'en' and corpusid % 7 <> 0 and length(substr(abstract, 1, 4000)) between 51 and 4999)

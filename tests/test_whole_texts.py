@@ -6,6 +6,7 @@ import re
 import pytest
 
 from pairlake import queries
+from pairlake.operators import signals
 
 DATA = "/root/testdata/sf0.001"
 
@@ -68,3 +69,28 @@ def test_masking_of_whole_texts(spark, docs):
         if ids:
             want.add((d["doc_id"], chosen, masked, total))
     assert {tuple(r) for r in queries.mask_tokens(spark, DATA).select("doc_id", "n_chosen", "n_masked", "sum_ids").collect()} == want
+
+
+@pytest.mark.parametrize(("name", "ends"), [("cocitation_pairs", ("x", "y")), ("improves_over_pairs", ("cited", "citing")), ("related_pairs_bernoulli", ("work_id", "related_work_id"))])
+def test_pairs_of_whole_abstracts(spark, docs, monkeypatch, name, ends):
+    if name == "related_pairs_bernoulli":  # all related works in place of 2 % of them
+        whole = signals.related_pairs
+        monkeypatch.setattr(signals, "related_pairs", lambda related, works, share, seed: whole(related, works, 1.0, seed))
+    text = {d["doc_id"]: f"{d['text'][:60]}. {d['text']}" for d in docs}
+    rows = queries.QUERIES[name](spark, DATA).collect()
+    assert rows
+    for r in rows:
+        assert (r["anchor"], r["positive"]) == (f"search_query: {text[r[ends[0]]]}", f"search_document: {text[r[ends[1]]]}")
+    if name == "related_pairs_bernoulli":
+        fine = {d["doc_id"] for d in docs if d["lang"] == "en" and 50 < len(d["text"]) < 5_000 and d["text"][:60].strip()}
+        n, lines = len(docs), spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()
+        want = {(x["l_orderkey"] % n, x["l_partkey"] % n) for x in lines}
+        assert sorted((r["work_id"], r["related_work_id"]) for r in rows) == sorted((a, b) for a, b in want if a in fine and b in fine)
+
+
+def test_triplets_have_the_pool_preview(spark, docs):
+    text = {d["doc_id"]: f"{d['text'][:60]}. {d['text'][:512]}" for d in docs}
+    rows = queries.citation_triplets(spark, DATA).collect()
+    assert rows
+    for r in rows:
+        assert (r["anchor"], r["positive"], r["negative"]) == (f"search_query: {text[r['anchor_id']]}", f"search_document: {text[r['positive_id']]}", f"search_document: {text[r['negative_id']]}")
