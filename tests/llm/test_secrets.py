@@ -73,3 +73,25 @@ def test_redaction(spark, docs_of):
     assert secrets.redact("ab secret cd", "assign:3:9,hex:4:8") == "ab [SECRET] cd" and secrets.redact(None, "") is None
     docs = spark.createDataFrame([(1, "token=abcdefgh", 14, "assign:0:14"), (2, None, 0, None), (3, "x", 1, None)], "doc_id long, text string, n_chars long, s string")
     assert sorted(map(tuple, secrets.redacted(docs, "s").collect()), key=str) == [(1, "[SECRET]", 8), (2, None, None), (3, "x", 1)]
+
+
+def test_keys_of_every_encoding_are_discovered():
+    """Of uniform keys that are one run in a hundred of their length class."""
+    r = random.Random(7)
+    for name, alphabet in secrets.ALPHABETS:
+        for n, least in ((20, 0.7), (24, 0.8), (32, 0.93), (40, 0.95), (64, 0.98)):
+            found = 0
+            for _ in range(200):
+                t = secrets.battery("".join(r.choice(alphabet) for _ in range(n)))
+                found += t[0] * 3 >= secrets.MISSED and 2.0 ** (-secrets.cell_of(t[1]) / 2) <= secrets.DISCOVERY / 100
+            assert found >= least * 200, (name, n, found)
+
+
+def test_writing_is_not_discovered():
+    words = "the quick notification handler should return donaudampfschifffahrtsgesellschaft cuando tambien bibliotheque environnement nachrichten interface request property description".split()
+    r = random.Random(8)
+    for _ in range(300):
+        some = [r.choice(words) for _ in range(5)]
+        for run in ("".join(some), "_".join(some), "-".join(some).upper(), "".join(w.title() for w in some), "/".join(some), f"2024-01-15-{some[0]}-{r.randrange(10**6)}", "_".join(some).upper() + "_2"):
+            p = secrets.battery(run)[1]
+            assert p > secrets.DISCOVERY, run
