@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a randomness test battery with false-discovery control.
 
 Three patterns give the base spans. The method looks at every other run of encoding
-characters of ``LEAST`` to ``MOST`` of them. The encoding with the smallest alphabet that has all
+characters of ``LEAST`` to ``MOST`` of them, outside base spans; a run that fits no
+encoding or does not look random is also split at its separators. The encoding with the smallest alphabet that has all
 characters of a run is inferred (decimal digits are never secrets by themselves), and a battery
 asks whether the run could be uniform over that alphabet: chi-squared of the
 character counts, Wald-Wolfowitz runs about the alphabet's median, and lag-one
@@ -47,6 +48,8 @@ KINDS = ("assign", "access", "hex", "random")
 #: Runs that the method looks at, and the share of false discoveries and of missed uniform runs.
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 LEAST, MOST = 20, 4096
+#: What is left of a run between separators of either kind.
+SPLITS = (re.compile(r"[A-Za-z0-9+/]+"), re.compile(r"[A-Za-z0-9_-]+"))
 DISCOVERY, MISSED = 0.001, 0.001
 #: Cells of a p-value's base-two logarithm, and how far down they reach.
 CELLS = 200
@@ -151,26 +154,49 @@ def cell_of(p: float) -> int:
     return CELLS - 1 if p <= 2.0 ** -(CELLS / 2) else min(CELLS - 1, floor(-2 * log2(p)))
 
 
+def tested(run: str, start: int, out: dict[tuple[int, int], tuple[int, int, int, int, bool]]) -> None:
+    """Put the runs to judge in a run of at most ``MOST + LEAST`` characters at ``start`` into ``out``, by place.
+
+    A run that looks uniform over an alphabet is judged as a whole. Else a key can be
+    joined to something by separators, which are those of the other 64-letter alphabet
+    or lie between words: the run is split at "-" and "_" and, again as a whole, at "+"
+    and "/", and its pieces are treated alike. Pieces of the two splits can overlap.
+    """
+    if len(run) < LEAST or (start, start + len(run)) in out:
+        return
+    tests = battery(run)
+    if tests:
+        out[start, start + len(run)] = (start, start + len(run), length_class(len(run)), cell_of(tests[1]), tests[0] * 3 >= MISSED)
+        if tests[0] * 3 >= MISSED:
+            return
+    for separators in SPLITS:
+        pieces = list(separators.finditer(run))
+        if len(pieces) > 1 or len(pieces[0][0] if pieces else "") < len(run):
+            for m in pieces:
+                tested(m[0], start + m.start(), out)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, bool]]:
-    """(start, end, length class, cell, uniform) of the runs that no base span overlaps.
+    """(start, end, length class, cell, uniform) of the runs, without what base spans cover.
 
     A run longer than ``MOST`` is judged in pieces of ``MOST``, so that cost per
     character is bounded; a last piece under ``LEAST`` joins the one before.
     """
-    out, passed, reach = [], 0, 0
+    out: dict[tuple[int, int], tuple[int, int, int, int, bool]] = {}
+    passed, reach = 0, 0
     for m in RUN.finditer(text):
-        start = m.start()
-        while m.end() - start >= LEAST:
-            end = m.end() if m.end() - start < MOST + LEAST else start + MOST
-            while passed < len(base) and base[passed][0] < end:  # both go from left to right
-                reach = max(reach, base[passed][2])
-                passed += 1
-            if reach <= start:
-                tests = battery(text[start:end])
-                if tests:
-                    out.append((start, end, length_class(end - start), cell_of(tests[1]), tests[0] * 3 >= MISSED))
-            start = end
-    return out
+        free, start = [], max(m.start(), reach)
+        while passed < len(base) and base[passed][0] < m.end():  # both go from left to right
+            free.append((start, base[passed][0]))
+            reach = max(reach, base[passed][2])
+            start = max(start, reach)
+            passed += 1
+        for start, stop in [*free, (start, m.end())]:
+            while stop - start >= LEAST:
+                end = stop if stop - start < MOST + LEAST else start + MOST
+                tested(text[start:end], start, out)
+                start = end
+    return sorted(out.values())
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
