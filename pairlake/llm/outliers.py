@@ -6,7 +6,8 @@ statistics against the minimum-covariance-determinant estimate of its language a
 source: medians and MADs give the start, concentration steps then take mean and
 covariance of the 75 % of points nearest under the last estimate. A document whose
 Mahalanobis distance, scaled to a chi-squared quantile, exceeds the cutoff is
-rejected. Sources with few documents are pooled by language, then altogether.
+rejected. Documents of a language and source with few are judged by the estimate of
+all documents of their language, or of the whole table if the language has few too.
 
 Only DataFrame operations are used. Words of a text are never exploded into rows:
 windows are hashed, sorted and compared inside the row. Quantiles per group come
@@ -14,9 +15,9 @@ from counts on a fixed grid, which are the same in any order of rows and aggrega
 before the shuffle; a step shuffles a few numbers per group and grid cell.
 
 Defined results: a null or empty text has no words and fails the base rules. Null
-languages and sources are values of their own. A pool of fewer than ``LEAST_GROUP``
-documents is not judged: what passed the base rules is kept. Repeated rows count and
-are judged each. Extra columns are ignored; an empty table gives no rows.
+languages and sources are values of their own. In a table of which fewer than ``LEAST_GROUP`` documents pass
+the base rules, no estimate exists and these are kept. Repeated rows count and are
+judged each. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -121,17 +122,26 @@ def vector() -> list[Column]:
 
 
 def _pooled(stats: DataFrame) -> DataFrame:
-    """Give each row that passed the base rules its group: a pool is large enough or a row has none."""
+    """Rows that passed the base rules, once per group ``g`` whose estimate they belong to; ``own`` marks the one that judges them.
+
+    Without any group large enough, g is null.
+    """
     lang, source = F.coalesce("lang", F.lit("\0")), F.coalesce("source", F.lit("\0"))
     rows = stats.where(~F.col("base_failed")).withColumns({"g_lang": lang, "g_source": source})
-    counts = rows.groupBy("g_lang", "g_source").agg(F.count(F.lit(1)).alias("n"))
-    few = F.col("n") < LEAST_GROUP
+    counts = cut(rows.groupBy("g_lang", "g_source").agg(F.count(F.lit(1)).alias("n")))
     by_lang = Window.partitionBy("g_lang")
-    counts = counts.withColumn("lang_n", F.sum(F.when(few, F.col("n")).otherwise(0)).over(by_lang))
-    few_too = few & (F.col("lang_n") < LEAST_GROUP)
-    group = F.when(~few, F.concat_ws("\1", F.lit("both"), "g_lang", "g_source")).when(~few_too, F.concat_ws("\1", F.lit("lang"), "g_lang")).otherwise("all")
-    names = counts.select("g_lang", "g_source", group.alias("g"))
-    return rows.join(names, ["g_lang", "g_source"])
+    counts = counts.withColumn("lang_n", F.sum("n").over(by_lang)).withColumn("few", F.col("n") < LEAST_GROUP).withColumn("few_too", F.col("few") & (F.col("lang_n") < LEAST_GROUP))
+    by_language = F.col("few") & ~F.col("few_too")
+    seen = counts.agg(F.sum("n").alias("n"), F.max("few_too").alias("few_too")).first()
+    whole = bool(seen["few_too"]) and seen["n"] >= LEAST_GROUP
+    group = lambda name, own: F.struct(name.alias("g"), own.alias("own"))
+    groups = [
+        F.when(~F.col("few"), group(F.concat_ws("\1", F.lit("both"), "g_lang", "g_source"), F.lit(True))),
+        F.when(F.max(by_language).over(by_lang), group(F.concat_ws("\1", F.lit("lang"), "g_lang"), by_language)),
+        F.when(F.lit(whole), group(F.lit("all"), F.col("few_too"))),
+    ]
+    names = counts.select("g_lang", "g_source", F.array_compact(F.array(*groups)).alias("groups"))
+    return rows.join(names, ["g_lang", "g_source"]).withColumn("p", F.explode_outer("groups")).select(*rows.columns, "p.g", "p.own")
 
 
 def _quantile(rows: DataFrame, keys: list[str], cell: Column, share: float) -> DataFrame:
@@ -206,10 +216,9 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """documents -> doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance."""
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     stats = staged(statistics(docs), "statistics")
-    rows = _pooled(stats).select(*columns, "g", *[x.alias(f"x{i}") for i, x in enumerate(vector())])
-    small = rows.groupBy("g").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") < LEAST_GROUP)
-    far = distances(staged(rows, "vectors").join(small, "g", "left_anti"))
-    unjudged = rows.join(small.select("g"), "g", "left_semi").select(*columns, F.lit(True).alias("kept"), F.lit(None).cast("double").alias("distance"))
+    rows = staged(_pooled(stats).select(*columns, "g", "own", *[x.alias(f"x{i}") for i, x in enumerate(vector())]), "vectors")
+    far = distances(rows.where("g is not null")).where("own")
+    unjudged = rows.where("g is null").select(*columns, F.lit(True).alias("kept"), F.lit(None).cast("double").alias("distance"))
     return (
         far.select(*columns, (F.col("d2") <= cutoff).alias("kept"), F.round("d2", 4).alias("distance"))
         .unionByName(unjudged)

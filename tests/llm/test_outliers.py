@@ -89,3 +89,12 @@ def test_few_words(spark, docs_of, n):
     t = " ".join("abc"[:n])
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     assert tuple(outliers.statistics(docs_of([(1, t)])).select(columns).first()) == brute(1, t)
+
+
+def test_few_documents_are_judged_by_their_language(spark):
+    r = random.Random(5)
+    rows = [(i, make(r), "en", "large") for i in range(200)]
+    rows += [(1_000 + i, make(r, i < 3), "en", "rare") for i in range(6)] + [(2_000 + i, make(r, i < 3), "xx", None) for i in range(6)]
+    got = {x["doc_id"]: x for x in outliers.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and all(x["distance"] is not None for x in got.values())
+    assert {i for i, x in got.items() if not x["kept"]} == {1_000, 1_001, 1_002, 2_000, 2_001, 2_002}
