@@ -4,12 +4,11 @@ Each stage gets the rows that its predecessor kept and returns documents again,
 all their columns; the last returns their token ids. ``run`` writes each stage's
 rows to the shared folder as Parquet and reads them back for the next.
 
-Defined results: a row without a doc_id has no identity for the joins by which
-decisions take effect, so the first two stages drop it and the next two keep it as
-it is. A null text has no words and goes in the first stage; later stages pass it
-on. Rows that repeat a doc_id share its decisions, and the second stage keeps one of
-them. Extra columns pass through all stages but the last. An empty table gives no
-rows.
+Defined results: decisions take effect by a key of what they depend on (the text, in
+the first stage also doc_id, language and source), so each row gets its own, also where
+doc_ids are null or repeated. A null text has no words and goes in the first stage;
+later stages pass it on. The second stage keeps one row of each group of near copies.
+Extra columns pass through all stages but the last. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,20 +17,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlake.llm import decontamination, jaccard_join, outliers, secrets, sentencepiece_backend
-from pairlake.llm.common import staged, table
+from pairlake.llm.common import staged, table, text_key_column
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the outlier test keep."""
-    kept = outliers.judged(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    key = F.md5(F.to_json(F.struct("doc_id", "lang", "source", F.md5("text").alias("text"))))  # nulls are left out, so unlike any value
+    keyed = docs.withColumn("_key", key)
+    kept = outliers.judged(keyed.drop("doc_id").withColumnRenamed("_key", "doc_id")).where("kept").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(kept, "_key", "left_semi").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    groups = jaccard_join.groups(docs)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each group of near copies: the one with the smallest id, or of those the least text digest."""
+    return jaccard_join.first_of_groups(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +40,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by a mark."""
-    found = secrets.scan(docs).where("spans <> ''").groupBy(F.col("doc_id").alias("_found_id")).agg(F.min("spans").alias("_found_spans"))
-    marked = docs.join(found, F.col("doc_id") == F.col("_found_id"), "left").drop("_found_id")
+    found = secrets.keyed_scan(docs).where("spans <> ''").groupBy(F.col("text_key").alias("_key")).agg(F.min("spans").alias("_found_spans"))
+    marked = docs.withColumn("_key", text_key_column()).join(found, "_key", "left").drop("_key")
     return secrets.redacted(marked, "_found_spans").select(docs.columns)
 
 

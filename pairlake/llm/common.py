@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 
@@ -45,6 +46,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_key(text: str | None) -> str:
+    """Name of a text as ``text_key_column`` gives it; a null text is as an empty one."""
+    return hashlib.md5((text or "").encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def text_key_column(text: str = "text") -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
+
+
 def blocks_for(docs: DataFrame, text: str = "text", target: int = 8 << 20, least: int = 64) -> int:
     """A number of blocks such that each holds about ``target`` bytes of text."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
+from .common import text_key, text_key_column
 
 WORDS, THRESHOLD = 5, 0.75
 #: Shingles in a sketch, and the bound on the chance that an item at the threshold is missed.
@@ -122,15 +123,20 @@ def _block(docs: DataFrame, items: list[tuple[int | None, str]], threshold: floa
                     own = sketches.exact[item]
                     n = len(own & exact[row])
                     if 100 * n >= numerator * len(own):
-                        out.append((ids[first + row].as_py(), items[item][0], n, len(own)))
-            columns = list(zip(*out)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_shared", "n_shingles"])
+                        out.append((ids[first + row].as_py(), items[item][0], n, len(own), text_key(texts[first + row].as_py())))
+            columns = list(zip(*out)) or [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:4]], pa.array(columns[4], pa.string())], ["doc_id", "item_id", "n_shared", "n_shingles", "text_key"])
 
-    return docs.mapInArrow(search, "doc_id long, item_id long, n_shared long, n_shingles long")
+    return docs.mapInArrow(search, "doc_id long, item_id long, n_shared long, n_shingles long, text_key string")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """documents, benchmark -> doc_id, item_id, n_shared, n_shingles, containment of each leak."""
+    return keyed_leaks(docs, benchmark, threshold).drop("text_key")
+
+
+def keyed_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``leaks`` with the key of the document's text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -144,8 +150,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents into which no item leaks; rows with a null doc_id stay."""
-    return docs.join(leaks(docs, benchmark, threshold).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The documents into which no item leaks, by their texts, whatever their doc_id."""
+    leaking = keyed_leaks(docs, benchmark, threshold).select(F.col("text_key").alias("_key")).distinct()
+    return docs.withColumn("_key", text_key_column()).join(leaking, "_key", "left_anti").select(docs.columns)
 
 
 #: DuckDB SQL over ``docs`` (a relation with doc_id, text) for the rows of ``leaks``.

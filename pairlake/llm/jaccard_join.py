@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocked, textvec
-from .common import blocks_for, cut, staged, with_small
+from .common import blocks_for, cut, staged, text_key, text_key_column, with_small
 from .components import components
 from .repeats import NO_ID
 
@@ -70,7 +70,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = textvec.Words(data, offsets)
             digests += _digest_column(w)
             counts.append(w.counts())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(np.concatenate(counts), pa.int64())], ["doc_id", "digest", "n_words"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(np.concatenate(counts), pa.int64()), pa.array([text_key(t.as_py()) for t in batch.column("text")], pa.string())], ["doc_id", "digest", "n_words", "text_key"])
 
 
 def _sets(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -271,9 +271,30 @@ def _grouped(sets: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """documents -> doc_id, n_shingles, component_id."""
+    id_or_null = lambda c: F.when(c != NO_ID, c)
+    return _members(docs).select(
+        id_or_null(F.col("doc_id")).alias("doc_id"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"),
+        id_or_null(F.coalesce("root", "first", "doc_id")).alias("component_id"),
+    )
+
+
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies, with all columns: least doc_id (nulls last), then least key of its text.
+
+    Rows without words are grouped by doc_id and text.
+    """
+    group = F.coalesce(F.col("comp").cast("string"), F.col("doc").cast("string"), F.concat_ws(":", "doc_id", "text_key"))
+    first = _members(docs).groupBy(group.alias("g")).agg(F.min(F.struct("doc_id", "text_key")).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.text_key").alias("_key"))
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_key": text_key_column()})
+    return keyed.join(first, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(docs.columns)
+
+
+def _members(docs: DataFrame) -> DataFrame:
+    """doc_id (NO_ID for null), text_key, and of the row's class: doc, first, n, comp, root."""
     n = blocks_for(docs)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    members = rows.mapInArrow(_keyed, "doc_id long, digest binary, n_words long")
+    members = rows.mapInArrow(_keyed, "doc_id long, digest binary, n_words long, text_key string")
     classes = members.where("n_words > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     texts = blocked.dealt(rows, n)
     first = blocked.firsts(classes, n)
@@ -283,14 +304,8 @@ def groups(docs: DataFrame) -> DataFrame:
     labels = _grouped(sets)
     named = sets.select("doc", "first").join(labels, "doc")
     roots = named.groupBy("comp").agg(F.min("first").alias("root"))
-    known = sets.select("digest", "doc", "first", "n").join(labels.join(roots, "comp").select("doc", "root"), "doc", "left")
-    found = members.join(known, "digest", "left")
-    id_or_null = lambda c: F.when(c != NO_ID, c)
-    return found.select(
-        id_or_null(F.col("doc_id")).alias("doc_id"),
-        F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"),
-        id_or_null(F.coalesce("root", "first", "doc_id")).alias("component_id"),
-    )
+    known = sets.select("digest", "doc", "first", "n").join(labels.join(roots, "comp").select("doc", "comp", "root"), "doc", "left")
+    return members.join(known, "digest", "left")
 
 
 def groups_sql(docs: str = "documents") -> str:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, staged
+from .common import cut, staged, text_key
 
 #: Fixed values of the job: the base patterns and the least length of what must be long.
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -204,16 +204,17 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 RUNS = "array<struct<start:int,end:int,length_class:int,cell:int,uniform:boolean>>"
-SCANNED = f"doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, runs {RUNS}"
+SCANNED = f"doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, runs {RUNS}, text_key string"
 _RUN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("length_class", pa.int32()), ("cell", pa.int32()), ("uniform", pa.bool_())]))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n: list[list[int]] = [[], [], []]
-        digest, listed, runs = [], [], []
+        digest, listed, runs, keys = [], [], [], []
         for text in batch.column("text"):
             text = text.as_py() or ""
+            keys.append(text_key(text))
             base = base_spans(text)
             for k in range(3):
                 n[k].append(sum(1 for s in base if s[1] == k))
@@ -221,8 +222,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest.append(hashlib.sha256(listed[-1].encode()).hexdigest())
             runs.append([dict(zip(("start", "end", "length_class", "cell", "uniform"), c)) for c in candidates(text, base)])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in n], pa.array(digest, pa.string()), pa.array(listed, pa.string()), pa.array(runs, _RUN_TYPE)],
-            ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "runs"],
+            [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in n], pa.array(digest, pa.string()), pa.array(listed, pa.string()), pa.array(runs, _RUN_TYPE), pa.array(keys, pa.string())],
+            ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "runs", "text_key"],
         )
 
 
@@ -251,6 +252,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
     ``spans`` lists base spans and the method's, as kind:start:end.
     """
+    return keyed_scan(docs).drop("text_key")
+
+
+def keyed_scan(docs: DataFrame) -> DataFrame:
+    """Rows of ``scan`` with the key of their text, which alone decides its spans."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, SCANNED)
     rows = staged(rows, "secret-runs")  # a few numbers per document: texts are read once
     seen = rows.select(F.explode("runs").alias("r")).select("r.*")
@@ -265,7 +271,7 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     spans = F.array_sort(F.concat(base, F.transform(random, lambda r: named(KINDS.index("random"), r["start"], r["end"]))))
     text = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(F.array(*map(F.lit, KINDS)), s["k"]), s["s"], s["e"])), ",")
-    return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text.alias("spans"), F.size(random).cast("long").alias("n_random"))
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text.alias("spans"), F.size(random).cast("long").alias("n_random"), "text_key")
 
 
 def redact(text: str | None, spans: str, mark: str = "[SECRET]") -> str | None:

@@ -37,3 +37,20 @@ def test_stages_return_documents(spark, docs_of):
     assert p.without_secrets(spark, docs, DATA).count() == len(rows)
     secret = docs_of([(1, "token = abcdefgh1234 x"), (2, "plain")])
     assert {r["doc_id"]: (r["text"], r["n_chars"], r["spans"]) for r in p.without_secrets(spark, secret, DATA).collect()} == {1: ("[SECRET] x", 10, "y"), 2: ("plain", 5, "y")}
+
+
+def test_rows_have_their_own_verdicts(spark, docs_of):
+    """Null and repeated doc_ids: no row gets another's verdict, spans or place."""
+    clean = lambda k: f"Text {k} " + " ".join(f"w{k}x{j}" for j in range(60))
+    texts = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in df.collect())
+    rows = [(None, clean(1)), (None, clean(2)), (3, clean(3)), (3, "short"), (3, clean(4)), (None, "short"), (5, clean(5))]
+    want = sorted((i is None, i or 0, t) for i, t in rows if t != "short")
+    assert texts(p.quality_rules(spark, docs_of(rows), DATA)) == want
+    copies = [(None, clean(1)), (4, clean(3) + " end"), (5, clean(3))]
+    assert texts(p.near_duplicates(spark, docs_of([r for r in rows if r[1] != "short"] + copies), DATA)) == want
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first()["text"]
+    leaky = docs_of([(3, clean(3)), (3, f"{clean(6)} {item}"), (None, f"{clean(7)} {item}"), (None, clean(1))])
+    assert texts(p.decontaminated(spark, leaky, DATA)) == [(False, 3, clean(3)), (True, 0, clean(1))]
+    secret = docs_of([(None, "a token = abcdefgh1234 x"), (3, "password=abcdefgh99"), (3, "bb cc api_key: zyxwvuts12"), (3, "plain"), (None, None)])
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in p.without_secrets(spark, secret, DATA).collect())
+    assert got == [(False, 3, "[SECRET]"), (False, 3, "bb cc [SECRET]"), (False, 3, "plain"), (True, 0, ""), (True, 0, "a [SECRET] x")]
