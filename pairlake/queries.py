@@ -51,6 +51,12 @@ def context_sql(c: str, least: int = 50, most: int = 1_000) -> str:
     )
 
 
+def boilerplate_sql(c: str) -> str:
+    phrases = r"(?i)(?:This article has been cited by other articles in PMC|Articles from [^\n]* are provided here courtesy of|External link\. Please review our privacy policy|Go to:)"
+    lines = r"(?i)(?:©|Copyright|All rights reserved|Licensed under|Published by)[^\n]*(?:\n|$)"
+    return f"regexp_replace(regexp_replace({c}, '{phrases}', '', 'g'), '{lines}', '', 'g')"
+
+
 CONVS = f"""turns as (select conv_id, list(text order by turn) as contexts,
   list(case role when 'user' then 'background' when 'assistant' then 'methodology' when 'system' then 'result' end order by turn) as intents
   from conversations group by conv_id),
@@ -77,7 +83,7 @@ def forward_adjacency(spark, sf_dir):
 @query(f"""with {EDGES}, {PAPERS}, d as (select distinct citing, cited from edges),
 r as (select *, row_number() over (partition by citing order by cited) as rn from d),
 p as (select distinct a.cited as x, b.cited as y from r a join r b on a.citing = b.citing and a.cited < b.cited where a.rn <= 10 and b.rn <= 10),
-s as (select corpusid, title || '. ' || substr(abstract, 1, 80) as t from papers where title is not null and length(abstract) between 50 and 5000)
+s as (select corpusid, title || '. ' || abstract as t from papers where title is not null and length(abstract) between 50 and 5000)
 select x, y, 'search_query: ' || a.t as anchor, 'search_document: ' || b.t as positive, cast(null as varchar) as negative, 'co_citation' as signal_type
 from p join s a on a.corpusid = x join s b on b.corpusid = y""")
 def cocitation_pairs(spark, sf_dir):
@@ -103,7 +109,8 @@ def two_hop_candidates(spark, sf_dir):
     return rows.groupBy("citing").agg(F.count(F.lit(1)).alias("n"), F.sum("hop").alias("sum_hop"), F.count_distinct("hop").alias("hops"))
 
 
-@query(f"""with {DIGRAPH}, {PAPERS}, pool as (select * from papers where title is not null and length(abstract) >= 50),
+#: Hard negatives: citing, cited, negative, branch.
+_NEGATIVES = f"""{DIGRAPH}, {PAPERS}, pool as (select * from papers where title is not null and length(abstract) >= 50),
 pairs as (select distinct citing, cited from digraph where isinfluential and citing in (select corpusid from pool) and cited in (select corpusid from pool)),
 adj as (select citing, list(cited order by cited, citationid) as ids from (select *, row_number() over (partition by citing order by cited, citationid) as rn from digraph where isinfluential) where rn <= 20 group by citing),
 fields as (select field_of_study as field, row_number() over (partition by field_of_study order by corpusid) - 1 as idx, corpusid as neg, count(*) over (partition by field_of_study) as n from pool where field_of_study is not null),
@@ -118,10 +125,13 @@ h as (select citing, cited, arg_min(neg, k) as two_hop from (select b.citing, b.
   where neg <> citing and neg <> cited and neg in (select corpusid from pool) group by 1, 2),
 m as (select b.citing, b.cited, same_field, two_hop from base b left join f using (citing, cited) left join h using (citing, cited)),
 r as (select m.citing, m.cited, arg_min(e.neg, k) as anyone from m cross join ks join everyone e on e.idx = {draw_sql(42, 'pool', 'm.citing', 'm.cited', 'k')} % (select count(*) from pool)
-  where coalesce(same_field, two_hop) is null and k < 10 and e.neg <> m.citing and e.neg <> m.cited group by 1, 2)
-select citing as anchor_id, cited as positive_id, coalesce(same_field, two_hop, anyone) as negative_id,
+  where coalesce(same_field, two_hop) is null and k < 10 and e.neg <> m.citing and e.neg <> m.cited group by 1, 2),
+negs as (select citing, cited, coalesce(same_field, two_hop, anyone) as negative,
   case when same_field is not null then 'same_field' when two_hop is not null then 'two_hop' else 'random' end as branch
-from m left join r using (citing, cited) where coalesce(same_field, two_hop, anyone) is not null""")
+  from m left join r using (citing, cited) where coalesce(same_field, two_hop, anyone) is not null)"""
+
+
+@query(f"with {_NEGATIVES} select citing as anchor_id, cited as positive_id, negative as negative_id, branch from negs")
 def hard_negatives(spark, sf_dir):
     pool = graph.paper_pool(views.papers(spark, sf_dir))
     edges = graph.tier(views.digraph(spark, sf_dir), True)
@@ -130,7 +140,9 @@ def hard_negatives(spark, sf_dir):
     return rows.select(F.col("citing").alias("anchor_id"), F.col("cited").alias("positive_id"), F.col("negative").alias("negative_id"), "branch")
 
 
-@query()
+@query(f"""with {_NEGATIVES}, s as (select corpusid, title || '. ' || substr(abstract, 1, 512) as t from pool where title <> '')
+select 'search_query: ' || a.t as anchor, 'search_document: ' || p.t as positive, 'search_document: ' || n.t as negative, citing as anchor_id, cited as positive_id, negs.negative as negative_id
+from negs join s a on a.corpusid = citing join s p on p.corpusid = cited join s n on n.corpusid = negs.negative""")
 def citation_triplets(spark, sf_dir):
     pool = graph.paper_pool(views.papers(spark, sf_dir))
     edges = graph.tier(views.digraph(spark, sf_dir), True)
@@ -183,7 +195,7 @@ def tldr_pairs(spark, sf_dir):
     return signals.summary_pairs(views.tldrs(spark, sf_dir), views.papers(spark, sf_dir))
 
 
-@query(f"""with {DIGRAPH}, {PAPERS}, s as (select corpusid, title || '. ' || substr(abstract, 1, 100) as t from papers where title is not null and length(abstract) between 50 and 5000)
+@query(f"""with {DIGRAPH}, {PAPERS}, s as (select corpusid, title || '. ' || abstract as t from papers where title is not null and length(abstract) between 50 and 5000)
 select citing, cited, citationid, isinfluential, 'search_query: ' || a.t as anchor, 'search_document: ' || b.t as positive, cast(null as varchar) as negative, 'improves_over' as signal_type
 from digraph join s a on a.corpusid = cited join s b on b.corpusid = citing where isinfluential and citationid % 3 = 0""")
 def improves_over_pairs(spark, sf_dir):
@@ -196,7 +208,7 @@ def _works(spark, sf_dir):
     return views.papers(spark, sf_dir).select(F.col("corpusid").alias("id"), "title", "abstract", F.col("lang").alias("language"), F.coalesce(valid, F.lit(False)).alias("valid_title_abstract"))
 
 
-@query(f"""with {DIGRAPH}, {PAPERS}, w as (select corpusid as id, title, substr(abstract, 1, 4000) as abstract from papers where lang = 'en' and corpusid % 7 <> 0 and length(substr(abstract, 1, 4000)) between 51 and 4999)
+@query(f"""with {DIGRAPH}, {PAPERS}, w as (select corpusid as id, title, abstract from papers where lang = 'en' and {strip_sql('title')} <> '' and {strip_sql('abstract')} <> '' and length(abstract) between 51 and 4999)
 select work_id, related_work_id, 'search_query: ' || a.title || '. ' || a.abstract as anchor, 'search_document: ' || b.title || '. ' || b.abstract as positive, cast(null as varchar) as negative, 'related_works' as signal_type
 from (select distinct citing as work_id, cited as related_work_id from digraph) r join w a on a.id = work_id join w b on b.id = related_work_id where {uniform_sql(7, 'bernoulli', 'work_id', 'related_work_id')} < 0.02""")
 def related_pairs_bernoulli(spark, sf_dir):
@@ -244,8 +256,7 @@ def context_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.filter_context(F.col("text"), 50, 5_000).alias("context"))
 
 
-@query(r"""with a as (select doc_id, regexp_replace(text, '(?i)(?:This article has been cited by other articles in PMC|Articles from [^\n]* are provided here courtesy of|External link\. Please review our privacy policy|Go to:)', '', 'g') as t from documents)
-select doc_id, regexp_replace(t, '(?i)(?:©|Copyright|All rights reserved|Licensed under|Published by)[^\n]*(?:\n|$)', '', 'g') as cleaned from a""")
+@query(f"select doc_id, {boilerplate_sql('text')} as cleaned from documents")
 def clean_boilerplate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.remove_boilerplate(F.col("text")).alias("cleaned"))
 
@@ -272,10 +283,11 @@ def document_sections(spark, sf_dir):
     return sections.extract(docs)
 
 
-@query(f"""with t as (select doc_id, {TOKENS.format(c='substr(text, 1, 400)')} as a, {TOKENS.format(c='substr(text, 200, 400)')} as b from documents),
-g as (select doc_id, case when len(a) >= 3 then list_distinct(list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i+1] || ' ' || a[i+2])) else [] end as s,
-  case when len(b) >= 3 then list_distinct(list_transform(range(1, len(b) - 1), lambda i: b[i] || ' ' || b[i+1] || ' ' || b[i+2])) else [] end as u from t)
-select doc_id, len(s) as n, case when len(s) > 0 then round(len(list_intersect(s, u)) / len(s), 6) end as overlap from g""")
+@query(f"""with t as (select doc_id, {TOKENS.format(c='text')} as a, {TOKENS.format(c=boilerplate_sql('text'))} as b from documents),
+s as (select distinct doc_id, unnest(list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i+1] || ' ' || a[i+2])) as g from t),
+u as (select distinct doc_id, unnest(list_transform(range(1, len(b) - 1), lambda i: b[i] || ' ' || b[i+1] || ' ' || b[i+2])) as g from t),
+n as (select s.doc_id, count(*) as n, count(u.g) as both_have from s left join u on s.doc_id = u.doc_id and s.g = u.g group by s.doc_id)
+select doc_id, coalesce(n, 0)::bigint as n, round(both_have / n, 6) as overlap from t left join n using (doc_id)""")
 def trigram_overlap(spark, sf_dir):
     """Trigrams of the whole text, and the share that boilerplate removal leaves."""
     rows = table(spark, sf_dir, "documents").select("doc_id", text.trigrams(F.col("text")).alias("s"), text.trigrams(text.remove_boilerplate(F.col("text"))).alias("u"))
@@ -346,9 +358,9 @@ def _signals(spark, sf_dir):
 
 def _parts_sql(samples: tuple[int | None, ...]) -> str:
     bodies = (
-        "select substr(text, 1, 40) as anchor, substr(text, 41, 40) as positive, case when doc_id % 2 = 0 then lang end as negative, 'citation_triplets' as signal_type, 0 as o from documents",
-        "select * from (select substr(text, 1, 40) as anchor, case when turn = 0 then substr(text, 1, 40) else substr(text, 41, 40) end as positive, cast(null as varchar) as negative, 'instruction_pairs' as signal_type, 1 as o from conversations) where anchor is not null and not starts_with(anchor, 'cluster:') and anchor is distinct from positive",
-        "select substr(text, 1, 40) as anchor, substr(text, 41, 40) as positive, cast(null as varchar) as negative, 'context_pairs' as signal_type, 2 as o from documents",
+        "select substr(text, 1, 60) as anchor, text as positive, case when doc_id % 2 = 0 then lang end as negative, 'citation_triplets' as signal_type, 0 as o from documents",
+        "select * from (select c.text as anchor, o.text as positive, cast(null as varchar) as negative, 'instruction_pairs' as signal_type, 1 as o from conversations c join (select conv_id, arg_min(text, turn) as text from conversations group by conv_id) o using (conv_id)) where anchor is not null and not starts_with(anchor, 'cluster:') and anchor is distinct from positive",
+        "select substr(text, 1, 60) as anchor, text as positive, cast(null as varchar) as negative, 'context_pairs' as signal_type, 2 as o from documents",
     )
     cut = lambda s, n: f"({s})" if n is None else f"(select * from ({s}) order by {digest_sql(42, 'exact', 'anchor', 'positive')}, anchor, positive limit {n})"
     return " union all ".join(f"select * from {cut(s, n)}" for s, n in zip(bodies, samples))
@@ -395,7 +407,7 @@ def chunk_tokens(spark, sf_dir):
     return rows.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("input_ids"), active.cast("long").alias("active"))
 
 
-@query(f"""with {_IDS}, t as (select doc_id, unnest(ids[1:50]) as x, unnest(range(len(ids[1:50]))) as i from ids),
+@query(f"""with {_IDS}, t as (select doc_id, unnest(ids) as x, unnest(range(len(ids))) as i from ids),
 u as (select *, {uniform_sql(42, 'choose', 'doc_id', 'i')} < 0.3 and x not in (101, 102, 0) as chosen from t),
 v as (select *, case when not chosen then x when {uniform_sql(42, 'kind', 'doc_id', 'i')} < 0.8 then 103 when {uniform_sql(42, 'half', 'doc_id', 'i')} < 0.5 then floor({uniform_sql(42, 'word', 'doc_id', 'i')} * 1000)::bigint else x end as y from u)
 select doc_id, sum(case when chosen then 1 else 0 end)::bigint as n_chosen, sum(case when chosen and y = 103 then 1 else 0 end)::bigint as n_masked, sum(y)::bigint as sum_ids from v group by doc_id""")

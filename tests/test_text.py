@@ -39,8 +39,8 @@ def test_clean_text_uses_latex_rules_by_source(spark):
 
 def test_context_filter(spark):
     words = "abcd " * 10
-    got = apply(spark, text.filter_context, None, "", "x" * 49, f"  {words}x  ", "two " + "w" * 50, "1234 " * 12, ("ab 1 " * 12).strip(), "a b " + "c" * 1000)
-    assert got == [None, None, None, f"{words}x", None, None, ("ab 1 " * 12).strip(), None]
+    got = apply(spark, text.filter_context, None, "", "x" * 49, f"  {words}x  ", "two " + "w" * 50, "1234 " * 12, ("ab 1 " * 12).strip(), ("ab 12 " * 12).strip(), ("abc 1 " * 12).strip(), "a b " + "c" * 1000)
+    assert got == [None, None, None, f"{words}x", None, None, None, None, ("abc 1 " * 12).strip(), None]
 
 
 @pytest.mark.parametrize(("given", "want"), [(None, []), ("background, methodology", ["background", "methodology"]), (" RESULT ,, ", ["result"])])
@@ -63,7 +63,7 @@ def test_trigrams_and_overlap(spark):
 def test_sentences_noise_and_middle(spark):
     assert apply(spark, text.sentences, "One. Two! (three) four? five") == [["One.", "Two!", "(three) four? five"]]
     assert apply(spark, text.is_noise, "[12], 13;", "see Fig. 3", "Table 2", "et al said", "a claim") == [True, True, True, True, False]
-    assert apply(spark, text.middle_third, "abcdefghi", "ab") == ["def", "b"]
+    assert apply(spark, text.middle_third, "abcdefghi", "abcdefgh", "ab", "a") == ["def", "cde", "a", ""]
 
 
 def test_titles_tasks_and_answers(spark):
