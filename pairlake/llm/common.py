@@ -19,12 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = f"/tmp/checkpoints/pairlake-{os.getpid()}"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
+    """The shared folder that the cluster names.
+
+    Where none is named, a local session, whose executors are this machine, gets one of
+    its own; on a cluster that would lose data with an executor, so it is an error.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    named = named or f"/tmp/checkpoints/pairlake-{os.getpid()}"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
     return named
 
 
@@ -38,14 +44,40 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a wide intermediate table to the shared folder and read it back.
 
     Parquet is several times smaller than a checkpoint of the same rows; a lost
-    executor only costs the tasks that it ran.
+    executor only costs the tasks that it ran. ``discard`` removes the table again.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/pairlake-tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that each application has staged and not discarded.
+_written: dict[str, list[str]] = {}
+
+
+def written(spark: SparkSession) -> int:
+    """How many tables this application has staged and not discarded."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def discard(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> int:
+    """Remove the tables that were staged after the first ``since``, but for those that a table is read from; how many.
+
+    Results are lazy: call it when all that was made of these tables is written.
+    """
+    bare = lambda p: p.split(":", 1)[-1].lstrip("/")
+    keep = {bare(f).rsplit("/", 1)[0] for f in but.inputFiles()} if but is not None else set()
+    own = _written.get(spark.sparkContext.applicationId, [])
+    gone = [p for p in own[since:] if bare(p) not in keep]
+    for path in gone:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        own.remove(path)
+    return len(gone)
+
+
 def text_key(text: str | None) -> str:
     """Name of a text as ``text_key_column`` gives it; a null text is as an empty one."""
     return hashlib.md5((text or "").encode("utf-8", "surrogatepass")).hexdigest()
@@ -70,10 +102,38 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-#: Rows of a small table that may be sent to every task; a hundred numbers in each make 40 MB.
-BROADCAST_ROWS = 50_000
+#: Rows of a small table that may be sent to every task, if they also have fewer bytes than the second bound.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 32 << 20
+#: Parts of each key's rows where a table is too large to be sent.
+SALTS = 16
+
 
+def with_small(rows: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """Join a table that is usually small and cheap to count, without nulls in its key.
 
-def with_small(rows: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join a table that is usually small and cheap to count: broadcast below BROADCAST_ROWS, shuffled beyond."""
-    return rows.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, key, how)
+    Below BROADCAST_ROWS and BROADCAST_BYTES, both measured, it is broadcast.
+    Beyond, the join is a shuffle in which each key's rows are dealt to SALTS tasks, so
+    that a key with a third of all rows does not land in one.
+    """
+    return beside(rows, small, key, fits(small), how)
+
+
+def beside(rows: DataFrame, small: DataFrame, key: str | list[str], sent: bool, how: str = "inner") -> DataFrame:
+    """The join of ``with_small`` for a table whose size is known: ``sent`` tells whether it is below the bounds."""
+    keys = [key] if isinstance(key, str) else key
+    if sent:
+        return rows.join(F.broadcast(small), keys, how)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    others = [F.col(c) for c in rows.columns if c not in keys] or [F.lit(0)]
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
+def fits(small: DataFrame) -> bool:
+    """Whether a table is below both bounds, its strings, lists and structs measured as they would be written out."""
+    n = small.count()
+    if n > BROADCAST_ROWS:
+        return False
+    wide = [c for c, kind in small.dtypes if kind in ("string", "binary") or kind.startswith(("array", "struct", "map"))]
+    size = small.agg(F.sum(F.octet_length(F.to_json(F.struct(*wide))))).first()[0] if n and wide else 0
+    return (size or 0) + 8 * n * len(small.columns) <= BROADCAST_BYTES

@@ -25,8 +25,10 @@ result. Shingles are compared by 64-bit hashes.
 Defined results: words are runs of other than U+0009..U+000D and U+0020, A-Z
 lower-cased. One to four words make one shingle, the whole sequence. A document
 without words or with a null text has an empty set, is linked with nothing and is
-its own component. A null doc_id counts as larger than every other and is reported
-as null. Repeated rows link like any equal texts; different texts with one doc_id are
+its own component. A null doc_id counts as 2**63 - 1, larger than every other, and is
+reported as null; a component has that id if a document of that id is in it, and
+null if all its ids are null. Counts of classes per shingle are exact up to 65 535 and
+stand at that beyond, which changes only the order among the very commonest. Repeated rows link like any equal texts; different texts with one doc_id are
 different documents. Extra columns are ignored.
 """
 
@@ -70,7 +72,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = textvec.Words(data, offsets)
             digests += _digest_column(w)
             counts.append(w.counts())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(np.concatenate(counts), pa.int64()), pa.array([text_key(t.as_py()) for t in batch.column("text")], pa.string())], ["doc_id", "digest", "n_words", "text_key"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("no_id"), pa.array(digests, pa.binary()), pa.array(np.concatenate(counts), pa.int64()), pa.array([text_key(t.as_py()) for t in batch.column("text")], pa.string())], ["doc_id", "no_id", "digest", "n_words", "text_key"])
 
 
 def _sets(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -271,32 +273,42 @@ def _grouped(sets: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """documents -> doc_id, n_shingles, component_id."""
-    id_or_null = lambda c: F.when(c != NO_ID, c)
-    return _members(docs).select(
-        id_or_null(F.col("doc_id")).alias("doc_id"),
+    members = _members(docs).withColumns({"least": F.coalesce("root", "first", "doc_id"), "g": _group()})
+    if docs.where(F.col("doc_id") == NO_ID).isEmpty():
+        real = F.col("least") != NO_ID
+    else:  # that id is in use: a component has it if one of its documents does
+        own = members.where((F.col("least") == NO_ID) & ~F.col("no_id")).select("g").distinct()
+        members = members.join(own.withColumn("real", F.lit(True)), "g", "left")
+        real = (F.col("least") != NO_ID) | F.col("real")
+    return members.select(
+        F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"),
-        id_or_null(F.coalesce("root", "first", "doc_id")).alias("component_id"),
+        F.when(real, F.col("least")).alias("component_id"),
     )
 
 
+def _group() -> Column:
+    """A name for the component of a row of ``_members``; rows without words are grouped by doc_id and text."""
+    return F.coalesce(F.col("comp").cast("string"), F.col("doc").cast("string"), F.concat_ws(":", "doc_id", "text_key"))
+
+
 def first_of_groups(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies, with all columns: least doc_id (nulls last), then least key of its text.
 
     Rows without words are grouped by doc_id and text.
     """
-    group = F.coalesce(F.col("comp").cast("string"), F.col("doc").cast("string"), F.concat_ws(":", "doc_id", "text_key"))
-    first = _members(docs).groupBy(group.alias("g")).agg(F.min(F.struct("doc_id", "text_key")).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.text_key").alias("_key"))
+    first = _members(docs).groupBy(_group().alias("g")).agg(F.min(F.struct("doc_id", "text_key")).alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.text_key").alias("_key"))
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_key": text_key_column()})
     return keyed.join(first, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(docs.columns)
 
 
 def _members(docs: DataFrame) -> DataFrame:
-    """doc_id (NO_ID for null), text_key, and of the row's class: doc, first, n, comp, root."""
+    """doc_id (NO_ID for null), no_id, text_key, and of the row's class: doc, first, n, comp, root."""
     n = blocks_for(docs)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    members = rows.mapInArrow(_keyed, "doc_id long, digest binary, n_words long, text_key string")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
+    members = rows.mapInArrow(_keyed, "doc_id long, no_id boolean, digest binary, n_words long, text_key string")
     classes = members.where("n_words > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    texts = blocked.dealt(rows, n)
+    texts = blocked.dealt(rows.drop("no_id"), n)
     first = blocked.firsts(classes, n)
     sent = blocked.on_blocks(texts, first, _send(n), blocked.MESSAGE, n)
     known = first.unionByName(blocked.on_buckets(sent, _count, n))

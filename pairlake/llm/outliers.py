@@ -3,16 +3,22 @@
 Base rules count words, symbols, repeated lines and repeated three-word windows of
 every whole text. What passes them is judged as a point of five transformed
 statistics against the minimum-covariance-determinant estimate of its language and
-source: medians and MADs give the start, concentration steps then take mean and
-covariance of the 75 % of points nearest under the last estimate. A document whose
-Mahalanobis distance, scaled to a chi-squared quantile, exceeds the cutoff is
-rejected. Documents of a language and source with few are judged by the estimate of
+source. Points are standardised by medians and MADs; three deterministic starts
+(these alone, the covariance of hyperbolic tangents and that of spatial signs, as in
+Hubert, Rousseeuw and Verdonck, "A deterministic algorithm for robust location and
+scatter", 2012) each take concentration steps, mean and covariance of the 75 % of
+points nearest under the last estimate, until no determinant has fallen below its
+least for two steps, and a group keeps the estimate of the least determinant. The square of each statistic's
+floor is added to its variance, so that determinants stay above zero and a statistic
+that hardly varies rejects nothing by itself. A document whose Mahalanobis distance,
+scaled to a chi-squared quantile, exceeds the cutoff is rejected; one at the cutoff
+stays. Documents of a language and source with few are judged by the estimate of
 all documents of their language, or of the whole table if the language has few too.
 
 Only DataFrame operations are used. Words of a text are never exploded into rows:
 windows are hashed, sorted and compared inside the row. Quantiles per group come
 from counts on a fixed grid, which are the same in any order of rows and aggregate
-before the shuffle; a step shuffles a few numbers per group and grid cell.
+before the shuffle; a step shuffles a few numbers per group, start and grid cell.
 
 Defined results: a null or empty text has no words and fails the base rules. Null
 languages and sources are values of their own. In a table of which fewer than ``LEAST_GROUP`` documents pass
@@ -27,14 +33,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, let, staged, with_small
+from .common import BROADCAST_ROWS, beside, cut, let, staged, with_small
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 
-#: Share of a group that the estimate is taken from, concentration steps, and the chi-squared quantiles
-#: with five degrees of freedom at that share and at 0.999999: fixed values.
-SHARE, STEPS, CHI_AT_SHARE, CUTOFF = 0.75, 4, 6.6257, 35.888
+#: Share of a group that the estimate is taken from, and the chi-squared quantiles with five degrees of
+#: freedom at that share and at 0.999999: fixed values.
+SHARE, CHI_AT_SHARE, CUTOFF = 0.75, 6.6257, 35.888
+#: Starts of each group, most concentration steps, and the fall of a log-determinant that calls for another step.
+STARTS, MOST_STEPS, FALL = 3, 12, 1e-6
 LEAST_GROUP = 50
 #: Least standard deviations of the statistics, so that one that hardly varies in a group cannot reject by itself.
 FLOORS = (0.35, 0.05, 0.04, 0.5, 0.1)
@@ -44,8 +52,7 @@ _LOW44 = (1 << 20) - 1
 
 
 def _words(text: Column) -> Column:
-    bare = F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE + "+"))
+    return F.array_remove(F.split(text, SPACE + "+"), "")  # white space at either end leaves an empty string
 
 
 def _repeat_words(words: Column) -> Column:
@@ -90,12 +97,12 @@ def _repeat_words(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) < 3, F.lit(0)).otherwise(let(windows(w), per_row)))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """documents -> doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+def statistics(docs: DataFrame, *others: str) -> DataFrame:
+    """documents -> doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed; and any others."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    counted = docs.select("doc_id", "lang", "source", text.alias("text")).select(
-        "doc_id", "lang", "source",
+    counted = docs.select("doc_id", "lang", "source", *others, text.alias("text")).select(
+        "doc_id", "lang", "source", *others,
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         let(_words(F.col("text")), lambda w: F.struct(
@@ -104,7 +111,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             _repeat_words(w).cast("long").alias("n_repeat_words"),
         )).alias("w"),
     )
-    counted = counted.select("doc_id", "lang", "source", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words")
+    counted = counted.select("doc_id", "lang", "source", *others, "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
 
@@ -121,27 +128,27 @@ def vector() -> list[Column]:
     ]
 
 
-def _pooled(stats: DataFrame) -> DataFrame:
-    """Rows that passed the base rules, once per group ``g`` whose estimate they belong to; ``own`` marks the one that judges them.
+POOL = ["g_lang", "g_source"]
+
 
-    Without any group large enough, g is null.
+def _pools(rows: DataFrame) -> DataFrame:
+    """g_lang, g_source and the groups whose estimates their rows belong to; ``own`` marks the one that judges them.
+
+    Without any group large enough, there are none.
     """
-    lang, source = F.coalesce("lang", F.lit("\0")), F.coalesce("source", F.lit("\0"))
-    rows = stats.where(~F.col("base_failed")).withColumns({"g_lang": lang, "g_source": source})
-    counts = cut(rows.groupBy("g_lang", "g_source").agg(F.count(F.lit(1)).alias("n")))
     by_lang = Window.partitionBy("g_lang")
+    counts = cut(rows.groupBy(*POOL).agg(F.count(F.lit(1)).alias("n")))
     counts = counts.withColumn("lang_n", F.sum("n").over(by_lang)).withColumn("few", F.col("n") < LEAST_GROUP).withColumn("few_too", F.col("few") & (F.col("lang_n") < LEAST_GROUP))
     by_language = F.col("few") & ~F.col("few_too")
     seen = counts.agg(F.sum("n").alias("n"), F.max("few_too").alias("few_too")).first()
     whole = bool(seen["few_too"]) and seen["n"] >= LEAST_GROUP
     group = lambda name, own: F.struct(name.alias("g"), own.alias("own"))
     groups = [
-        F.when(~F.col("few"), group(F.concat_ws("\1", F.lit("both"), "g_lang", "g_source"), F.lit(True))),
+        F.when(~F.col("few"), group(F.concat_ws("\1", F.lit("both"), *POOL), F.lit(True))),
         F.when(F.max(by_language).over(by_lang), group(F.concat_ws("\1", F.lit("lang"), "g_lang"), by_language)),
         F.when(F.lit(whole), group(F.lit("all"), F.col("few_too"))),
     ]
-    names = counts.select("g_lang", "g_source", F.array_compact(F.array(*groups)).alias("groups"))
-    return rows.join(names, ["g_lang", "g_source"]).withColumn("p", F.explode_outer("groups")).select(*rows.columns, "p.g", "p.own")
+    return cut(counts.select(*POOL, F.array_compact(F.array(*groups)).alias("groups")))
 
 
 def _quantile(rows: DataFrame, keys: list[str], cell: Column, share: float) -> DataFrame:
@@ -158,69 +165,146 @@ GRID, LOG_GRID = 512, 64
 
 def _start(rows: DataFrame) -> DataFrame:
     """g, m0.., s0..: medians and MADs (with floors) of the statistics."""
-    long = rows.select("g", F.posexplode(F.array(*[f"x{i}" for i in range(D)])).alias("i", "x"))
-    medians = _quantile(long, ["g", "i"], F.floor(F.col("x") * GRID), 0.5).withColumn("m", (F.col("q") + 0.5) / GRID)
-    spread = long.join(medians.select("g", "i", "m"), ["g", "i"])
-    mads = _quantile(spread, ["g", "i"], F.floor(F.abs(F.col("x") - F.col("m")) * GRID), 0.5).withColumn("s", 1.4826 * (F.col("q") + 0.5) / GRID)
-    both = medians.select("g", "i", "m").join(mads.select("g", "i", "s"), ["g", "i"])
-    at = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
-    return both.groupBy("g").agg(*[at("m", i).alias(f"m{i}") for i in range(D)], *[F.greatest(at("s", i), F.lit(FLOORS[i])).alias(f"s{i}") for i in range(D)])
+
+    def middles(of: DataFrame, values: list[Column], name: str) -> DataFrame:
+        long = of.select("g", F.posexplode(F.array(*values)).alias("i", "x"))
+        cells = _quantile(long, ["g", "i"], F.floor(F.col("x") * GRID), 0.5).withColumn("x", (F.col("q") + 0.5) / GRID)
+        return cut(cells.groupBy("g").agg(*[F.max(F.when(F.col("i") == i, F.col("x"))).alias(f"{name}{i}") for i in range(D)]))
+
+    medians = middles(rows, [F.col(f"x{i}") for i in range(D)], "m")
+    mads = middles(with_small(rows, medians, "g"), [F.abs(F.col(f"x{i}") - F.col(f"m{i}")) for i in range(D)], "s")
+    return cut(medians.join(mads, "g").select("g", *[f"m{i}" for i in range(D)], *[F.greatest(1.4826 * F.col(f"s{i}"), F.lit(FLOORS[i])).alias(f"s{i}") for i in range(D)]))
+
+
+_PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
+_SUMS = [f"avg(z{i}) as c{i}" for i in range(D)] + [f"avg(z{i} * z{j}) as p{i}{j}" for i, j in _PAIRS] + [f"first(f{i}) as f{i}" for i in range(D)]
+
+
+def _factors() -> list[str]:
+    """Covariance, its Cholesky factor l, row by row, and the inverse of that by forward substitution, each from those before."""
+    out = [f"p{i}{j} - c{i} * c{j} + {f'f{i} * f{i}' if i == j else '0'} as v{i}{j}" for i, j in _PAIRS]
+    for i, j in _PAIRS:
+        rest = f"(v{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j)) + ")"
+        out.append(f"sqrt{rest} as l{i}{i}" if i == j else f"{rest} / l{j}{j} as l{i}{j}")
+    for i, j in sorted(_PAIRS, key=lambda x: (x[1], x[0])):
+        rest = f"({1.0 if i == j else 0.0}D" + "".join(f" - l{i}{k} * u{k}{j}" for k in range(j, i)) + ")"
+        out.append(f"{rest} / l{i}{i} as u{i}{j}")
+    return out
+
+
+_FACTORS = _factors()
+_ROUNDED = [f"round(c{i}, 9) as c{i}" for i in range(D)] + [f"round(u{i}{j}, 9) as w{i}{j}" for i, j in _PAIRS] + ["round(2 * (" + " + ".join(f"ln(l{i}{i})" for i in range(D)) + "), 9) as logdet"]
 
 
 def _estimate(near: DataFrame) -> DataFrame:
-    """Mean and inverse Cholesky factor of the covariance of z0.. per group: g, c0.., w00, w10, ..."""
+    """Mean, inverse Cholesky factor and log-determinant of the covariance of z0..: g, start, c0.., w00, w10, .., logdet."""
+    est = near.groupBy("g", "start").agg(*map(F.expr, _SUMS))
+    return est.selectExpr("*", *_FACTORS).selectExpr("g", "start", *_ROUNDED)
+
+
+def _numbers() -> list[str]:
+    return [*[f"c{i}" for i in range(D)], *[f"w{i}{j}" for i in range(D) for j in range(i + 1)], "logdet"]
+
+
+def _first_estimates(rows: DataFrame) -> DataFrame:
+    """The estimates that the starts begin from, about the median: the MADs alone, tangents and spatial signs."""
     z = [F.col(f"z{i}") for i in range(D)]
-    pairs = [(i, j) for i in range(D) for j in range(i + 1)]
-    est = near.groupBy("g").agg(
-        *[F.avg(z[i]).alias(f"c{i}") for i in range(D)],
-        *[F.avg(z[i] * z[j]).alias(f"p{i}{j}") for i, j in pairs],
-        *[F.first(f"f{i}").alias(f"f{i}") for i in range(D)],
-    )
-    cov = {f"v{i}{j}": F.col(f"p{i}{j}") - F.col(f"c{i}") * F.col(f"c{j}") + (F.pow(F.col(f"f{i}"), F.lit(2.0)) if i == j else 0) for i, j in pairs}
-    est = est.withColumns(cov)
-    for i in range(D):  # Cholesky, row by row
-        for j in range(i + 1):
-            rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"v{i}{j}"))
-            est = est.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
-    for j in range(D):  # its inverse, by forward substitution
-        for i in range(j, D):
-            rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"w{k}{j}"), range(j, i), F.lit(1.0 if i == j else 0.0))
-            est = est.withColumn(f"w{i}{j}", rest / F.col(f"l{i}{i}"))
-    return cut(est.select("g", *[F.round(f"c{i}", 9).alias(f"c{i}") for i in range(D)], *[F.round(f"w{i}{j}", 9).alias(f"w{i}{j}") for i, j in pairs]))
-
-
-def _distance() -> Column:
-    """Squared Mahalanobis distance of z0.. under c0.. and w00.., which the row has."""
-    y = lambda i: reduce(lambda a, b: a + b, [F.col(f"w{i}{j}") * (F.col(f"z{j}") - F.col(f"c{j}")) for j in range(i + 1)])
-    return reduce(lambda a, b: a + b, [y(i) * y(i) for i in range(D)])
+    norm = F.greatest(F.sqrt(reduce(lambda a, b: a + b, [x * x for x in z])), F.lit(1e-9))
+    alike = [F.lit(0.0)] * D + [F.lit(1.0 if i == j else 0.0) for i, j in _PAIRS] + [F.lit(0.0)]
+    plain = rows.select("g").distinct().select("g", F.lit(0).alias("start"), *[x.alias(name) for x, name in zip(alike, _numbers())])
+    moved = lambda f, start: rows.select("g", F.lit(start).alias("start"), *[f(x).alias(f"z{i}") for i, x in enumerate(z)], *[f"f{i}" for i in range(D)])
+    others = _estimate(moved(F.tanh, 1).unionByName(moved(lambda x: x / norm * D**0.5, 2)))
+    return cut(plain.unionByName(others.withColumns({f"c{i}": F.lit(0.0) for i in range(D)})))
+
+
+#: Squared Mahalanobis distance of z0.. under c0.. and w00.., which the row has.
+_DISTANCE = " + ".join("pow(" + " + ".join(f"w{i}{j} * (z{j} - c{j})" for j in range(i + 1)) + ", 2)" for i in range(D))
+
+
+def _cell(d: Column) -> Column:
+    return F.floor(F.log2(d + 1e-6) * LOG_GRID)
+
+
+def _standardised() -> dict[str, Column]:
+    return {f"z{i}": (F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"s{i}") for i in range(D)}
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """g and x0.. of points -> g, medians m0.., MADs s0.., estimate c0.., w00.., and ``scale``, by which distances are divided
+    so that ``SHARE`` of a group is below CHI_AT_SHARE."""
+    start = _start(rows)
+    sent = start.count() * STARTS <= BROADCAST_ROWS  # all tables per group here are a few dozen numbers wide
+    points = beside(rows, start, "g", sent).withColumns(_standardised() | {f"f{i}": F.lit(FLOORS[i]) / F.col(f"s{i}") for i in range(D)})
+    points = points.select("g", *[f"z{i}" for i in range(D)], *[f"f{i}" for i in range(D)])
+    started = points.withColumn("start", F.explode(F.array(*map(F.lit, range(STARTS)))))
+    cells = lambda of, est, keys: beside(of, est, keys, sent).withColumn("cell", _cell(F.expr(_DISTANCE))).drop(*_numbers())
+    est, keys, best, stale = _first_estimates(points), ["g", "start"], None, 0
+    for _ in range(MOST_STEPS):
+        seen = cells(started, est, keys)
+        limit = cut(_quantile(seen, keys, F.col("cell"), SHARE))
+        est = cut(_estimate(beside(seen, limit, keys, sent).where(F.col("cell") <= F.col("q"))))
+        if best is None:
+            best = est
+            continue
+        # points in the cell at the limit come and go together, so a determinant can also rise by a little
+        fell = est.join(best.select(*keys, F.col("logdet").alias("was")), keys).where(F.col("was") - F.col("logdet") > FALL).isEmpty()
+        stale = stale + 1 if fell else 0
+        if stale == 2:
+            break
+        if not stale:
+            best = cut(_least(best.unionByName(est), keys))
+    best = cut(_least(best, ["g"]))
+    limit = _quantile(cells(points, best.drop("start"), "g"), ["g"], F.col("cell"), SHARE)
+    scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("q") + 0.5) / LOG_GRID) / CHI_AT_SHARE)
+    return cut(start.join(best.drop("start"), "g").join(limit.select("g", scale.alias("scale")), "g"))
+
+
+def _least(est: DataFrame, keys: list[str]) -> DataFrame:
+    """The estimate of the least determinant for each key, the first start among equals."""
+    numbers = [c for c in ("start", *_numbers()) if c not in keys]
+    return est.groupBy(*keys).agg(F.min_by(F.struct(*numbers), F.struct("logdet", "start")).alias("e")).select(*keys, "e.*")
+
+
+def _scaled(rows: DataFrame) -> DataFrame:
+    """Rows with x0.. and their group's estimates -> ``d2``, the scaled squared distance; null without any."""
+    return rows.withColumns(_standardised()).withColumn("d2", F.expr(f"({_DISTANCE}) / scale"))
 
 
 def distances(rows: DataFrame) -> DataFrame:
-    """doc rows with g and x0.. -> the same rows with ``d2``, scaled so that ``SHARE`` of a group is below CHI_AT_SHARE."""
-    keep = rows.columns
-    rows = with_small(rows, cut(_start(rows)), "g")
-    rows = rows.withColumns({f"z{i}": (F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"s{i}") for i in range(D)} | {f"f{i}": F.lit(FLOORS[i]) / F.col(f"s{i}") for i in range(D)})
-    rows = rows.select(*keep, *[f"z{i}" for i in range(D)], *[f"f{i}" for i in range(D)])
-    cell = lambda d: F.floor(F.log2(d + 1e-6) * LOG_GRID)
-    seen = rows.withColumn("d", reduce(lambda a, b: a + b, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(D)]))
-    for _ in range(STEPS):
-        limit = cut(_quantile(seen, ["g"], cell(F.col("d")), SHARE))
-        est = _estimate(with_small(seen, limit, "g").where(cell(F.col("d")) <= F.col("q")))
-        seen = with_small(rows, est, "g").withColumn("d", _distance()).select(*rows.columns, "d")
-    limit = cut(_quantile(seen, ["g"], cell(F.col("d")), SHARE))
-    scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("q") + 0.5) / LOG_GRID) / CHI_AT_SHARE)
-    return with_small(seen, limit, "g").select(*keep, (F.col("d") / scale).alias("d2"))
+    """Rows with g and x0.. -> the same rows with ``d2``."""
+    return with_small(rows, estimates(rows.select("g", *[f"x{i}" for i in range(D)])), "g").transform(_scaled).select(*rows.columns, "d2")
+
+
+def _pooled(stats: DataFrame) -> DataFrame:
+    """Rows of ``statistics`` with the columns of their pool and x0.."""
+    names = {"g_lang": F.coalesce("lang", F.lit("\0")), "g_source": F.coalesce("source", F.lit("\0"))}
+    return stats.withColumns(names | {f"x{i}": x for i, x in enumerate(vector())})
+
+
+def fitted(stats: DataFrame) -> DataFrame:
+    """Rows of ``statistics`` -> for each language and source, the estimate that judges its documents (nulls where none does)."""
+    rows = _pooled(stats.where(~F.col("base_failed"))).select(*POOL, *[f"x{i}" for i in range(D)])
+    pools = _pools(rows)
+    grouped = with_small(rows, pools, POOL).withColumn("p", F.explode("groups")).select("p.g", *[f"x{i}" for i in range(D)])
+    own = pools.select(*POOL, F.get(F.filter("groups", lambda p: p["own"]), F.lit(0))["g"].alias("g"))
+    return cut(own.join(estimates(staged(grouped, "vectors")), "g", "left"))
+
+
+def verdicts(stats: DataFrame, model: DataFrame, *others: str, cutoff: float = CUTOFF) -> DataFrame:
+    """Rows of ``statistics`` and their model -> doc_id, the counts, base_failed, kept, distance; and any others."""
+    far = with_small(_pooled(stats), model, POOL, "left").transform(_scaled).withColumn("d2", F.when(~F.col("base_failed"), F.col("d2")))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
+    return far.select(*others, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("d2", 4).alias("distance"))
 
 
 def judged(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """documents -> doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance."""
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     stats = staged(statistics(docs), "statistics")
-    rows = staged(_pooled(stats).select(*columns, "g", "own", *[x.alias(f"x{i}") for i, x in enumerate(vector())]), "vectors")
-    far = distances(rows.where("g is not null")).where("own")
-    unjudged = rows.where("g is null").select(*columns, F.lit(True).alias("kept"), F.lit(None).cast("double").alias("distance"))
-    return (
-        far.select(*columns, (F.col("d2") <= cutoff).alias("kept"), F.round("d2", 4).alias("distance"))
-        .unionByName(unjudged)
-        .unionByName(stats.where("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance")))
-    )
+    return verdicts(stats, fitted(stats), cutoff=cutoff)
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The documents that pass, with all their columns: each row carries itself, so ids may be null or repeated."""
+    whole = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    stats = staged(statistics(whole, "_row"), "statistics")
+    return verdicts(stats, fitted(stats), "_row").where("kept").select("_row.*")

@@ -1,23 +1,33 @@
 """Quality classifier: a weak-label model and the hashed linear scorers it trains.
 
 Heuristic labellers vote good, bad or nothing on every document; people's labels are
-one more labeller, on the documents that have them. Expectation-maximisation over the
-counts of vote patterns (a bounded table, whatever the corpus) estimates how often
-each labeller says what in either class, and gives each pattern a posterior. The
-posteriors of a bounded sample of labelled rows train a logistic scorer on hashed
-words, word beginnings and votes, by follow-the-regularised-leader with an L1 term,
-so that only words that tell something keep a weight. There are two such models, of
-quality and of toxicity, and a document is kept if neither is against it.
+one more labeller, on the documents that have them, and calibrate the others.
+Expectation-maximisation over the counts of vote patterns (a bounded table, whatever
+the corpus) estimates how often each labeller says what in either class, and gives each
+pattern a posterior; it starts from how the heuristics vote on what people labelled. The
+posteriors of a bounded sample of all texts on which any labeller votes, labelled by
+people or not, train a logistic scorer on hashed words, word beginnings and
+votes, by follow-the-regularised-leader with an L1 term, so that only words that tell
+something keep a weight. There are two such models, of quality and of toxicity, and a
+document is kept if neither is against it.
+
+The insults of the two lexicon labellers are words that occur in the test tables; other
+corpora need lexicons of their own. They are weak labels, not the model: what else
+toxic documents have in common is learnt from the sample.
 
 Two passes read the texts: one for votes, one for scores; besides, the training
-rows' features are made once. Only patterns and the training rows reach the driver:
-``TRAINING_ROWS`` is the documented bound of the latter.
+rows' features are made once. Only patterns and the training rows reach the driver. Each
+model's sample is the texts of least hash, each once however many copies it has, as
+many as both ``TRAINING_ROWS`` and ``TRAINING_BYTES`` of text allow: exact bounds, and the
+same rows whatever the partitions.
 
 Defined results: a null text is empty and has no words; it gets the vote for too
-short. Rows of ``labels`` with nulls do not vote; of several rows for one document
-the worst counts. Repeated documents are each counted and scored. Extra columns are
-ignored. Without labelled rows the heuristic votes alone train the scorers, and an
-empty table gives no rows.
+short. A null doc_id has no label and is reported as null. Rows of ``labels`` with nulls
+do not vote; of several rows for one document the worst counts, and of copies with
+different labels the greatest pattern trains. Repeated documents, and different texts
+with one doc_id, are each counted and scored. Extra columns are ignored. Without
+labelled rows the heuristic votes alone train the scorers, and an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -31,10 +41,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import staged
+from .common import staged, text_key_column
 
-#: Bound of the rows that a scorer is fitted on, and hashed dimensions.
-TRAINING_ROWS, DIMENSIONS = 12_000, 1 << 18
+#: Bounds of the texts that a scorer is fitted on, in number and in bytes, and hashed dimensions.
+TRAINING_ROWS, TRAINING_BYTES, DIMENSIONS = 12_000, 64 << 20, 1 << 18
 NONE, GOOD, BAD = 0, 1, 2
 
 #: Insults of the two lexicon labellers, which overlap: fixed values.
@@ -139,17 +149,30 @@ class WeakLabels:
         return right / ((1 - self.prior) * self.says[:, 0, GOOD:].sum(axis=1) + self.prior * self.says[:, 1, GOOD:].sum(axis=1))
 
 
-def fit_labels(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> WeakLabels:
-    """Expectation-maximisation over distinct vote patterns and their counts, from the majority's start."""
+def _maximised(votes: np.ndarray, counts: np.ndarray, bad: np.ndarray) -> WeakLabels:
+    """The model of patterns whose chances of being bad are given."""
+    says = np.zeros((votes.shape[1], 2, 3))
+    for c, share in ((0, 1 - bad), (1, bad)):
+        for j in range(votes.shape[1]):
+            says[j, c] = np.bincount(votes[:, j], weights=counts * share, minlength=3) + 0.5
+    says /= says.sum(axis=2, keepdims=True)
+    return WeakLabels(float(np.clip((counts * bad).sum() / max(counts.sum(), 1), 1e-3, 1 - 1e-3)), says)
+
+
+def fit_labels(votes: np.ndarray, counts: np.ndarray, people: int | None = None, rounds: int = 100) -> WeakLabels:
+    """Expectation-maximisation over distinct vote patterns and their counts.
+
+    It starts from the majority's verdicts, or, where the labeller ``people`` has said both
+    good and bad, from how the others vote on what it labelled.
+    """
     bad = 0.02 + 0.96 * ((votes == BAD).sum(axis=1) >= np.maximum((votes == GOOD).sum(axis=1) * 0.5, 0.5))
-    model = None
+    if people is not None and {GOOD, BAD} <= set(votes[:, people]):
+        told = votes[:, people] != NONE
+        start = _maximised(votes[told], counts[told], 0.02 + 0.96 * (votes[told, people] == BAD))
+        start.says[people, :, NONE] = 0.5  # whether there is a label tells nothing
+        bad = start.posterior(votes)
     for _ in range(rounds):
-        says = np.zeros((votes.shape[1], 2, 3))
-        for c, share in ((0, 1 - bad), (1, bad)):
-            for j in range(votes.shape[1]):
-                says[j, c] = np.bincount(votes[:, j], weights=counts * share, minlength=3) + 0.5
-        says /= says.sum(axis=2, keepdims=True)
-        model = WeakLabels(float(np.clip((counts * bad).sum() / max(counts.sum(), 1), 1e-3, 1 - 1e-3)), says)
+        model = _maximised(votes, counts, bad)
         bad = model.posterior(votes)
     return model
 
@@ -177,7 +200,7 @@ def fit_scorer(features: list[np.ndarray], target: np.ndarray, prior: float = 0.
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [pattern_of(votes_of(data, offsets)[0]) for _, _, data, offsets in textvec.passes(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate([np.zeros(0, np.int64), *found]), pa.int64())], ["doc_id", "pattern"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), batch.column("size"), pa.array(np.concatenate([np.zeros(0, np.int64), *found]), pa.int64())], ["doc_id", "text_key", "size", "pattern"])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +211,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts.append(f.astype(np.int32))
             sizes.append(np.diff(at))
         ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("pattern"), pa.ListArray.from_arrays(ends, np.concatenate(parts))], ["doc_id", "pattern", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column("text_key"), batch.column("pattern"), pa.ListArray.from_arrays(ends, np.concatenate(parts))], ["text_key", "pattern", "features"])
 
 
 def _people(labels: DataFrame) -> DataFrame:
@@ -217,27 +240,38 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(np.diff(total[at], axis=0) + self.bias, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> QualityModel:
+def _sample(votes: DataFrame, training_rows: int, training_bytes: int) -> DataFrame:
+    """doc_id, text_key, pattern of the texts of least hash that both bounds allow."""
+    texts = votes.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.max("pattern").alias("pattern"), F.max("size").alias("size"))
+    order = [F.xxhash64("text_key", F.lit(4)), F.col("text_key")]
+    least = texts.orderBy(*order).limit(training_rows).toArrow()
+    fits = np.cumsum(least.column("size").to_numpy()) <= training_bytes
+    return texts.sparkSession.createDataFrame(least.filter(pa.array(fits, pa.bool_())).select(["doc_id", "text_key", "pattern"]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS, training_bytes: int = TRAINING_BYTES) -> QualityModel:
     """Fit both models on documents (doc_id, text) and labels (doc_id, quality, toxic)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    votes = rows.mapInArrow(_patterns, "doc_id long, pattern long").join(_people(labels), "doc_id", "left")
-    votes = staged(votes.select("doc_id", (F.col("pattern") + F.coalesce("people", F.lit(0))).alias("pattern"), F.col("people").isNotNull().alias("labelled")), "votes")
-    table = votes.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("labelled").cast("long")).alias("labelled")).orderBy("pattern").toPandas()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key_column().alias("text_key"))
+    sized = rows.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    votes = sized.mapInArrow(_patterns, "doc_id long, text_key string, size long, pattern long").join(_people(labels), "doc_id", "left")
+    votes = staged(votes.select("doc_id", "text_key", "size", (F.col("pattern") + F.coalesce("people", F.lit(0))).alias("pattern")), "votes")
+    table = votes.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").toPandas()
     patterns, counts = table["pattern"].to_numpy(np.int64), table["n"].to_numpy(np.float64)
     quality, toxicity = _columns(patterns)
     some = (toxicity != NONE).any(axis=1)
-    fitted = (fit_labels(quality, counts), fit_labels(toxicity[some], counts[some]))
-    usable = int(table["labelled"].sum()) or int(counts.sum())
-    chosen = votes.where("labelled") if table["labelled"].sum() else votes
-    share = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) < int(min(1.0, training_rows / max(usable, 1)) * (1 << 30))
-    sample = rows.join(chosen.where(share).select("doc_id", "pattern").distinct(), "doc_id").select("doc_id", "pattern", "text")
-    got = sample.mapInArrow(_features, "doc_id long, pattern long, features array<int>").toArrow().sort_by("doc_id")
+    fitted = (fit_labels(quality, counts, -1), fit_labels(toxicity[some], counts[some], -1))
+    known = F.coalesce("doc_id", F.lit(-(1 << 63)))  # so that null ids are joined too
+    toxic_votes = F.col("pattern") % 3**HEURISTICS >= 3 ** (HEURISTICS - 2)
+    toxic_votes |= F.col("pattern") >= 3 ** (HEURISTICS + 1)
+    samples = _sample(votes, training_rows, training_bytes).unionByName(_sample(votes.where(toxic_votes), training_rows, training_bytes))
+    chosen = F.broadcast(samples.distinct().withColumn("doc_id", known))
+    sample = rows.withColumn("doc_id", known).join(chosen, ["doc_id", "text_key"]).dropDuplicates(["text_key"]).select("text_key", "pattern", "text")
+    got = sample.mapInArrow(_features, "text_key string, pattern long, features array<int>").toArrow().sort_by("text_key")
     flat = got.column("features").combine_chunks()
     features = [flat[i].values.to_numpy() for i in range(len(flat))] if len(flat) else []
-    votes_q, votes_t = _columns(got.column("pattern").to_numpy().astype(np.int64))
     weights, bias = [], []
-    for model, v in zip(fitted, (votes_q, votes_t)):
-        use = np.flatnonzero((v != NONE).any(axis=1))
+    for model, v in zip(fitted, _columns(got.column("pattern").to_numpy().astype(np.int64))):
+        use = np.flatnonzero((v != NONE).any(axis=1))  # silence is no label
         w, b = fit_scorer([features[i] for i in use], model.posterior(v[use]) if len(use) else np.zeros(0), model.prior)
         weights.append(w)
         bias.append(b)

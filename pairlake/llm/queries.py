@@ -81,6 +81,11 @@ def _op8_sql() -> str:
         o="sum(case when n_all > 1 then (n_bad - n_all * prior) ** 2 - n_all * prior * (1 - prior) else 0.0 end)",
     )
 
+    name = "regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '[.]+$', '')"
+    address, two = (f"regexp_matches(name, '{p}')" for p in (url_reputation.ADDRESS, url_reputation.TWO_LABELS))
+    domain = f"case when {address} then name when {two} then regexp_extract(name, '([^.]*[.])?[^.]*[.][^.]*$') else regexp_extract(name, '([^.]*[.])?[^.]*$') end"
+    suffix = f"case when {address} then '{url_reputation.ADDRESSES}' when {two} then regexp_extract(name, '[^.]*[.][^.]*$') else regexp_extract(name, '[^.]*$') end"
+
     def level(name: str, children: str, parents: str, key: str) -> str:
         return f"""
   {name}_p as (select c.*, p.prior from {children} c join {parents} p using ({key})),
@@ -94,10 +99,9 @@ with seen as (select page_id,
     translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{url_reputation.UPPER}', '{url_reputation.LOWER}') as host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
   bads as (select doc_id, max(case when toxic = 1 or quality = 0 then 1 else 0 end) as bad from labels group by doc_id),
-  outcomes as (select s.host, b.bad from seen s join bads b
-    on try_cast(regexp_extract(s.path, '^/[a-z]+/([0-9]{{1,18}})', 1) as bigint) = b.doc_id where s.host <> ''),
-  hosts as (select host, regexp_extract(host, '([^.]*[.])?[^.]*$', 0) as domain, regexp_extract(host, '([^.]*)$', 1) as suffix,
-    count(*) as n_all, sum(bad) as n_bad from outcomes group by host),
+  outcomes as (select {name} as name, b.bad from seen s join bads b
+    on try_cast(regexp_extract(s.path, '^/[a-z]+/([0-9]{{1,18}})', 1) as bigint) = b.doc_id where {name} <> ''),
+  hosts as (select name, {domain} as domain, {suffix} as suffix, count(*) as n_all, sum(bad) as n_bad from outcomes group by name),
   domains as (select domain, suffix, sum(n_all) as n_all, sum(n_bad) as n_bad from hosts group by domain, suffix),
   suffixes as (select suffix, '' as root, sum(n_all) as n_all, sum(n_bad) as n_bad from domains group by suffix),
   world as (select '' as root, (sum(n_bad) + 1) / (sum(n_all) + 2) as prior from suffixes),
@@ -106,10 +110,10 @@ with seen as (select page_id,
   {level("d", "domains", "s_prior", "suffix")},
   d_prior as (select domain, rate as prior from d),
   {level("h", "hosts", "d_prior", "domain")},
-  split as (select *, regexp_extract(host, '([^.]*[.])?[^.]*$', 0) as domain, regexp_extract(host, '([^.]*)$', 1) as suffix,
-    {rule} as rule, {verdict} as ruled from seen),
+  named as (select *, {name} as name from seen),
+  split as (select *, {domain} as domain, {suffix} as suffix, {rule} as rule, {verdict} as ruled from named),
   judged as (select x.*, coalesce(h.rate, d.rate, s.rate) as r, coalesce(h.bound, d.bound, s.bound) as b from split x
-    left join h on x.host = h.host left join d on x.domain = d.domain left join s on x.suffix = s.suffix)
+    left join h on x.name = h.name left join d on x.domain = d.domain left join s on x.suffix = s.suffix)
 select page_id, host, path, rule, coalesce(ruled, case when b > 0.3 then 'block' else 'allow' end) as verdict,
   round(r, 6) as bad_rate, round(b, 6) as bad_bound from judged
 """

@@ -16,7 +16,7 @@ string instead, so that no common passage gathers its surroundings in one bucket
 Equal texts are reduced to the first document beforehand.
 
 Defined results: a null text is empty. Texts under 50 bytes lose nothing. A null
-doc_id counts as larger than every other. Documents with the same doc_id are not
+doc_id counts as 2**63 - 1, larger than every other. Documents with the same doc_id are not
 smaller than each other, so none of them is removed for the other. Repeated rows
 each get their row. Extra columns are ignored; an empty table gives no rows.
 """
@@ -362,10 +362,10 @@ def _cut(buckets: int, length: int):
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """documents -> doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     n = blocks_for(docs, target=BLOCK_BYTES)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
     classes = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    texts = blocked.dealt(rows, n)
+    texts = blocked.dealt(rows.drop("no_id"), n)
     first = blocked.firsts(classes, n)
     keys = blocked.on_blocks(texts, first, _send_keys(n, length), blocked.MESSAGE, n)
     known = first.unionByName(blocked.on_buckets(keys, _compare_keys(n), n))
@@ -375,11 +375,11 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     copy = F.col("doc_id") != F.col("first_id")
     whole = copy & (F.col("n_bytes") >= length)
     return (
-        rows.select("doc_id", "digest")
+        rows.select("doc_id", "no_id", "digest")
         .join(classes.select("digest", F.col("doc_id").alias("first_id")), "digest")
         .join(result, "digest")
         .select(
-            F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_bytes",
+            F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_bytes",
             F.when(whole, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
             F.when(whole, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),
             F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),

@@ -9,18 +9,24 @@ sizes per range then give each range its place in the whole order, a running sum
 inside the range gives each row its place, and the shard is the place's share of
 all bytes: shards differ from equal by at most one row's size.
 
-Only DataFrame operations are used. The two driver-side values are the byte total
-and the boundary lists, whose lengths are fixed by ``max_ranges``. Only narrow
-columns are shuffled (key, id, size), once.
+Only DataFrame operations are used. The driver-side values are the byte total, the
+boundary lists and the sums per range, whose lengths are fixed by ``max_ranges``. Only
+narrow columns are shuffled (key, id, size), once; ``write_shards`` shuffles whole rows
+once. A range is sorted by one task, which can spill: with more than some 10**10 rows,
+raise ``max_ranges``.
 
 Defined results: a null text has no bytes, size 8 and checksum 0, and sorts as the
 empty text; a null doc_id sorts first. Rows equal in text and doc_id are told apart
 only by their place, so any of them may have any of their slots. An empty table
-gives no rows. Extra columns of the input are ignored.
+gives no rows. Extra columns of the input are ignored, or written as they are by
+``write_shards``, which refuses a table that has a column ``shard`` or ``slot``.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +37,11 @@ SHARDS = 24
 RECORD_OVERHEAD = 8
 
 
-def prepared(docs: DataFrame) -> DataFrame:
-    """documents -> doc_id, size, text_crc32, key: all that the plan needs."""
+def prepared(docs: DataFrame, *others: str) -> DataFrame:
+    """documents -> doc_id, size, text_crc32, key, which are all that the plan needs, and any others."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
+        *others,
         "doc_id",
         (F.octet_length(text) + F.lit(RECORD_OVERHEAD)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
@@ -78,8 +85,8 @@ def _dealt(rows: DataFrame, bounds: list[tuple[int, int | None]]) -> DataFrame:
     return rows.withColumn("range", _below(_bounds(bounds), F.col("key"), len(bounds)) if bounds else F.lit(0))
 
 
-def shard(rows: DataFrame, shards: int = SHARDS, range_bytes: int = 8 << 20, max_ranges: int = 1024, per_range: int = 16) -> DataFrame:
-    """Rows with size and key -> the same columns with shard and slot; law ``bytes``.
+def planned(rows: DataFrame, shards: int = SHARDS, range_bytes: int = 8 << 20, max_ranges: int = 1024, per_range: int = 16) -> Callable[[DataFrame], DataFrame]:
+    """Rows with size and key -> a function that gives these rows, with any other columns, their shard and slot.
 
     ``range_bytes`` is the aim for one range. ``max_ranges`` bounds their number, and
     with it the samples (about ``per_range`` keys for each range) and the tables of
@@ -88,38 +95,55 @@ def shard(rows: DataFrame, shards: int = SHARDS, range_bytes: int = 8 << 20, max
     """
     total = rows.agg(F.sum("size")).first()[0]
     if total is None:
-        return rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
+        return lambda whole: whole.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     ranges = int(min(max_ranges, max(4 * shards, -(-total // range_bytes))))
     even, rate = total / ranges, ranges * per_range / total
-    first = _splitters(_draw(rows, rate, 1), ranges)
-    coarse = _dealt(rows, first)
+    bounds = _splitters(_draw(rows, rate, 1), ranges)
+    coarse = _dealt(rows, bounds)
     held = coarse.groupBy("range").agg(F.sum("size").alias("held")).where(F.col("held") > 2 * even).collect()
     if held:
         ways = {r["range"]: int(r["held"] / even) + 1 for r in held}
         over = coarse.where(F.col("range").isin(list(ways)))
-        cuts = set(first)
+        cuts = set(bounds)
         for r in _draw(over, 4 * rate, 2).groupBy("range").agg(F.sort_array(F.collect_list("key")).alias("keys")).collect():
             n, w = len(r["keys"]), ways[r["range"]]
             cuts |= {(k["k"], k["d"]) for i in range(1, w) for k in [r["keys"][n * i // w]]}
         lowest = -(1 << 63)
-        coarse = _dealt(rows, sorted(cuts, key=lambda b: (b[0], lowest if b[1] is None else b[1])))
+        bounds = sorted(cuts, key=lambda b: (b[0], lowest if b[1] is None else b[1]))
+        coarse = _dealt(rows, bounds)
     sums = {r["range"]: (r["bytes"], r["n"]) for r in coarse.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()}
     bytes_before, rows_before = [0], [0]
     for i in range(max(sums) + 1):
         size, n = sums.get(i, (0, 0))
         bytes_before.append(bytes_before[-1] + size)
         rows_before.append(rows_before[-1] + n)
-    order = Window.partitionBy("range").orderBy("key")
-    inside = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # the row's middle byte in the whole order decides its shard
-    middle = F.get(_longs(bytes_before), F.col("range")) + inside + F.floor(F.col("size") / 2)
-    at = F.get(_longs(rows_before), F.col("range")) + F.row_number().over(order) - 1
-    placed = coarse.withColumn("middle", middle).withColumn("at", at.cast("long"))
-    share = F.expr(f"cast(middle as decimal(38, 0)) * {shards} div {total}")
-    placed = placed.withColumn("shard", F.least(F.lit(shards - 1), share).cast("int"))
-    starts = placed.groupBy("shard").agg(F.min("at").alias("starts_at"))  # one row for each shard
-    out = placed.join(F.broadcast(starts), "shard").withColumn("slot", F.col("at") - F.col("starts_at"))
-    return out.select(*rows.columns, "shard", "slot")
+
+    def placed(dealt: DataFrame) -> DataFrame:
+        """The row's place in the whole order, and the shard in which its middle byte is."""
+        order = Window.partitionBy("range").orderBy("key")
+        inside = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        middle = F.get(_longs(bytes_before), F.col("range")) + inside + F.floor(F.col("size") / 2)
+        at = F.get(_longs(rows_before), F.col("range")) + F.row_number().over(order) - 1
+        share = F.expr(f"cast(middle as decimal(38, 0)) * {shards} div {total}")
+        found = dealt.withColumn("middle", middle).withColumn("at", at.cast("long"))
+        return found.withColumn("shard", F.least(F.lit(shards - 1), share).cast("int")).drop("middle")
+
+    # a shard starts in the range that has its first byte, after that range's rows of earlier shards
+    edge = [bisect_right([b * shards for b in bytes_before], s * total) - 1 for s in range(shards)]
+    there = placed(_dealt(rows.select("size", "key"), bounds).where(F.col("range").isin(edge[1:])))
+    counts = there.groupBy("range", "shard").agg(F.count(F.lit(1)).alias("n")).collect()
+    starts = [rows_before[r] + sum(c["n"] for c in counts if c["range"] == r and c["shard"] < s) for s, r in enumerate(edge)]
+
+    def place(whole: DataFrame) -> DataFrame:
+        found = placed(_dealt(whole, bounds))
+        return found.withColumn("slot", F.col("at") - F.get(_longs(starts), F.col("shard"))).select(*whole.columns, "shard", "slot")
+
+    return place
+
+
+def shard(rows: DataFrame, shards: int = SHARDS, **limits: int) -> DataFrame:
+    """Rows with size and key -> the same columns with shard and slot; law ``bytes``."""
+    return planned(rows, shards, **limits)(rows)
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -129,11 +153,16 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write whole rows under ``shard=N`` folders, in slot order inside each file.
+    """Write whole rows under ``shard=N`` folders, in slot order inside each file, every row once.
 
-    The plan is joined back by doc_id (ids must be unique here), so that texts are
-    shuffled once; a shard is written by as many tasks as the planner makes of it.
+    Rows take their texts along through the one shuffle by range, so nothing is joined
+    back and repeated or null ids are no matter; a shard is written by the tasks that
+    hold its ranges.
     """
-    plan = sharded(docs, shards).select("doc_id", "shard", "slot")
-    rows = docs.drop("shard", "slot").join(plan, "doc_id").repartition(F.col("shard"), F.pmod(F.xxhash64("slot"), F.lit(64)))
-    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    clash = {"shard", "slot"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are names of the result")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = prepared(docs.withColumn("_row", F.struct(*own)), "_row")
+    placed = planned(staged(rows.drop("_row"), "shard-keys"), shards)(rows)
+    placed.select("_row.*", "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -1,5 +1,9 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from pairlake.llm import common
 from pairlake.llm import decontamination as d
 
 
@@ -35,16 +39,43 @@ def test_equals_brute_force(spark, docs_of):
     got = sorted(map(tuple, d.leaks(docs_of(docs), benchmark).select("doc_id", "item_id", "n_shared", "n_shingles").collect()), key=str)
     assert got == brute(docs, items) and len(got) > 10
     kept = d.clean(docs_of(docs), benchmark)
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - ({g[0] for g in got} - {None})
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {g[0] for g in got}
     assert d.leaks(docs_of([]), benchmark).count() == 0 and d.leaks(docs_of(docs), benchmark.limit(0)).count() == 0
 
 
-def test_blocks_of_items_change_nothing(spark, docs_of, monkeypatch):
-    docs = docs_of([(1, "a b c d e f g h"), (2, "q r s t u v")])
-    items = spark.createDataFrame([(1, "a b c d e f"), (2, "q r s t u"), (3, "z y x w v u")], "item_id long, text string")
-    monkeypatch.setattr(d, "BLOCK_BYTES", 12)
-    assert sorted((r["doc_id"], r["item_id"]) for r in d.leaks(docs, items).collect()) == [(1, 1), (2, 2)]
+def test_bloom_filter_and_shuffled_joins_change_nothing(spark, docs_of, monkeypatch):
+    r = random.Random(5)
+    text = lambda n: " ".join(f"w{r.randrange(40)}" for _ in range(n))
+    items = [(i, text(r.choice([2, 6, 20, 300]))) for i in range(30)]
+    docs = [(i, f"{text(r.randrange(50))} {r.choice(items)[1]} {text(20)}") for i in range(60)]
+    docs += [(100 + i, docs[0][1]) for i in range(50)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: sorted(map(tuple, d.leaks(docs_of(docs), benchmark).select("doc_id", "item_id", "n_shared", "n_shingles").collect()))
+    want = rows()
+    assert want == sorted(brute(docs, items)) and len(want) > 80
+    monkeypatch.setattr(d, "FILTER_HASHES", 10)
+    monkeypatch.setattr(d, "FILTER_BITS", 1 << 12)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert rows() == want
+
+
+def test_a_phrase_that_all_items_share_pairs_nothing(spark, docs_of):
+    items = [(i, "answer the following question about the topic of " + " ".join(f"x{i}y{j}" for j in range(30))) for i in range(50)]
+    sketched = d.sketches(spark.createDataFrame([(str(i), t) for i, t in items], "item string, text string"))
+    docs = docs_of([(1, "answer the following question about the topic of the day"), (2, items[7][1])])
+    found = d.candidates(docs.select(F.md5("text").alias("text_key"), "text"), sketched)
+    assert [r["item"] for r in found.collect()] == ["7"]
+
+
+def test_long_items_are_sketched_in_their_size_partition():
+    r = np.random.RandomState(1)
+    for n, least, most in ((20, 0, 0), (100, 0, 0), (2_000, 2, 3), (100_000, 5, 6)):
+        hashes = np.sort(r.randint(0, 1 << 63, n, np.int64).astype(np.uint64) * np.uint64(2))
+        s, sketch = d.partition_of(hashes)
+        assert least <= s <= most and (len(sketch) >= d.SKETCH or s == 0) and len(sketch) <= 300
 
 
 def test_hits_needed_misses_little():
-    assert d.hits_needed(4) == 3 and d.hits_needed(d.SKETCH) == 24 and 1 <= d.hits_needed(1_000) < 16
+    assert d.hits_needed(4, True) == 3 and d.hits_needed(32, True) == 24 and 1 <= d.hits_needed(32, False) < 16
+    draws = np.random.RandomState(2).binomial(40, d.THRESHOLD, 1_000_000)
+    assert (draws < d.hits_needed(40, False)).sum() == 0 and d.hits_needed(40, False) >= 12

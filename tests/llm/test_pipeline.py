@@ -22,7 +22,7 @@ def test_run_equals_its_parts(spark):
     for i in kept:
         want[i] = original.encode(secrets.redact(rows[i], spans[i]))
     got = p.run(spark, DATA).collect()
-    assert {r["doc_id"]: r["ids"] for r in got} == want and len(got) == len(want) and all(r["parity"] for r in got)
+    assert {r["doc_id"]: r["ids"] for r in got} == want and len(got) == len(want) and all(r["word_parity"] for r in got)
 
 
 def test_stages_return_documents(spark, docs_of):

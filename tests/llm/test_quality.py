@@ -25,7 +25,20 @@ def test_held_out_accuracy(spark):
     model = q.fit(docs, labels.where(~held))
     got = q.score(docs, model).join(labels.where(held), "doc_id").toPandas()
     junk, clean = got[got.quality == 0], got[(got.quality == 1) & (got.toxic == 0)]
-    assert (~junk.kept).mean() > 0.9 and clean.kept.mean() > 0.97
+    toxic = got[got.toxic == 1]
+    assert (~junk.kept).mean() > 0.95 and clean.kept.mean() > 0.97
+    # the lexicons know English insults only; the rest is what the scorer learnt
+    english = docs.where("lang = 'en'").select("doc_id").toPandas().doc_id
+    print("toxic", len(toxic), (~toxic.kept).mean(), "others", (~toxic[~toxic.doc_id.isin(english)].kept).mean())
+    assert (~toxic.kept).mean() > 0.9 and (~toxic[~toxic.doc_id.isin(english)].kept).mean() > 0.75
+
+
+def test_sample_bounds_are_exact(spark):
+    votes = spark.createDataFrame([(i if i % 7 else None, f"k{i % 500}", 100, i % 9) for i in range(2_000)], "doc_id long, text_key string, size long, pattern long")
+    got = q._sample(votes, 60, 10**9).collect()
+    assert len(got) == len({r["text_key"] for r in got}) == 60
+    assert q._sample(votes, 60, 1_050).count() == 10 and q._sample(votes.limit(0), 60, 10).count() == 0
+    assert {r["text_key"] for r in q._sample(votes.repartition(7), 60, 10**9).collect()} == {r["text_key"] for r in got}
 
 
 def test_edges(spark, docs_of):

@@ -1,5 +1,7 @@
 import zlib
 
+import pytest
+
 from pairlake.llm import sharding
 
 
@@ -40,3 +42,17 @@ def test_written_shards_hold_whole_rows(spark, docs_of, tmp_path):
     sharding.write_shards(docs_of(rows), str(tmp_path / "out"), 4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r["doc_id"], r["text"]) for r in back.collect()) == rows and back.select("shard").distinct().count() == 4
+
+
+def test_written_shards_have_every_row_once(spark, tmp_path):
+    rows = [(1, "a", "x", 5), (1, "b", "y", None), (None, "c", None, 7), (2, None, "x", 8), (2, None, "x", 8), (3, "", "z", 1)]
+    rows += [(10 + i, "hot " * 50, "h", i) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `key` string, size long")
+    sharding.write_shards(docs, str(tmp_path / "out"), 5)
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(((r["doc_id"], r["text"], r["key"], r["size"]) for r in back), key=str) == sorted(rows, key=str)
+    for s in {r["shard"] for r in back}:
+        assert sorted(r["slot"] for r in back if r["shard"] == s) == list(range(sum(r["shard"] == s for r in back)))
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs.withColumn("slot", docs["size"]), str(tmp_path / "other"))
+    sharding.write_shards(docs.limit(0), str(tmp_path / "none"))

@@ -35,6 +35,22 @@ def test_reputation_shrinks(spark):
     assert u.judge(pages.limit(0), outcomes).count() == 0 and u.judge(pages, outcomes.limit(0)).where("verdict = 'block'").count() == 0
 
 
+def test_names_domains_and_suffixes(spark):
+    cases = {
+        "a.b.example.org": ("a.b.example.org", "example.org", "org"), "x.co.uk": ("x.co.uk", "x.co.uk", "co.uk"), "www.x.co.uk:8080": ("www.x.co.uk", "x.co.uk", "co.uk"),
+        "user:pw@h.example.com:80": ("h.example.com", "example.com", "com"), "example.org.": ("example.org", "example.org", "org"), "10.0.0.7:99": ("10.0.0.7", "10.0.0.7", "(address)"),
+        "localhost": ("localhost", "localhost", "localhost"), "co.uk": ("co.uk", "co.uk", "co.uk"), "": ("", "", ""), "h" * 100_000 + ".net": ("h" * 100_000 + ".net", "h" * 100_000 + ".net", "net"),
+    }
+    rows = spark.createDataFrame([(h,) for h in cases], "host string").withColumn("name", u.name_of(F.col("host")))
+    got = {r["host"]: (r["name"], r["d"], r["s"]) for r in rows.select("host", "name", u.registered_domain(F.col("name")).alias("d"), u.suffix(F.col("name")).alias("s")).collect()}
+    assert got == cases
+
+
+def test_the_plan_does_not_grow_with_the_levels(spark):
+    plan = queries.QUERIES["op8_url_reputation"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 6
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_oracles(spark, name):
     import glob
