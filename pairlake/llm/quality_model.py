@@ -1,7 +1,7 @@
 """Quality classifier: a weak-label model and the hashed linear scorers it trains.
 
-Heuristic labellers vote good, bad or nothing on every document; people's labels are
-one more labeller, on the documents that have them, and calibrate the others.
+Heuristic labellers vote good, bad or nothing on every document. People's labels, on the
+documents that have them, are one more labeller, which calibrates the others.
 Expectation-maximisation over the counts of vote patterns (a bounded table, whatever
 the corpus) estimates how often each labeller says what in either class, and gives each
 pattern a posterior; it starts from how the heuristics vote on what people labelled. The
@@ -46,6 +46,10 @@ from .common import staged, text_key_column
 #: Bounds of the texts that a scorer is fitted on, in number and in bytes, and hashed dimensions.
 TRAINING_ROWS, TRAINING_BYTES, DIMENSIONS = 12_000, 64 << 20, 1 << 18
 NONE, GOOD, BAD = 0, 1, 2
+#: Weight of a row without people's labels in the label model, where there are such labels.
+UNLABELLED = 0.1
+#: The chance that such a label is wrong.
+DOUBT = 0.02
 
 #: Insults of the two lexicon labellers, which overlap: fixed values.
 INSULTS = (
@@ -137,11 +141,14 @@ class WeakLabels:
 
     prior: float
     says: np.ndarray  # labeller, class (0 good, 1 bad), vote
+    people: int | None = None  # the labeller whose votes are taken for the truth, where it votes
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """P(bad | votes)."""
-        logs = [np.log(p) + sum(np.log(self.says[j, c, votes[:, j]]) for j in range(votes.shape[1])) for c, p in ((0, 1 - self.prior), (1, self.prior))]
-        return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -60, 60)))
+        heard = [j for j in range(votes.shape[1]) if j != self.people]
+        logs = [np.log(p) + sum(np.log(self.says[j, c, votes[:, j]]) for j in heard) for c, p in ((0, 1 - self.prior), (1, self.prior))]
+        bad = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -60, 60)))
+        return bad if self.people is None else np.select([votes[:, self.people] == BAD, votes[:, self.people] == GOOD], [1 - DOUBT, DOUBT], bad)
 
     def accuracies(self) -> np.ndarray:
         """For each labeller, how often its votes are right."""
@@ -162,17 +169,22 @@ def _maximised(votes: np.ndarray, counts: np.ndarray, bad: np.ndarray) -> WeakLa
 def fit_labels(votes: np.ndarray, counts: np.ndarray, people: int | None = None, rounds: int = 100) -> WeakLabels:
     """Expectation-maximisation over distinct vote patterns and their counts.
 
-    It starts from the majority's verdicts, or, where the labeller ``people`` has said both
-    good and bad, from how the others vote on what it labelled.
+    It starts from the majority's verdicts. Where the labeller ``people`` has said both good
+    and bad, its votes are taken for the truth but for a doubt, the others start from how
+    they vote there, and what it left unlabelled counts ``UNLABELLED`` as much (Nigam et al.,
+    "Text classification from labeled and unlabeled documents using EM", 2000).
     """
+    guide = people if people is not None and {GOOD, BAD} <= set(votes[:, people]) else None
+    told = votes[:, guide] != NONE if guide is not None else np.zeros(len(votes), bool)
     bad = 0.02 + 0.96 * ((votes == BAD).sum(axis=1) >= np.maximum((votes == GOOD).sum(axis=1) * 0.5, 0.5))
-    if people is not None and {GOOD, BAD} <= set(votes[:, people]):
-        told = votes[:, people] != NONE
-        start = _maximised(votes[told], counts[told], 0.02 + 0.96 * (votes[told, people] == BAD))
-        start.says[people, :, NONE] = 0.5  # whether there is a label tells nothing
+    if guide is not None:
+        counts = np.where(told, 1.0, UNLABELLED) * counts
+        start = _maximised(votes[told], counts[told], np.where(votes[told, guide] == BAD, 1 - DOUBT, DOUBT))
+        start.people = guide
         bad = start.posterior(votes)
     for _ in range(rounds):
         model = _maximised(votes, counts, bad)
+        model.people = guide
         bad = model.posterior(votes)
     return model
 
@@ -259,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS,
     patterns, counts = table["pattern"].to_numpy(np.int64), table["n"].to_numpy(np.float64)
     quality, toxicity = _columns(patterns)
     some = (toxicity != NONE).any(axis=1)
-    fitted = (fit_labels(quality, counts, -1), fit_labels(toxicity[some], counts[some], -1))
+    fitted = tuple(fit_labels(v, n, v.shape[1] - 1) for v, n in ((quality, counts), (toxicity[some], counts[some])))
     known = F.coalesce("doc_id", F.lit(-(1 << 63)))  # so that null ids are joined too
     toxic_votes = F.col("pattern") % 3**HEURISTICS >= 3 ** (HEURISTICS - 2)
     toxic_votes |= F.col("pattern") >= 3 ** (HEURISTICS + 1)
