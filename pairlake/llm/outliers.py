@@ -173,7 +173,7 @@ def _start(rows: DataFrame) -> DataFrame:
 
     medians = middles(rows, [F.col(f"x{i}") for i in range(D)], "m")
     mads = middles(with_small(rows, medians, "g"), [F.abs(F.col(f"x{i}") - F.col(f"m{i}")) for i in range(D)], "s")
-    return cut(medians.join(mads, "g").select("g", *[f"m{i}" for i in range(D)], *[F.greatest(1.4826 * F.col(f"s{i}"), F.lit(FLOORS[i])).alias(f"s{i}") for i in range(D)]))
+    return medians.join(mads, "g").select("g", *[f"m{i}" for i in range(D)], *[F.greatest(1.4826 * F.col(f"s{i}"), F.lit(FLOORS[i])).alias(f"s{i}") for i in range(D)])
 
 
 _PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
@@ -232,37 +232,29 @@ def _standardised() -> dict[str, Column]:
 def estimates(rows: DataFrame) -> DataFrame:
     """g and x0.. of points -> g, medians m0.., MADs s0.., estimate c0.., w00.., and ``scale``, by which distances are divided
     so that ``SHARE`` of a group is below CHI_AT_SHARE."""
-    start = _start(rows)
+    start = cut(_start(rows))
     sent = start.count() * STARTS <= BROADCAST_ROWS  # all tables per group here are a few dozen numbers wide
     points = beside(rows, start, "g", sent).withColumns(_standardised() | {f"f{i}": F.lit(FLOORS[i]) / F.col(f"s{i}") for i in range(D)})
     points = points.select("g", *[f"z{i}" for i in range(D)], *[f"f{i}" for i in range(D)])
     started = points.withColumn("start", F.explode(F.array(*map(F.lit, range(STARTS)))))
     cells = lambda of, est, keys: beside(of, est, keys, sent).withColumn("cell", _cell(F.expr(_DISTANCE))).drop(*_numbers())
-    est, keys, best, stale = _first_estimates(points), ["g", "start"], None, 0
-    for _ in range(MOST_STEPS):
+    est, keys, found, stale = _first_estimates(points), ["g", "start"], [], 0
+    for step in range(MOST_STEPS):
         seen = cells(started, est, keys)
-        limit = cut(_quantile(seen, keys, F.col("cell"), SHARE))
+        limit = _quantile(seen, keys, F.col("cell"), SHARE)
         est = cut(_estimate(beside(seen, limit, keys, sent).where(F.col("cell") <= F.col("q"))))
-        if best is None:
-            best = est
-            continue
         # points in the cell at the limit come and go together, so a determinant can also rise by a little
-        fell = est.join(best.select(*keys, F.col("logdet").alias("was")), keys).where(F.col("was") - F.col("logdet") > FALL).isEmpty()
-        stale = stale + 1 if fell else 0
+        if step > 1:
+            before = reduce(DataFrame.unionByName, found).groupBy(*keys).agg(F.min("logdet").alias("was"))
+            stale = stale + 1 if est.join(before, keys).where(F.col("was") - F.col("logdet") > FALL).isEmpty() else 0
+        found.append(est)
         if stale == 2:
             break
-        if not stale:
-            best = cut(_least(best.unionByName(est), keys))
-    best = cut(_least(best, ["g"]))
-    limit = _quantile(cells(points, best.drop("start"), "g"), ["g"], F.col("cell"), SHARE)
+    numbers = F.min_by(F.struct(*_numbers()), F.struct("logdet", "start"))
+    best = cut(reduce(DataFrame.unionByName, found).groupBy("g").agg(numbers.alias("e")).select("g", "e.*"))
+    limit = _quantile(cells(points, best, "g"), ["g"], F.col("cell"), SHARE)
     scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("q") + 0.5) / LOG_GRID) / CHI_AT_SHARE)
-    return cut(start.join(best.drop("start"), "g").join(limit.select("g", scale.alias("scale")), "g"))
-
-
-def _least(est: DataFrame, keys: list[str]) -> DataFrame:
-    """The estimate of the least determinant for each key, the first start among equals."""
-    numbers = [c for c in ("start", *_numbers()) if c not in keys]
-    return est.groupBy(*keys).agg(F.min_by(F.struct(*numbers), F.struct("logdet", "start")).alias("e")).select(*keys, "e.*")
+    return cut(start.join(best, "g").join(limit.select("g", scale.alias("scale")), "g"))
 
 
 def _scaled(rows: DataFrame) -> DataFrame:
