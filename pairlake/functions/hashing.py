@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 
 def digest(seed: int, tag: str, *keys: Column | str) -> Column:
-    """Hex MD5 of the key."""
+    """Hex MD5 of the key; a null part counts as a tab, which no number has."""
     parts = [F.col(k) if isinstance(k, str) else k for k in keys]
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(tag), *[p.cast("string") for p in parts]).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(tag), *[F.coalesce(p.cast("string"), F.lit("\t")) for p in parts]).cast("binary"))
 
 
 def draw(seed: int, tag: str, *keys: Column | str) -> Column:
@@ -28,7 +28,7 @@ def uniform(seed: int, tag: str, *keys: Column | str) -> Column:
 
 def digest_sql(seed: int, tag: str, *keys: str) -> str:
     """The same key's MD5 in DuckDB SQL."""
-    return "md5('" + f"{seed}:{tag}:' || " + " || ':' || ".join(f"cast({k} as varchar)" for k in keys) + ")"
+    return "md5('" + f"{seed}:{tag}:' || " + " || ':' || ".join(f"coalesce(cast({k} as varchar), chr(9))" for k in keys) + ")"
 
 
 def draw_sql(seed: int, tag: str, *keys: str) -> str:

@@ -1,70 +1,73 @@
 """Text functions: cleaning, filters, tokens, formatting.
 
 Regular expressions follow Unicode classes ("(?U)"), Unicode case folding where case
-is ignored, and "." stopping only at a line feed ("(?d)").
+is ignored, and "." stopping only at a line feed ("(?d)"). They take time in proportion
+to the text: a pattern that begins with a run (of white space, of other characters) is
+held to the start of that run by a look-behind, and runs are possessive.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Patterns, phrases and prefixes of the data model.
-REFERENCES = r"\n\s*(?:References|REFERENCES|Bibliography|BIBLIOGRAPHY)\s*\n.*"
-LATEX_ENVIRONMENTS = ("document", "figure", "table", "tabular", "itemize", "enumerate", "description", "thebibliography", "abstract", "acknowledgment", "acknowledgments")
-LATEX_FORMATS = ("textbf", "textit", "textrm", "texttt", "emph", "underline")
-LATEX_STRAY = ("noindent", "newpage", "clearpage", "bigskip", "medskip", "smallskip")
-BOILERPLATE = (
-    r"This article has been cited by other articles in PMC",
-    r"Articles from .* are provided here courtesy of",
-    r"External link\. Please review our privacy policy",
-    r"Go to:",
-)
-COPYRIGHT = ("©", "Copyright", "All rights reserved", "Licensed under", "Published by")
+REFERENCES = r"\n\s*+(?:References|REFERENCES|Bibliography|BIBLIOGRAPHY)\s*\n.*"
+LATEX_CITATIONS = r"\\cite[a-z]*\{[^}]*\}"
+LATEX_REFERENCES = r"\\(?:eq)?ref\{[^}]*\}|\\label\{[^}]*\}"
+LATEX_ENVIRONMENTS = r"\\(?:begin|end)\{(?:document|figure|table|tabular|itemize|enumerate|description|thebibliography|abstract|acknowledgments?)\}"
+LATEX_FORMATS = r"\\(?:textbf|textit|textrm|texttt|emph|underline)\{([^}]*)\}"
+LATEX_SECTIONS = r"\\(?:sub)*section\*?\{([^}]*)\}"
+LATEX_STRAY = r"\\(?:noindent|newpage|clearpage|bigskip|medskip|smallskip|\\)"
+BOILERPLATE = r"(?:This article has been cited by other articles in PMC|Articles from .* are provided here courtesy of|External link\. Please review our privacy policy|Go to:)"
+COPYRIGHT = r"(?:©|Copyright|All rights reserved|Licensed under|Published by).*?(?:\n|\z)"
 LATEX_SOURCES = ("arxiv", "s2orc")
 INTENT_PREFIXES = {"background": "cite_background", "methodology": "cite_method", "result": "cite_result"}
 TASK_PREFIXES = ("search_query", "search_document", "classify", "cluster", "similarity")
-NOISE = r"^(\s*\[?\d+\]?\s*[,;]?\s*)+$|\bFig(?:ure)?\.?\s*\d+|\bTable\s*\d+|^et\s+al\b"
-SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z(])"
+NOISE = r"^(\s*+\[?\d++\]?\s*+[,;]?\s*+)++$|\bFig(?:ure)?\.?\s*\d+|\bTable\s*\d+|^et\s+al\b"
+SENTENCE_BREAK = r"(?U)(?<=[.!?])\s++(?=[A-Z(])"
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.regexp_replace(c, r"(?U)^\s++|(?<!\s)\s++\z", "")
 
 
 def remove_references(c: Column) -> Column:
     """Up to the first reference heading on a line of its own."""
-    return F.regexp_replace(c, "(?sU)" + REFERENCES, "")
+    return F.regexp_replace(c, r"(?sU)(?<!\s)([^\S\n]*+)" + REFERENCES, "$1")
 
 
 def clean_latex(c: Column) -> Column:
     """Without citations, references, environment tags and stray commands; formatted text and titles stay."""
     for pattern, by in (
-        (r"\\cite[a-z]*\{[^}]*\}", ""),
-        (r"\\(?:eq)?ref\{[^}]*\}|\\label\{[^}]*\}", ""),
-        (r"\\(?:begin|end)\{(?:" + "|".join(LATEX_ENVIRONMENTS) + r")\}", ""),
-        (r"\\(?:" + "|".join(LATEX_FORMATS) + r")\{([^}]*)\}", "$1"),
-        (r"\\(?:sub)*section\*?\{([^}]*)\}", "\n$1\n"),
-        (r"\\(?:" + "|".join(LATEX_STRAY) + r"|\\)", ""),
+        (LATEX_CITATIONS, ""),
+        (LATEX_REFERENCES, ""),
+        (LATEX_ENVIRONMENTS, ""),
+        (LATEX_FORMATS, "$1"),
+        (LATEX_SECTIONS, "\n$1\n"),
+        (LATEX_STRAY, ""),
     ):
         c = F.regexp_replace(c, pattern, by)
     return c
 
 
 def clean_xml(c: Column) -> Column:
-    return F.regexp_replace(c, "<[^>]+>", "")
+    """Without tags; nothing after the last ">" can be one, so that stray "<" there are not tried."""
+    rest = F.substring_index(c, ">", -1)
+    whole = F.regexp_replace(F.substring(c, F.lit(1), F.length(c) - F.length(rest)), "<[^>]+>", "")
+    return F.when(F.contains(c, F.lit(">")), F.concat(whole, rest)).otherwise(c)
 
 
 def remove_boilerplate(c: Column) -> Column:
-    c = F.regexp_replace(c, "(?iud)(?:" + "|".join(BOILERPLATE) + ")", "")
-    return F.regexp_replace(c, "(?iud)(?:" + "|".join(COPYRIGHT) + r").*?(?:\n|\z)", "")
+    return F.regexp_replace(F.regexp_replace(c, "(?iud)" + BOILERPLATE, ""), "(?iud)" + COPYRIGHT, "")
 
 
 def remove_urls_emails(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)https?://\S+", ""), r"(?U)\S+@\S+\.\S+", "")
+    """An address is a run of other than white space with an "@" after its first character and a later dot inside."""
+    return F.regexp_replace(F.regexp_replace(c, r"(?U)https?://\S+", ""), r"(?U)(?<!\S)\S[^\s@]*+@(?=\S+\.\S)\S++", "")
 
 
 @F.pandas_udf(StringType())
@@ -73,8 +76,8 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def nfkc(c: Column) -> Column:
-    """Unicode NFKC; plain ASCII is already in that form and skips Python's result."""
-    return F.when(c.rlike(r"^\p{ASCII}*\z"), c).otherwise(_nfkc(c))
+    """Unicode NFKC; plain ASCII is already in that form, and Python gets a null for it."""
+    return F.coalesce(_nfkc(F.when(~c.rlike(r"^\p{ASCII}*\z"), c)), c)
 
 
 def collapse_space(c: Column) -> Column:
@@ -86,12 +89,23 @@ def normalize_space(c: Column) -> Column:
     return collapse_space(nfkc(c))
 
 
-def clean_text(c: Column, source: Column | None = None) -> Column:
-    """References, LaTeX (of sources that have it), tags, boilerplate, addresses, white space; null gives ''."""
+def _stripped_of_markup(c: Column, source: Column | None) -> Column:
     c = remove_references(F.coalesce(c, F.lit("")))
     if source is not None:
         c = F.when(source.isin(*LATEX_SOURCES), clean_latex(c)).otherwise(c)
-    return normalize_space(remove_urls_emails(remove_boilerplate(clean_xml(c))))
+    return remove_urls_emails(remove_boilerplate(clean_xml(c)))
+
+
+def clean_text(c: Column, source: Column | None = None) -> Column:
+    """References, LaTeX (of sources that have it), tags, boilerplate, addresses, white space; null gives ''."""
+    return normalize_space(_stripped_of_markup(c, source))
+
+
+def with_clean_text(rows: DataFrame, text: str, source: str | None = None, name: str = "cleaned") -> DataFrame:
+    """Rows with ``clean_text`` as a column: each step in a column of its own, so that none is evaluated twice."""
+    rows = rows.withColumn(name, _stripped_of_markup(F.col(text), source and F.col(source)))
+    rows = rows.withColumn("_nfkc", _nfkc(F.when(~F.col(name).rlike(r"^\p{ASCII}*\z"), F.col(name))))
+    return rows.withColumn(name, collapse_space(F.coalesce("_nfkc", name))).drop("_nfkc")
 
 
 def filter_context(c: Column, least: int = 50, most: int = 1_000) -> Column:

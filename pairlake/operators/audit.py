@@ -76,3 +76,41 @@ def apply_cold_filter(rows: DataFrame, cold: DataFrame, embedded: DataFrame | No
     """Rows of task and id: test rows outside the cold set, other splits whole; only embedded ones if given."""
     kept = rows.join(cold.withColumn("split", F.lit("test")), ["task", "split", "id"], "left_anti")
     return kept if embedded is None else kept.join(embedded.select("id").distinct(), "id", "left_semi")
+
+
+def edge_task(rows: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(query_id, cand_id, score) of an edge task -> src, dst, score, unresolved.
+
+    Ends as in ``task_ids``; a row counts as unresolved if an end can't be resolved,
+    unless both ends are null.
+    """
+    names = mapping.select(F.col("doc_id"), F.col("corpus_id"))
+    ends = rows.join(names.select(F.col("doc_id").alias("query_id"), F.col("corpus_id").alias("q")), "query_id", "left")
+    ends = ends.join(names.select(F.col("doc_id").alias("cand_id"), F.col("corpus_id").alias("c")), "cand_id", "left")
+    ends = ends.withColumns({"src": as_id(F.col("query_id"), F.col("q")), "dst": as_id(F.col("cand_id"), F.col("c")), "score": F.trim(F.col("score").cast("string")).try_cast("double")})
+    lost = (F.col("src").isNull() | F.col("dst").isNull()) & (F.col("query_id").isNotNull() | F.col("cand_id").isNotNull())
+    return ends.select("src", "dst", "score", lost.alias("unresolved"))
+
+
+def endpoints(edges: DataFrame) -> DataFrame:
+    """id: distinct ends of the rows of ``edge_task`` that have both."""
+    both = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    return both.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+
+
+def positives(edges: DataFrame) -> DataFrame:
+    """src, dst: distinct edges with both ends and a score above 0."""
+    return edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("score") > 0)).select("src", "dst").distinct()
+
+
+def citation_counts(ids: DataFrame, papers: DataFrame) -> DataFrame:
+    """id (with its repeats), count: 0 where a paper or its count is missing."""
+    counts = papers.select(F.col("corpusid").alias("id"), "citationcount").dropDuplicates(["id"])
+    return ids.select("id").join(counts, "id", "left").select("id", F.coalesce("citationcount", F.lit(0)).cast("long").alias("count"))
+
+
+def impact(counts: DataFrame, cap: float = 0.99, high: float = 0.9) -> DataFrame:
+    """The rows with log_count (counts capped at a percentile) and is_high: at or above a percentile of the positive ones, 0 without any."""
+    limits = counts.agg(F.percentile("count", cap).alias("cap"), F.coalesce(F.percentile(F.when(F.col("count") > 0, F.col("count")), high), F.lit(0.0)).alias("high"))
+    rows = counts.join(F.broadcast(limits))  # one row
+    return rows.select("id", "count", F.log1p(F.least(F.col("count"), F.col("cap"))).alias("log_count"), (F.col("count") >= F.col("high")).alias("is_high"))

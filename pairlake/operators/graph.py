@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import sampling
 
 
 def paper_pool(papers: DataFrame, abstracts: DataFrame | None = None, preview: int = 512, least: int = 50) -> DataFrame:
@@ -44,9 +45,15 @@ def forward_adjacency(edges: DataFrame, k: int = 20) -> DataFrame:
     return kept.groupBy("citing").agg(F.transform(F.sort_array(F.collect_list(F.struct("cited", "citationid"))), lambda s: s["cited"]).alias("cited_ids"))
 
 
-def cocitation(edges: DataFrame, k: int = 10) -> DataFrame:
-    """Distinct pairs x < y that some paper cites together, from its first k distinct references."""
-    refs = first_k(edges.select("citing", "cited").distinct(), "citing", ["cited"], k)
+def citing_pool(edges: DataFrame, n: int, seed: int) -> DataFrame:
+    """n distinct citing papers (all if there are fewer)."""
+    return sampling.exact(edges.where(F.col("citing").isNotNull() & F.col("cited").isNotNull()).select("citing").distinct(), n, seed, "citing")
+
+
+def cocitation(edges: DataFrame, k: int = 10, pool: DataFrame | None = None) -> DataFrame:
+    """Distinct pairs x < y that some paper (of a pool, if given) cites together, from its first k citations by id."""
+    edges = edges if pool is None else edges.join(pool.select("citing"), "citing", "left_semi")
+    refs = first_k(edges.where(F.col("cited").isNotNull()).select("citing", "cited", "citationid"), "citing", ["citationid", "cited"], k).drop("citationid")
     x, y = refs.withColumnRenamed("cited", "x"), refs.withColumnRenamed("cited", "y")
     return x.join(y, "citing").where(F.col("x") < F.col("y")).select("x", "y").distinct()
 

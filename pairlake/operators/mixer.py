@@ -34,9 +34,13 @@ def normalized(rows: DataFrame, name: str) -> DataFrame:
 
 
 def deduplicated(rows: DataFrame, *order: str) -> DataFrame:
-    """One row per (anchor, positive), nulls equal: the first in the stated order."""
-    w = Window.partitionBy("anchor", "positive").orderBy(*order)
-    return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).drop("rn")
+    """One row per (anchor, positive), nulls equal: the first in the stated order.
+
+    Pairs are told apart by the 128 bits of their MD5, so texts are not sorted.
+    """
+    key = F.md5(F.to_json(F.struct(F.md5("anchor").alias("a"), F.md5("positive").alias("p"))))  # a null is left out
+    w = Window.partitionBy("pair").orderBy(*order)
+    return rows.withColumn("pair", key).withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).drop("rn", "pair")
 
 
 def mix(signals: dict[str, tuple[DataFrame, int | None]], seed: int = 42) -> DataFrame:

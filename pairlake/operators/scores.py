@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,14 +13,18 @@ CATEGORIES = {
     "proximity": ("SciDocs Cite", "SciDocs CoView", "SciDocs CoCite", "SciDocs CoRead", "Same Author Detection", "Highly Influential Citations"),
     "search": ("RELISH", "NFCorpus", "TREC-CoVID", "Search"),
 }
-METRICS = {"classification": "f1_macro", "regression": "kendalltau", "proximity": "map", "search": "ndcg"}
-OWN_METRIC = {"Biomimicry": "f1"}
+METRICS = {
+    "Biomimicry": "f1", "DRSM": "f1_macro", "SciDocs MAG": "f1_macro", "SciDocs MeSH": "f1_macro", "MeSH": "f1_macro", "Fields of study": "f1_macro",
+    "Peer Review Score": "kendalltau", "Max hIndex": "kendalltau", "Tweet Mentions": "kendalltau", "Citation Count": "kendalltau", "Publication Year": "kendalltau",
+    "SciDocs Cite": "map", "SciDocs CoView": "map", "SciDocs CoCite": "map", "SciDocs CoRead": "map", "Same Author Detection": "map", "Highly Influential Citations": "map",
+    "RELISH": "ndcg", "NFCorpus": "ndcg", "TREC-CoVID": "ndcg", "Search": "ndcg",
+}
 REVIEWERS, REVIEWER_METRICS = "Paper-Reviewer Matching", ("hard_P_5", "hard_P_10", "soft_P_5", "soft_P_10")
 
 
 def dimension(spark) -> DataFrame:
     """task, category, metric."""
-    rows = [(t, c, OWN_METRIC.get(t, METRICS[c])) for c, ts in CATEGORIES.items() for t in ts]
+    rows = [(t, c, METRICS[t]) for c, ts in CATEGORIES.items() for t in ts]
     return spark.createDataFrame(rows, "task string, category string, metric string")
 
 
@@ -106,6 +111,11 @@ def seed_decomposition(scores: DataFrame, own: str, base: str) -> DataFrame:
     return one.join(two, "task").withColumn("delta", F.col("own_mean") - F.col("base_mean")).orderBy(F.col("delta").desc(), "task")
 
 
+def losses(delta: DataFrame, n: int = 5) -> DataFrame:
+    """The tasks of ``best_baseline`` where the own model is furthest behind."""
+    return delta.where(F.col("delta") < 0).orderBy("delta", "task").limit(n)
+
+
 def best_baseline(scores: DataFrame, own: str) -> DataFrame:
     """task, own score, best other model (first by name among equals), delta."""
     one = scores.where(F.col("model") == own).select("task", F.col("score").alias("own"))
@@ -115,12 +125,17 @@ def best_baseline(scores: DataFrame, own: str) -> DataFrame:
 
 
 def smoothed(rows: DataFrame, by: str, order: str, value: str, weight: float) -> DataFrame:
-    """by, order, value, ema: s = w * s_before + (1 - w) * v, from the first value on."""
-    series = rows.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("s"))
-    start = F.array().cast("array<double>")
-    step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x[value].cast("double")).otherwise(weight * F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)) + (1 - weight) * x[value])))
-    series = series.withColumn("e", F.aggregate("s", start, step))
-    return series.select(by, F.explode(F.arrays_zip("s", "e")).alias("z")).select(by, f"z.s.{order}", f"z.s.{value}", F.col("z.e").alias("ema"))
+    """by, order, value, ema: s = w * s_before + (1 - w) * v, from the first value on.
+
+    A recursion along a series, which a window can't say; a series (a training log) is one task's.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        return pdf.assign(ema=pdf[value].astype("float64").ewm(alpha=1 - weight, adjust=False).mean())
+
+    return rows.select(by, order, value).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {order} {kinds[order]}, {value} {kinds[value]}, ema double")
 
 
 def distribution(rows: DataFrame, value: str) -> DataFrame:

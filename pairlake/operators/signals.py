@@ -105,27 +105,72 @@ def clustering_pairs(papers: DataFrame, by: str, target: int, seed: int, cap: in
     return sampling.random_pairs(capped, by, "corpusid", draws, seed).withColumn("task", F.lit("clustering"))
 
 
-def section_pairs(docs: DataFrame, target: int, seed: int = 42, positive_ratio: float = 0.6) -> DataFrame:
+def clustering_texts(pairs: DataFrame, papers: DataFrame) -> DataFrame:
+    """Pairs of ids with their texts: text1, text2, task."""
+    side = lambda key, name: papers.select(F.col("corpusid").alias(key), text.prefixed("cluster", F.col("title"), F.col("abstract")).alias(name))
+    return pairs.join(side("first", "text1"), "first").join(side("second", "text2"), "second").select("text1", "text2", "task")
+
+
+def similarity_pairs(related: DataFrame, works: DataFrame, papers: DataFrame, abstracts: DataFrame, target: int | None = None, preview: int = 512, least: int = 50) -> DataFrame:
+    """text1, text2, task: related works whose DOIs lead to titled papers with an abstract.
+
+    ``related`` has work_id, related_work_id; ``works`` id, doi (as an address); ``papers``
+    corpusid, title, doi; ``abstracts`` corpusid, abstract.
+    """
+    bodies = abstracts.where(F.length("abstract") >= least).select("corpusid", F.substring("abstract", 1, preview).alias("abstract"))
+    named = papers.where(F.col("doi").isNotNull() & (F.col("title") != "")).select("corpusid", "title", text.doi_key(F.col("doi")).alias("doi")).join(bodies, "corpusid")
+    sides = works.select("id", "doi").join(named, "doi").select("id", text.prefixed("similarity", F.col("title"), F.col("abstract")).alias("side"))
+    one, two = sides.select(F.col("id").alias("work_id"), F.col("side").alias("text1")), sides.select(F.col("id").alias("related_work_id"), F.col("side").alias("text2"))
+    pairs = related.select("work_id", "related_work_id").join(one, "work_id").join(two, "related_work_id").withColumn("task", F.lit("similarity"))
+    return limited(pairs, target, "work_id", "related_work_id")
+
+
+def instruction_pairs(parts: dict[str, DataFrame]) -> DataFrame:
+    """text1, text2, task of all builders together."""
+    out = None
+    for name, rows in parts.items():
+        part = rows.select("text1", "text2", F.lit(name).alias("task"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def instruction_stats(pairs: DataFrame) -> DataFrame:
+    """task, n: pairs of each task, and "total" of all."""
+    return pairs.rollup("task").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("task", F.lit("total")).alias("task"), "n")
+
+
+def section_counts(found: DataFrame) -> DataFrame:
+    """section_type, n: sections of each type, and "papers" with any."""
+    types = found.groupBy("section_type").agg(F.count(F.lit(1)).alias("n"))
+    return types.unionByName(found.agg(F.lit("papers").alias("section_type"), F.count_distinct("doc_id").alias("n")))
+
+
+def section_pairs(found: DataFrame, target: int, seed: int = 42, positive_ratio: float = 0.6, per_source: int | None = None) -> DataFrame:
     """Pairs of sections from two documents: of one type (positive) or of two types (negative).
 
-    A draw picks two documents and a type by hash; draws that the documents cannot
-    meet are lost, so five times the target is drawn and cut in draw order.
+    ``found`` has doc_id, section_type, text, and source where at most ``per_source``
+    documents of each are used. A draw picks two documents and types by hash; draws
+    that the documents can't meet are lost, so five times the target is drawn and cut
+    in draw order.
     """
-    found = sec.extract(docs)
-    maps = found.groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section_type", "text")))).alias("sections"))
-    draws = maps.select(F.lit("all").alias("g"), "doc_id")
-    pairs = sampling.random_pairs(draws, "g", "doc_id", F.lit(5 * target), seed)
-    one, two = maps.select(F.col("doc_id").alias("first"), F.col("sections").alias("a")), maps.select(F.col("doc_id").alias("second"), F.col("sections").alias("b"))
-    rows = pairs.join(one, "first").join(two, "second").withColumn("same", uniform(seed, "same", "draw") < positive_ratio)
-    both = F.array_sort(F.array_intersect(F.map_keys("a"), F.map_keys("b")))
-    keys = F.array_sort(F.map_keys("a"))
-    kind = F.when(F.col("same"), F.get(both, (draw(seed, "kind", "draw") % F.greatest(F.size(both), F.lit(1))).cast("int"))).otherwise(F.get(keys, (draw(seed, "kind", "draw") % F.size(keys)).cast("int")))
+    by = ["doc_id"] if per_source is None else ["doc_id", "source"]
+    maps = found.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section_type", "text")))).alias("sections"))
+    maps = maps if per_source is None else graph.first_k(maps, "source", ["doc_id"], per_source).drop("source")
+    members = sampling.numbered(maps, "doc_id")
+    n = members.agg(F.max("n").alias("n")).where(F.col("n") > 1)  # one row
+    drawn = found.sparkSession.range(1, 5 * target + 1).select(F.col("id").alias("draw")).join(F.broadcast(n))
+    i, j = draw(seed, "first", "draw") % F.col("n"), draw(seed, "second", "draw") % (F.col("n") - 1)
+    drawn = drawn.withColumn("i", i).withColumn("j", F.when(j >= F.col("i"), j + 1).otherwise(j)).withColumn("same", uniform(seed, "same", "draw") < positive_ratio)
+    one, two = members.select(F.col("idx").alias("i"), F.col("sections").alias("a")), members.select(F.col("idx").alias("j"), F.col("sections").alias("b"))
+    rows = drawn.join(one, "i").join(two, "j")
+    pick = lambda of, tag: F.get(of, (draw(seed, tag, "draw") % F.greatest(F.size(of), F.lit(1))).cast("int"))
+    mine, both = F.array_sort(F.map_keys("a")), F.array_sort(F.array_intersect(F.map_keys("a"), F.map_keys("b")))
+    rows = rows.withColumn("kind", F.when(F.col("same"), pick(both, "kind")).otherwise(pick(mine, "kind")))
     others = F.array_sort(F.filter(F.map_keys("b"), lambda k: k != F.col("kind")))
-    other = F.when(F.col("same"), F.col("kind")).otherwise(F.get(others, (draw(seed, "other", "draw") % F.greatest(F.size(others), F.lit(1))).cast("int")))
-    rows = rows.withColumn("kind", kind).withColumn("other", other).where(F.col("kind").isNotNull() & F.col("other").isNotNull())
+    rows = rows.withColumn("other", F.when(F.col("same"), F.col("kind")).otherwise(pick(others, "other"))).where(F.col("kind").isNotNull() & F.col("other").isNotNull())
     prefix = F.create_map(*[F.lit(x) for kv in sec.PREFIXES.items() for x in kv])
     side = lambda m, k: F.concat(F.try_element_at(prefix, F.col(k)), F.lit(": "), F.try_element_at(F.col(m), F.col(k)))
-    pairs = rows.select("draw", side("a", "kind").alias("anchor"), side("b", "other").alias("positive"), F.col("kind").alias("anchor_section"), F.col("other").alias("positive_section"), F.when(F.col("same"), "same_section").otherwise("different_section").alias("pair_type"))
+    pairs = rows.select("draw", side("a", "kind").alias("anchor"), side("b", "other").alias("positive"), F.col("kind").alias("anchor_section"), F.col("other").alias("positive_section"), F.when(F.col("same"), "same_section").otherwise("cross_section_negative").alias("pair_type"))
     return limited(pairs, target, "draw")
 
 
@@ -146,8 +191,37 @@ def retrieval_candidates(papers: DataFrame, n: int, seed: int, citations: tuple[
     return sampling.exact(rows, n, seed + 1, "corpusid")
 
 
-def citation_examples(citations: DataFrame, papers: DataFrame, n: int = 20) -> DataFrame:
-    """The contexts that share least with the cited title, with their labels."""
-    rows = citations.select("citing", "cited", "intents", F.explode("contexts").alias("context")).join(papers.select(F.col("corpusid").alias("cited"), "title"), "cited")
-    rows = rows.withColumns({"overlap": text.title_overlap(F.col("context"), F.col("title")), "labels": text.label_list(F.array("intents"))})
+#: Most characters of a body that a retrieval dataset keeps.
+MOST_BODY = 80_000
+
+
+def retrieval_dataset(papers: DataFrame, bodies: DataFrame, n_candidates: int, n_queries: int, seed: int = 42, **ranges: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(candidates, queries) of a retrieval task.
+
+    ``papers`` has corpusid, title, abstract, field_of_study, citationcount, body_len;
+    ``bodies`` corpusid, body. Bodies are fetched for the sampled candidates only. One and
+    a half times the queries are tried, in hashed order, and as many kept as are wanted.
+    """
+    sampled = retrieval_candidates(papers, n_candidates, seed, **ranges).select("corpusid")
+    rows = papers.join(F.broadcast(sampled), "corpusid").join(bodies.select("corpusid", "body"), "corpusid")
+    candidates = rows.select(F.col("corpusid").alias("candidate_id"), "title", "abstract", "field_of_study", "citationcount", "body")
+    tried = sampling.exact(candidates.select(F.col("candidate_id").alias("doc_id"), "abstract", "body"), int(n_queries * 1.5), seed, "doc_id")
+    found = sampling.exact(body_queries(tried, seed), n_queries, seed, "doc_id")
+    order = Window.orderBy(digest(seed, "exact", "doc_id"), "doc_id")  # over the few queries that are wanted
+    queries = found.select((F.row_number().over(order) - 1).cast("long").alias("query_id"), "query_text", F.col("doc_id").alias("gold_candidate_id"))
+    return candidates.withColumn("body", F.substring("body", 1, MOST_BODY)), queries
+
+
+def citation_examples(citations: DataFrame, papers: DataFrame, n: int = 20, pool: int | None = None, seed: int = 42) -> DataFrame:
+    """First contexts of influential citations that share least with the cited title, with their labels.
+
+    Titles have 30 to 200 characters, abstracts 200 to 1 500, contexts 80 to 350; with ``pool``,
+    only that many citations are looked at.
+    """
+    rows = citations.where(F.col("isinfluential") & (F.size("contexts") > 0)).select("citing", "cited", F.get("contexts", F.lit(0)).alias("context"), "intents")
+    rows = rows if pool is None else sampling.exact(rows, pool, seed, "citing", "cited")
+    cited = papers.where(F.length("title").between(30, 200) & F.length("abstract").between(200, 1_500)).select(F.col("corpusid").alias("cited"), F.col("title").alias("cited_title"), F.concat(F.substring("abstract", 1, 300), F.lit("...")).alias("cited_abstract"))
+    citing = papers.where(F.col("title").isNotNull()).select(F.col("corpusid").alias("citing"), F.col("title").alias("citing_title"))
+    rows = rows.where(F.length("context").between(80, 350)).join(cited, "cited").join(citing, "citing")
+    rows = rows.withColumns({"overlap": text.title_overlap(F.col("context"), F.col("cited_title")), "labels": text.label_list(F.array("intents"))})
     return rows.orderBy("overlap", "citing", "cited", "context").limit(n)

@@ -9,29 +9,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest, uniform
-from ..functions.text import clean_text
+from ..functions.text import with_clean_text
 
 LEAST_CHUNK, LEAST_TEXT = 64, 100
 IGNORED = -100
 
 
-def tokenized(docs: DataFrame, tokenizer: Callable[[], Callable[[list[str]], list[list[int]]]], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids by an injected tokenizer; the factory runs once in each worker."""
-    kind = docs.schema[key].dataType.simpleString()
+def tokenized(docs: DataFrame, tokenizer: Callable[[], Callable[[list[str]], list[list[int]]]], key: str = "doc_id", text: str = "text", *others: str) -> DataFrame:
+    """key, ids by an injected tokenizer, and any other columns; the factory runs once in each worker."""
+    kept = [key, *others]
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = tokenizer()
         for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "ids": encode(pdf[text].fillna("").tolist())})
+            yield pdf[kept].assign(ids=encode(pdf[text].fillna("").tolist()))
 
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, ids array<int>")
+    return docs.select(*kept, text).mapInPandas(run, f"{kinds}, ids array<int>")
 
 
 def corpus(docs: DataFrame, tokenizer, max_length: int, stride: int, cls: int, sep: int, pad: int) -> DataFrame:
     """Cleaned, tokenized and chunked documents with their source; texts under 100 characters go."""
-    clean = docs.select("doc_id", "source", clean_text(F.col("text"), F.col("source")).alias("text")).where(F.length("text") >= LEAST_TEXT)
-    ids = tokenized(clean, tokenizer).join(clean.select("doc_id", "source"), "doc_id")
-    return chunked(ids, max_length, stride, cls, sep, pad)
+    clean = with_clean_text(docs.select("doc_id", "source", "text"), "text", "source", "clean").select("doc_id", "source", F.col("clean").alias("text")).where(F.length("text") >= LEAST_TEXT)
+    return chunked(tokenized(clean, tokenizer, "doc_id", "text", "source"), max_length, stride, cls, sep, pad)
 
 
 def chunks(ids: Column, max_length: int, stride: int, cls: int, sep: int, pad: int) -> Column:

@@ -57,6 +57,26 @@ def boilerplate_sql(c: str) -> str:
     return f"regexp_replace(regexp_replace({c}, '{phrases}', '', 'g'), '{lines}', '', 'g')"
 
 
+def clean_sql(c: str, latex: bool = False) -> str:
+    """The cleaning chain; ``nfc_normalize`` stands for NFKC, which is the same on the supplied tables."""
+    c = f"regexp_replace(coalesce({c}, ''), '(?s){text.REFERENCES.replace('++', '*').replace('*+', '*').replace(chr(92) + 's', SPACE)}', '')"
+    if latex:
+        for pattern, by in (
+            (text.LATEX_CITATIONS, "''"), (text.LATEX_REFERENCES, "''"), (text.LATEX_ENVIRONMENTS, "''"),
+            (text.LATEX_FORMATS, r"'\1'"), (text.LATEX_SECTIONS, r"E'\n\\1\n'"), (text.LATEX_STRAY, "''"),
+        ):
+            c = f"regexp_replace({c}, '{pattern}', {by}, 'g')"
+    other = "[^" + SPACE[1:]
+    c = boilerplate_sql(f"regexp_replace({c}, '<[^>]+>', '', 'g')")
+    c = f"regexp_replace(regexp_replace({c}, 'https?://{other}+', '', 'g'), '{other}+@{other}+[.]{other}+', '', 'g')"
+    return collapse_sql(f"nfc_normalize({c})")
+
+
+def collapse_sql(c: str) -> str:
+    space = SPACE.replace(r"\n", "").replace(r"\x0B", r"\x0B")
+    return strip_sql(f"regexp_replace(regexp_replace({c}, '{space}+', ' ', 'g'), '\\n{{3,}}', E'\\n\\n', 'g')")
+
+
 CONVS = f"""turns as (select conv_id, list(text order by turn) as contexts,
   list(case role when 'user' then 'background' when 'assistant' then 'methodology' when 'system' then 'result' end order by turn) as intents
   from conversations group by conv_id),
@@ -80,8 +100,7 @@ def forward_adjacency(spark, sf_dir):
     return rows.select("citing", F.size("cited_ids").cast("long").alias("n"), F.array_join(F.transform("cited_ids", lambda x: x.cast("string")), ",").alias("cited_ids"))
 
 
-@query(f"""with {EDGES}, {PAPERS}, d as (select distinct citing, cited from edges),
-r as (select *, row_number() over (partition by citing order by cited) as rn from d),
+@query(f"""with {EDGES}, {PAPERS}, r as (select *, row_number() over (partition by citing order by citationid, cited) as rn from edges),
 p as (select distinct a.cited as x, b.cited as y from r a join r b on a.citing = b.citing and a.cited < b.cited where a.rn <= 10 and b.rn <= 10),
 s as (select corpusid, title || '. ' || abstract as t from papers where title is not null and length(abstract) between 50 and 5000)
 select x, y, 'search_query: ' || a.t as anchor, 'search_document: ' || b.t as positive, cast(null as varchar) as negative, 'co_citation' as signal_type
@@ -92,13 +111,29 @@ def cocitation_pairs(spark, sf_dir):
     return found.select("x", "y", "anchor", "positive", F.lit(None).cast("string").alias("negative"), F.lit("co_citation").alias("signal_type"))
 
 
-@query(f"""with {EDGES}, d as (select distinct citing, cited from edges),
-r as (select *, row_number() over (partition by citing order by cited) as rn from d)
+@query(f"""with {EDGES}, r as (select *, row_number() over (partition by citing order by citationid, cited) as rn from edges)
 select count(*) as pairs, sum(x)::bigint as sum_x, sum(y)::bigint as sum_y from (select distinct a.cited as x, b.cited as y from r a join r b on a.citing = b.citing and a.cited < b.cited where a.rn <= 10 and b.rn <= 10)""")
 def cocitation_totals(spark, sf_dir):
     return graph.cocitation(views.edges(spark, sf_dir)).agg(F.count(F.lit(1)).alias("pairs"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
 
 
+@query(f"""with {EDGES}, pool as (select citing from (select distinct citing from edges) order by {digest_sql(42, 'exact', 'citing')}, citing limit 500),
+r as (select *, row_number() over (partition by citing order by citationid, cited) as rn from edges where citing in (select citing from pool))
+select distinct a.cited as x, b.cited as y from r a join r b on a.citing = b.citing and a.cited < b.cited where a.rn <= 10 and b.rn <= 10""")
+def cocitation_sampled(spark, sf_dir):
+    edges = views.edges(spark, sf_dir)
+    return graph.cocitation(edges, pool=graph.citing_pool(edges, 500, 42))
+
+
+@query(f"""with {DIGRAPH}, {PAPERS}, pool as (select corpusid from papers where title is not null and length(abstract) >= 50 and citationcount >= 5)
+select distinct citing, cited from digraph where citing in (select corpusid from pool) and cited in (select corpusid from pool)""")
+def cited_often_edges(spark, sf_dir):
+    """Edges between papers cited five times or more, from papers and abstracts in two tables."""
+    papers = views.papers(spark, sf_dir)
+    pool = graph.paper_pool(papers.drop("abstract"), abstracts=papers.select("corpusid", "abstract"))
+    return graph.within(views.digraph(spark, sf_dir).select("citing", "cited").distinct(), pool, least_citations=5)
+
+
 @query(f"""with {DIGRAPH}, i as (select * from digraph where isinfluential),
 r as (select *, row_number() over (partition by citing order by cited, citationid) as rn from i),
 h as (select distinct e.citing, e.cited, r.cited as hop from (select distinct citing, cited from i) e join r on r.citing = e.cited and r.rn <= 20 where r.cited <> e.citing and r.cited <> e.cited)
@@ -167,6 +202,14 @@ def context_pairs(spark, sf_dir):
     return signals.context_pairs(views.conversations(spark, sf_dir), views.papers(spark, sf_dir))
 
 
+@query(f"""with {CONVS}, {PAPERS}, {CITED}, e as (select citing, cited, unnest(contexts) as raw from convs where isinfluential and {uniform_sql(42, 'contexts', 'citing')} < 0.6), f as (select citing, cited, {context_sql('raw')} as c from e)
+select 'search_query: ' || c as query, document, citing as citing_id, cited as cited_id from f join cited_docs on corpusid = cited where c is not null order by citing, cited, query limit 50""")
+def context_pairs_limited(spark, sf_dir):
+    """A share of the influential citations, and of their contexts the target."""
+    pairs = signals.context_pairs(views.conversations(spark, sf_dir), views.papers(spark, sf_dir), influential_only=True, rate=0.6)
+    return signals.limited(pairs, 50, "citing_id", "cited_id", "query")
+
+
 @query(f"""with {CONVS}, {PAPERS}, {CITED}, e as (select citing, cited, unnest(contexts) as raw, unnest(intents) as intent from convs),
 f as (select citing, cited, intent, {context_sql('raw')} as c from e),
 g as (select *, case intent when 'background' then 'cite_background' when 'methodology' then 'cite_method' when 'result' then 'cite_result' end as prefix,
@@ -202,6 +245,20 @@ def improves_over_pairs(spark, sf_dir):
     return signals.improves_over(views.digraph(spark, sf_dir), views.papers(spark, sf_dir), modulus=3)
 
 
+def _similarity(spark, sf_dir):
+    """Works of every document, whose DOIs lead to its paper."""
+    docs = views.papers(spark, sf_dir).withColumn("doi", F.concat(F.lit("10.1/"), F.col("corpusid").cast("string")))
+    related = views.digraph(spark, sf_dir).select(F.col("citing").alias("work_id"), F.col("cited").alias("related_work_id")).distinct()
+    works = docs.select(F.col("corpusid").alias("id"), F.concat(F.lit("https://doi.org/"), "doi").alias("doi"))
+    return signals.similarity_pairs(related, works, docs.select("corpusid", "title", "doi"), docs.select("corpusid", "abstract"))
+
+
+@query(f"""with {DIGRAPH}, {PAPERS}, s as (select corpusid, 'similarity: ' || title || '. ' || substr(abstract, 1, 512) as side from papers where title <> '' and length(abstract) >= 50)
+select citing as work_id, cited as related_work_id, a.side as text1, b.side as text2, 'similarity' as task from (select distinct citing, cited from digraph) join s a on a.corpusid = citing join s b on b.corpusid = cited""")
+def similarity_pairs(spark, sf_dir):
+    return _similarity(spark, sf_dir).select("work_id", "related_work_id", "text1", "text2", "task")
+
+
 def _works(spark, sf_dir):
     """papers as works: valid where title and abstract are more than white space."""
     valid = (text.strip(F.col("title")) != "") & (text.strip(F.col("abstract")) != "")
@@ -235,12 +292,74 @@ def clustering_pairs(spark, sf_dir):
     return signals.clustering_pairs(views.papers(spark, sf_dir), "field_of_study", 1_000, 42)
 
 
-@query()
+def _body_sql(docs: str) -> str:
+    """best: doc_id, query_text of ``docs`` (doc_id, abstract, body)."""
+    tri = lambda t: f"case when len({t}) >= 3 then list_distinct(list_transform(range(1, len({t}) - 1), lambda i: {t}[i] || ' ' || {t}[i+1] || ' ' || {t}[i+2])) else [] end"
+    noise = text.NOISE.replace("++", "+").replace("*+", "*").replace(r"\s", SPACE).replace(r"\d", "[0-9]")
+    return f"""bodies as (select doc_id, {TOKENS.format(c='abstract')} as t, substr(body, length(body) // 3 + 1, 2 * length(body) // 3 - length(body) // 3) as mid from {docs}),
+known as (select doc_id, {tri('t')} as known, regexp_replace(mid, '([.!?]){SPACE}+([A-Z(])', '\\1' || chr(31) || '\\2', 'g') as mid from bodies),
+sents as (select doc_id, known, list_filter(list_transform(string_split(mid, chr(31)), lambda x: {strip_sql('x')}), lambda x: x <> '') as ss from known),
+sent as (select doc_id, known, unnest(ss) as s, unnest(range(len(ss))) as i from sents),
+fine as (select doc_id, known, s, i, {TOKENS.format(c='s')} as t from sent where length(s) between 80 and 400 and not regexp_matches(s, '{noise}')),
+rated as (select doc_id, s, i, {tri('t')} as g, known from fine),
+best as (select doc_id, arg_min(s, {digest_sql(42, 'sentence', 'doc_id', 'i')} || lpad(cast(i as varchar), 9, '0')) as query_text from rated where len(g) > 0 and len(list_intersect(g, known)) / len(g) <= 0.2 group by doc_id)"""
+
+
+@query(f"with docs as (select doc_id, substr(text, 1, 300) as abstract, text as body from documents), {_body_sql('docs')} select doc_id, query_text from best")
 def body_queries(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 300).alias("abstract"), F.col("text").alias("body"))
     return signals.body_queries(docs)
 
 
+_FOUR = ("search", "classification", "clustering", "similarity")
+_FOUR_SQL = " union all ".join(f"select '{t}' as task, count(*) as n from ({ORACLE_SQL[q]})" for t, q in zip(_FOUR, ("search_pairs", "topic_classification_pairs", "clustering_pairs", "similarity_pairs")))
+
+
+@query(f"with c as ({_FOUR_SQL}) select task, n::bigint as n from c union all select 'total', sum(n)::bigint from c")
+def instruction_pair_stats(spark, sf_dir):
+    papers = views.papers(spark, sf_dir)
+    clusters = signals.clustering_texts(clustering_pairs(spark, sf_dir), papers)
+    parts = dict(zip(_FOUR, (search_pairs(spark, sf_dir), topic_classification_pairs(spark, sf_dir), clusters, _similarity(spark, sf_dir))))
+    return signals.instruction_stats(signals.instruction_pairs(parts))
+
+
+def _retrieval(spark, sf_dir):
+    """Papers whose abstract is the first 300 characters, and bodies that are the whole text."""
+    papers = views.papers(spark, sf_dir).withColumn("abstract", F.substring("abstract", 1, 300))
+    bodies = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("corpusid"), F.col("text").alias("body"))
+    return signals.retrieval_dataset(papers, bodies, 200, 40, body=(1_000, 80_000))
+
+
+_CANDIDATES = f"""e as (select corpusid, title, substr(abstract, 1, 300) as abstract, abstract as body, field_of_study, citationcount from papers where citationcount between 1 and 4 and length(substr(abstract, 1, 300)) >= 50 and body_len between 1000 and 80000),
+r as (select *, row_number() over (partition by field_of_study order by {digest_sql(42, 'field', 'corpusid')}, corpusid) as rn from e),
+cand as (select * from r where rn <= greatest(1.0, 200 / 25.0) order by {digest_sql(43, 'exact', 'corpusid')}, corpusid limit 200)"""
+
+
+@query(f"with {PAPERS}, {_CANDIDATES} select corpusid as candidate_id, title, abstract, field_of_study, citationcount, substr(body, 1, 80000) as body from cand")
+def retrieval_corpus(spark, sf_dir):
+    return _retrieval(spark, sf_dir)[0]
+
+
+@query(f"""with {PAPERS}, {_CANDIDATES}, tried as (select corpusid as doc_id, abstract, body from cand order by {digest_sql(42, 'exact', 'corpusid')}, corpusid limit 60), {_body_sql('tried')},
+kept as (select *, row_number() over (order by {digest_sql(42, 'exact', 'doc_id')}, doc_id) - 1 as query_id from best)
+select query_id, query_text, doc_id as gold_candidate_id from kept where query_id < 40""")
+def retrieval_queries(spark, sf_dir):
+    return _retrieval(spark, sf_dir)[1]
+
+
+@query(f"""with {CONVS}, {PAPERS}, c as (select citing, cited, contexts[1] as context, intents from convs where isinfluential and len(contexts) > 0),
+f as (select c.*, a.title as cited_title, substr(a.abstract, 1, 300) || '...' as cited_abstract, b.title as citing_title from c join papers a on a.corpusid = cited join papers b on b.corpusid = citing
+  where b.title is not null and length(a.title) between 30 and 200 and length(a.abstract) between 200 and 1500 and length(context) between 80 and 350),
+w as (select *, list_distinct(list_transform(list_filter(regexp_split_to_array(lower({strip_sql('context')}), '{SPACE}+'), lambda x: length(x) > 3), lambda x: regexp_replace(x, '^[.,;:()\\[\\]]+|[.,;:()\\[\\]]+$', '', 'g'))) as cw,
+  list_distinct(list_transform(list_filter(regexp_split_to_array(lower({strip_sql('cited_title')}), '{SPACE}+'), lambda x: length(x) > 3), lambda x: regexp_replace(x, '^[.,;:()\\[\\]]+|[.,;:()\\[\\]]+$', '', 'g'))) as tw from f)
+select citing, cited, context, citing_title, cited_title, cited_abstract, round(case when len(tw) > 0 then len(list_intersect(tw, cw)) / len(tw) else 0 end, 6) as overlap,
+  coalesce(nullif(array_to_string(list_sort(list_distinct(list_filter(intents, lambda x: x is not null))), ','), ''), '—') as labels
+from w order by case when len(tw) > 0 then len(list_intersect(tw, cw)) / len(tw) else 0 end, citing, cited, context limit 20""")
+def citation_examples(spark, sf_dir):
+    rows = signals.citation_examples(views.conversations(spark, sf_dir), views.papers(spark, sf_dir))
+    return rows.select("citing", "cited", "context", "citing_title", "cited_title", "cited_abstract", F.round("overlap", 6).alias("overlap"), "labels")
+
+
 @query(f"""with {PAPERS}, e as (select * from papers where citationcount between 1 and 4 and length(abstract) >= 50 and body_len between 1000 and 80000),
 r as (select *, row_number() over (partition by field_of_study order by {digest_sql(42, 'field', 'corpusid')}, corpusid) as rn from e)
 select corpusid, field_of_study from (select * from r where rn <= greatest(1.0, 200 / 25.0) order by {digest_sql(43, 'exact', 'corpusid')}, corpusid limit 200)""")
@@ -266,21 +385,93 @@ def clean_xml_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.clean_xml(F.col("html")).alias("cleaned"))
 
 
-@query()
+@query(f"select doc_id, {clean_sql('text')} as cleaned from documents")
 def clean_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.clean_text(F.col("text"), F.col("source")).alias("cleaned"))
+    return text.with_clean_text(table(spark, sf_dir, "documents"), "text", "source").select("doc_id", "cleaned")
 
 
-@query()
+_LATEX = r"'\section{' || substr(text, 1, 60) || '} \citep{x1} \textbf{' || text || '} see \ref{y}, https://a.b/c or me@x.org\noindent' || E'\n\nReferences\n[1] ' || text"
+
+
+@query(f"select doc_id, {clean_sql(_LATEX, latex=True)} as cleaned from documents")
+def clean_latex_documents(spark, sf_dir):
+    """Documents dressed as LaTeX sources with addresses and references, cleaned again."""
+    t = F.col("text")
+    dressed = F.concat(F.lit("\\section{"), F.substring(t, 1, 60), F.lit("} \\citep{x1} \\textbf{"), t, F.lit("} see \\ref{y}, https://a.b/c or me@x.org\\noindent\n\nReferences\n[1] "), t)
+    rows = table(spark, sf_dir, "documents").select("doc_id", dressed.alias("text"), F.lit("arxiv").alias("source"))
+    return text.with_clean_text(rows, "text", "source").select("doc_id", "cleaned")
+
+
+@query(f"select doc_id, {collapse_sql('nfc_normalize(text)')} as cleaned from documents")
 def nfkc_normalise(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.normalize_space(F.col("text")).alias("cleaned"))
 
 
-@query()
-def document_sections(spark, sf_dir):
+@query(f"""select doc_id, concat_ws(' ', {strip_sql("coalesce(substr(text, 1, 60), '')")} || '.', {strip_sql("coalesce(text, '')")}) as candidate from documents""")
+def candidate_texts(spark, sf_dir):
+    return views.papers(spark, sf_dir).select(F.col("corpusid").alias("doc_id"), text.candidate_text(F.col("title"), F.col("abstract")).alias("candidate"))
+
+
+@query(f"""select conv_id, turn, regexp_replace({strip_sql('text')}, '^"+|"+$', '', 'g') as line from conversations where not contains(text, chr(10))
+union all select conv_id, turn, regexp_replace({strip_sql('string_split(' + strip_sql('text') + ', chr(10))[1]')}, '^"+|"+$', '', 'g') from conversations where contains(text, chr(10))""")
+def paraphrases(spark, sf_dir):
+    """Turns as generated answers in quotes."""
+    quoted = F.concat(F.lit(' "'), F.get(F.split("text", "\n"), F.lit(0)), F.lit('"\nand so on'))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.paraphrase(quoted).alias("line"))
+
+
+@query("select conv_id, turn, case role when 'user' then 'search_query: ' when 'assistant' then 'search_document: ' else '' end || text as prefixed from conversations")
+def task_prefixes(spark, sf_dir):
+    task = F.when(F.col("role") == "user", "search_query").when(F.col("role") == "assistant", "search_document").otherwise(F.col("role"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.task_prefixed(task, F.col("text")).alias("prefixed"))
+
+
+def _sectioned(spark, sf_dir):
     """Headings put before the lines of documents, as none of them has any."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Introduction\n"), F.col("text"), F.lit("\n# Methods\n"), F.col("text"), F.lit("\n2. Results\n"), F.col("text")).alias("text"))
-    return sections.extract(docs)
+    whole = F.concat(F.lit("Introduction\n"), F.col("text"), F.lit("\n# Methods\n"), F.col("text"), F.lit("\n2. Results\n"), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", whole.alias("text"))
+
+
+def _sections_sql() -> str:
+    heads = []
+    for i, (kind, names) in enumerate(sections.NAMES.items()):
+        pattern = f"{sections.HEAD}(?:{names}){sections.TAIL}".replace(r"\s", SPACE)
+        heads.append(f"{{'at': case when regexp_matches(text, '(?im){pattern}') then length(regexp_extract(text, '(?im)\\A((?s:.*?)){pattern}', 1)) + 1 end, 'o': {i}, 'kind': '{kind}'}}")
+    body = f"case when strpos(w, chr(10)) > 1 then {strip_sql('substr(w, strpos(w, chr(10)))')} else w end"
+    return f"""whole as (select doc_id, source, E'Introduction\\n' || text || E'\\n# Methods\\n' || text || E'\\n2. Results\\n' || text as text from documents),
+found as (select *, list_sort(list_filter([{', '.join(heads)}], lambda h: h.at is not null)) as hs from whole where length(text) >= {sections.LEAST_TEXT}),
+cuts as (select doc_id, source, text, hs, unnest(range(1, len(hs) + 1)) as i from found),
+parts as (select doc_id, source, hs[i].kind as section_type, hs[i].at as start, coalesce(hs[i + 1].at, length(text) + 1) as stop, {strip_sql("substr(text, hs[i].at, coalesce(hs[i + 1].at, length(text) + 1) - hs[i].at)")} as w from cuts),
+sec as (select doc_id, source, section_type, substr({body}, 1, {sections.MOST_SECTION}) as text, start, stop from parts where length(substr({body}, 1, {sections.MOST_SECTION})) >= {sections.LEAST_SECTION})"""
+
+
+@query(f'with {_sections_sql()} select doc_id, section_type, text, start, stop as "end" from sec')
+def document_sections(spark, sf_dir):
+    return sections.extract(_sectioned(spark, sf_dir))
+
+
+@query(f"with {_sections_sql()} select section_type, count(*) as n from sec group by 1 union all select 'papers', count(distinct doc_id) from sec")
+def section_counts(spark, sf_dir):
+    return signals.section_counts(sections.extract(_sectioned(spark, sf_dir)))
+
+
+_PREFIX = "case {c} " + " ".join(f"when '{k}' then '{v}'" for k, v in sections.PREFIXES.items()) + " end"
+
+
+@query(f"""with {_sections_sql()}, m as (select doc_id, source, list_sort(list(section_type)) as types from sec group by 1, 2),
+k as (select *, row_number() over (partition by source order by doc_id) as rn from m),
+ids as (select doc_id, types, row_number() over (order by doc_id) - 1 as idx, count(*) over () as n from k where rn <= 20),
+d as (select unnest(range(1, 1501)) as draw), x as (select draw, n, {draw_sql(42, 'first', 'draw')} % n as i, {draw_sql(42, 'second', 'draw')} % (n - 1) as j0, {uniform_sql(42, 'same', 'draw')} < 0.6 as same from d, (select max(n) as n from ids) where n > 1),
+y as (select x.*, a.doc_id as da, b.doc_id as db, a.types as ta, b.types as tb, list_sort(list_intersect(a.types, b.types)) as common from x join ids a on a.idx = i join ids b on b.idx = case when j0 >= i then j0 + 1 else j0 end),
+z as (select *, case when same then common[1 + {draw_sql(42, 'kind', 'draw')} % greatest(len(common), 1)] else ta[1 + {draw_sql(42, 'kind', 'draw')} % len(ta)] end as kind from y),
+u as (select *, list_filter(tb, lambda t: t <> kind) as others from z),
+v as (select *, case when same then kind else others[1 + {draw_sql(42, 'other', 'draw')} % greatest(len(others), 1)] end as other from u)
+select draw, {_PREFIX.format(c='kind')} || ': ' || a.text as anchor, {_PREFIX.format(c='other')} || ': ' || b.text as positive, kind as anchor_section, other as positive_section,
+  case when same then 'same_section' else 'cross_section_negative' end as pair_type
+from v join sec a on a.doc_id = da and a.section_type = kind join sec b on b.doc_id = db and b.section_type = other order by draw limit 300""")
+def section_pairs(spark, sf_dir):
+    rows = _sectioned(spark, sf_dir).select("doc_id", "source", F.explode(sections.sections(F.col("text"))).alias("s"))
+    return signals.section_pairs(rows.select("doc_id", "source", "s.section_type", "s.text"), 300, per_source=20)
 
 
 @query(f"""with t as (select doc_id, {TOKENS.format(c='text')} as a, {TOKENS.format(c=boilerplate_sql('text'))} as b from documents),
@@ -467,6 +658,23 @@ def nn_agreement(spark, sf_dir):
     return retrieval.agreement(space(64), space(32), 10)
 
 
+def _model_sql(dim: int) -> str:
+    unit = f"list_transform((embedding::double[])[1:{dim}], lambda x: x / greatest(sqrt(list_sum(list_transform((embedding::double[])[1:{dim}], lambda y: y * y))), 1e-12))"
+    rank = "1 + sum(case when c.vec_id <> q.vec_id + 1 and round(list_inner_product(q.u, c.u), 9) > round(list_inner_product(q.u, g.u), 9) then 1 else 0 end) as rank, count(*) as pool"
+    pairs = f"from e{dim} q join e{dim} g on g.vec_id = q.vec_id + 1 cross join e{dim} c where q.vec_id % 20 = 0"
+    parts = [f"select 'd{dim}' as model, '{p}' as pl, q.vec_id as query_id, {rank} {pairs} {where} group by q.vec_id" for p, where in (("full", ""), ("samefield", "and (c.vec_id = g.vec_id or c.label = g.label)"))]
+    return f"e{dim} as (select vec_id, label, {unit} as u from embeddings), r{dim} as ({' union all '.join(parts)})"
+
+
+@query(f"""with {_model_sql(64)}, {_model_sql(16)}, ranks as (select * from r64 union all select * from r16)
+{_METRICS.replace('select count(*) as queries', 'select model, pl as pool, count(*) as queries').replace(' from ranks', ' from ranks group by model, pl')}""")
+def model_metrics(spark, sf_dir):
+    """Two models, the vectors whole and their first 16 numbers, in either pool."""
+    queries, candidates = _dense(spark, sf_dir)
+    cut = lambda rows, d: rows.withColumn("vector", retrieval.normalized(F.col("vector"), d))
+    return retrieval.evaluated({f"d{d}": (cut(queries, d), cut(candidates, d)) for d in (64, 16)})
+
+
 _BM25 = f"""toks as (select doc_id, {TOKENS.format(c='text')} as t from documents),
 stats as (select count(*) as n, avg(len(t)) as avgdl from toks),
 post as (select doc_id, token, len(any_value(t)) as dl, count(*) as tf from (select doc_id, t, unnest(t) as token from toks) group by doc_id, token),
@@ -493,6 +701,14 @@ def bm25_rank_metrics(spark, sf_dir):
     return retrieval.metrics(retrieval.sparse_ranks(queries, found, table(spark, sf_dir, "documents").count()))
 
 
+@query(f"""with {_BM25}, g as (select item_id as query_id, item_id as gold, source as field, round(coalesce(score, 0), 9) as gold_score from benchmark join documents on doc_id = item_id left join scores on query_id = item_id and doc = item_id),
+ranks as (select g.query_id, 1 + sum(case when d.doc_id <> gold and round(coalesce(score, 0), 9) > gold_score then 1 else 0 end) as rank, count(*) as pool from g join documents d on d.source = g.field left join scores s on s.query_id = g.query_id and s.doc = d.doc_id group by 1) {_METRICS}""")
+def bm25_samefield_metrics(spark, sf_dir):
+    queries, found = _bm25(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    return retrieval.metrics(retrieval.sparse_ranks(queries, found, docs.count(), docs.select(F.col("doc_id").alias("doc"), F.col("source").alias("field"))))
+
+
 # --- audit --------------------------------------------------------------------------------------
 
 
@@ -528,6 +744,60 @@ def cold_filter(spark, sf_dir):
     return audit.apply_cold_filter(rows, cold).select("id", "task", "split")
 
 
+_TASK = """task as (select case when o_orderkey % 5 = 0 then 'sha' || o_custkey when o_orderkey % 11 = 1 then null else ' ' || o_custkey end as query_id,
+  case when o_orderkey % 7 = 0 then 'x' || o_orderkey when o_orderkey % 11 = 1 then null else cast(o_orderkey % 1000 as varchar) end as cand_id,
+  case o_orderkey % 4 when 0 then '1' when 1 then '0' when 2 then ' 2.5' else 'bad' end as score from orders),
+mapping as (select 'sha' || c_custkey as doc_id, c_custkey as corpus_id from customer where c_nationkey < 12)"""
+
+
+def _task(spark, sf_dir):
+    """orders as rows of an evaluation task with ids of several kinds, and the map of some of them."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    rows = table(spark, sf_dir, "orders").select(
+        F.when(key % 5 == 0, F.concat(F.lit("sha"), cust)).when(key % 11 == 1, None).otherwise(F.concat(F.lit(" "), cust)).alias("query_id"),
+        F.when(key % 7 == 0, F.concat(F.lit("x"), key.cast("string"))).when(key % 11 == 1, None).otherwise((key % 1000).cast("string")).alias("cand_id"),
+        F.when(key % 4 == 0, "1").when(key % 4 == 1, "0").when(key % 4 == 2, " 2.5").otherwise("bad").alias("score"),
+    )
+    mapping = table(spark, sf_dir, "customer").where("c_nationkey < 12").select(F.concat(F.lit("sha"), F.col("c_custkey").cast("string")).alias("doc_id"), F.col("c_custkey").alias("corpus_id"))
+    return rows, mapping
+
+
+@query(f"""with {_TASK}, r as (select coalesce(try_cast(trim(query_id) as bigint), a.corpus_id) as src, coalesce(try_cast(trim(cand_id) as bigint), b.corpus_id) as dst, try_cast(trim(score) as double) as score, query_id, cand_id
+  from task left join mapping a on a.doc_id = query_id left join mapping b on b.doc_id = cand_id), fine as (select * from r where src is not null and dst is not null)
+select (select count(distinct id) from (select src as id from fine union all select dst from fine)) as n_ids, (select count(*) from (select distinct src, dst from fine where score > 0)) as n_positive,
+  (select count(*) from r where (src is null or dst is null) and (query_id is not null or cand_id is not null)) as unresolved""")
+def edge_task(spark, sf_dir):
+    edges = audit.edge_task(*_task(spark, sf_dir))
+    lost = edges.agg(F.sum(F.col("unresolved").cast("long")).alias("unresolved"))
+    ids, pairs = audit.endpoints(edges).agg(F.count(F.lit(1)).alias("n_ids")), audit.positives(edges).agg(F.count(F.lit(1)).alias("n_positive"))
+    return ids.join(F.broadcast(pairs)).join(F.broadcast(lost))
+
+
+@query(f"""with {_TASK}, {PAPERS}, i as (select coalesce(try_cast(trim(query_id) as bigint), corpus_id) as id from task left join mapping on doc_id = query_id where query_id is not null),
+u as (select corpusid from papers where length(abstract) >= 50 and citationcount >= 5), h as (select count(*) as overlap from (select distinct id from i) join u on corpusid = id)
+select count(distinct id) as n, sum(case when id is null then 1 else 0 end)::bigint as unresolved, (select overlap from h) as overlap, round(100.0 * (select overlap from h) / greatest(count(distinct id), 1), 2) as percent from i""")
+def task_overlap(spark, sf_dir):
+    rows, mapping = _task(spark, sf_dir)
+    return audit.paper_overlap(audit.task_ids(rows, mapping, "query_id"), audit.candidate_universe(views.papers(spark, sf_dir)))
+
+
+@query("select d.doc_id as corpusid from documents d join labels l on l.doc_id = d.doc_id and l.quality = 1")
+def fulltext_universe(spark, sf_dir):
+    """Papers whose DOI a good label has, in other case."""
+    papers = views.papers(spark, sf_dir).select("corpusid", F.concat(F.lit("10.1/Doc"), F.col("corpusid").cast("string")).alias("doi"))
+    fulltext = table(spark, sf_dir, "labels").select(F.concat(F.lit("10.1/dOC"), F.col("doc_id").cast("string")).alias("doi"), (F.col("quality") == 1).alias("has_full_text"))
+    return audit.fulltext_universe(papers, fulltext)
+
+
+@query(f"""with {PAPERS}, i as (select l_partkey as id from lineitem), c as (select id, coalesce(citationcount, 0)::bigint as count from i left join papers on corpusid = id),
+l as (select quantile_cont(count, 0.99) as cap, coalesce(quantile_cont(case when count > 0 then count end, 0.9), 0) as high from c)
+select id, count, round(ln(1 + least(count, cap)), 9) as log_count, count >= high as is_high from c, l""")
+def citation_impact(spark, sf_dir):
+    ids = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"))
+    rows = audit.impact(audit.citation_counts(ids, views.papers(spark, sf_dir)))
+    return rows.withColumn("log_count", F.round("log_count", 9))
+
+
 # --- scores -------------------------------------------------------------------------------------
 
 
@@ -582,3 +852,66 @@ def task_by_model(spark, sf_dir):
     rows = views.scores(spark, sf_dir).groupBy("task", "model").agg(F.avg("score").alias("score"))
     wide = scores.task_by_model(rows, [str(i) for i in range(8)])
     return wide.select("task", *[F.col(str(i)).alias(f"m{i}") for i in range(8)])
+
+
+_TASKS = [(t, c) for c, tasks in scores.CATEGORIES.items() for t in tasks]
+_RESULTS = f"""dim(i, task, category) as (values {', '.join(f"({i}, '{t}', '{c}')" for i, (t, c) in enumerate(_TASKS))}),
+raw as (select cast(user_id % 8 as varchar) as model, event_id % {len(_TASKS)} as i, avg(value) as score from events group by 1, 2),
+res as (select model, task, category, score from raw join dim using (i) where not (model = '3' and category = 'search')),
+prm as (select model, avg(score) as score from res where category = 'search' group by model having model <> '5'),
+cats as (select model, category, avg(score) as mean from res group by 1, 2)"""
+
+
+def _results(spark, sf_dir):
+    """events as result documents of eight models: every other task has its metrics under "complete"; one model lacks a category, one the reviewers' task."""
+    dim = spark.createDataFrame([(i, t, c, scores.METRICS[t]) for i, (t, c) in enumerate(_TASKS)], "i long, task string, category string, metric string")
+    events = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 8).cast("string").alias("model"), (F.col("event_id") % len(_TASKS)).alias("i")).agg(F.avg("value").alias("score"))
+    rows = events.join(F.broadcast(dim), "i").where(~((F.col("model") == "3") & (F.col("category") == "search")))
+    metric = F.create_map("metric", "score")
+    entry = F.when(F.col("i") % 2 == 0, F.to_json(F.create_map(F.lit("complete"), metric))).otherwise(F.to_json(metric))
+    entry = F.concat(F.lit('"'), "task", F.lit('": '), entry)
+    docs = rows.groupBy("model").agg(F.collect_list(entry).alias("entries"), F.avg(F.when(F.col("category") == "search", F.col("score"))).alias("r"))
+    reviewed = F.map_from_arrays(F.array(*map(F.lit, scores.REVIEWER_METRICS)), F.array_repeat("r", len(scores.REVIEWER_METRICS)))
+    last = F.when(F.col("r").isNotNull() & (F.col("model") != "5"), F.array(F.concat(F.lit(f'"{scores.REVIEWERS}": '), F.to_json(reviewed)))).otherwise(F.array().cast("array<string>"))
+    return docs.select("model", F.concat(F.lit("{"), F.array_join(F.concat("entries", last), ", "), F.lit("}")).alias("document"))
+
+
+@query(f"with {_RESULTS} select model, task, category, round(score, 6) as score from res")
+def primary_scores(spark, sf_dir):
+    return scores.primary_scores(_results(spark, sf_dir), scores.dimension(spark)).withColumn("score", F.round("score", 6))
+
+
+@query(f"""with {_RESULTS}, v as (select model, 'categories' as variant, sum(mean) / 4 as macro from cats group by model
+  union all select model, 'tasks', avg(score) from (select model, score from res union all select model, score from prm) group by model
+  union all select model, 'formats', avg(mean) from (select model, mean from cats union all select model, score from prm) group by model)
+select model, variant, round(macro, 6) as macro, rank() over (partition by variant order by round(macro, 9) desc) as place from v""")
+def score_variants(spark, sf_dir):
+    """Three ways to one number for each model, and the order that each gives."""
+    results = _results(spark, sf_dir)
+    own, extra = scores.primary_scores(results, scores.dimension(spark)), scores.reviewer_scores(results).where("score is not null")
+    out = None
+    for name, rows in (("categories", scores.macro_all_categories(own)), ("tasks", scores.task_mean(own, extra)), ("formats", scores.macro_with_extra(own, extra))):
+        part = scores.ordered(rows.withColumn("macro", F.round("macro", 9))).select("model", F.lit(name).alias("variant"), F.round("macro", 6).alias("macro"), F.col("place").cast("long").alias("place"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"with {_RESULTS} select model, round(avg(mean), 6) as macro from cats where mean > 0 group by model")
+def category_macro(spark, sf_dir):
+    own = scores.primary_scores(_results(spark, sf_dir), scores.dimension(spark))
+    return scores.macro_average(own).withColumn("macro", F.round("macro", 6))
+
+
+@query(f"""with {SCORES}, m as (select model, task, avg(score) as score from scores group by 1, 2), f as (select task from m group by task having count(*) >= 5 and stddev_pop(score) >= 1)
+select model, round(avg(score), 6) as macro from m where task in (select task from f) group by model""")
+def macro_without_stuck(spark, sf_dir):
+    rows = views.scores(spark, sf_dir).groupBy("task", "model").agg(F.avg("score").alias("score"))
+    return scores.task_mean(scores.without_stuck(rows)).withColumn("macro", F.round("macro", 6))
+
+
+@query(f"""with {SCORES}, m as (select model, task, avg(score) as score from scores group by 1, 2),
+b as (select *, row_number() over (partition by task order by score desc, model) as rn from m where model <> '0')
+select m.task, round(m.score, 6) as own, b.model as best_model, round(b.score, 6) as best, round(m.score - b.score, 6) as delta from m join b on b.task = m.task and rn = 1 where m.model = '0' and m.score < b.score order by m.score - b.score, m.task limit 5""")
+def greatest_losses(spark, sf_dir):
+    rows = views.scores(spark, sf_dir).groupBy("task", "model").agg(F.avg("score").alias("score"))
+    return scores.losses(scores.best_baseline(rows, "0")).withColumns({c: F.round(c, 6) for c in ("own", "best", "delta")})

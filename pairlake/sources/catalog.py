@@ -60,9 +60,9 @@ class Catalog:
         """A statement with positional or named parameters; stays a DataFrame until someone collects it."""
         return self.spark.sql(sql, args=args)
 
-    def table(self, name: str, query: DataFrame, path: str) -> DataFrame:
-        """Write a query's rows once (if they are not there) and read them as a view."""
-        query.write.mode("ignore").parquet(path)
+    def table(self, name: str, query: DataFrame, path: str, fresh: bool = False) -> DataFrame:
+        """Write a query's rows and read them as a view; rows that are there already stay, unless ``fresh``."""
+        query.write.mode("overwrite" if fresh else "ignore").parquet(path)
         df = self.spark.read.parquet(path)
         df.createOrReplaceTempView(name)
         return df

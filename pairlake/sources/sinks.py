@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +30,28 @@ def write_stats(stats: DataFrame, path: str) -> None:
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """file, samples of each readable shard."""
+    """file, bytes, samples of each shard, in the order of their paths; samples are null where a shard can't be read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    files = files.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("file"), F.col("length").alias("bytes"))
     df = spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").parquet(path)
-    return df.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("samples"))
+    counts = df.groupBy(F.regexp_extract(F.col("_metadata.file_path"), "([^/]*)$", 1).alias("file")).agg(F.count(F.lit(1)).alias("samples"))
+    return files.join(counts, "file", "left").orderBy("path").select("file", "bytes", "samples")
+
+
+def shard_index(shards: DataFrame, compression: str = "zstd", size_limit: int = 256 * 1024 * 1024) -> str:
+    """The index of token shards as a JSON document: version 2, an entry for each shard that can be read.
+
+    An index lists files, so its length is theirs; rows stay where they are.
+    """
+    entries = [
+        {
+            "column_names": ["attention_mask", "input_ids"], "compression": compression, "format": "parquet", "hashes": [],
+            "raw_data": {"basename": r["file"].rsplit(".", 1)[0], "bytes": 0, "hashes": {}}, "samples": r["samples"], "size_limit": size_limit,
+            "version": 2, "zip_data": {"basename": r["file"], "bytes": r["bytes"], "hashes": {}},
+        }
+        for r in shards.where("samples is not null").toLocalIterator()
+    ]
+    return json.dumps({"version": 2, "shards": entries}, indent=2)
 
 
 def merged(*parts: DataFrame) -> DataFrame:
