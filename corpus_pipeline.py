@@ -4,28 +4,28 @@ Each stage gets the rows that its predecessor kept and returns documents again,
 all their columns; the last returns their token ids. ``run`` writes each stage's
 rows to the shared folder as Parquet and reads them back for the next.
 
-Defined results: decisions take effect by a key of what they depend on (the text, in
-the first stage also doc_id, language and source), so each row gets its own, also where
-doc_ids are null or repeated. A null text has no words and goes in the first stage;
-later stages pass it on. The second stage keeps one row of each group of near copies.
-Extra columns pass through all stages but the last. An empty table gives no rows.
+``run`` removes what a stage staged on its way once the stage's own rows are written.
+
+Defined results: a decision is about a row or about its text, never about its doc_id:
+the first and the fourth stage carry each row through, the third goes by the text, so
+each row gets its own, also where doc_ids are null or repeated. The second stage keeps
+one row of each group of near copies; of rows equal in doc_id and text, whose other
+columns may differ, any one stands for all. A null text has no words and goes in the
+first stage; later stages pass it on. Extra columns pass through all stages but the
+last, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pairlake.llm import decontamination, jaccard_join, outliers, secrets, sentencepiece_backend
-from pairlake.llm.common import staged, table, text_key_column
+from pairlake.llm.common import discard, staged, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the outlier test keep."""
-    key = F.md5(F.to_json(F.struct("doc_id", "lang", "source", F.md5("text").alias("text"))))  # nulls are left out, so unlike any value
-    keyed = docs.withColumn("_key", key)
-    kept = outliers.judged(keyed.drop("doc_id").withColumnRenamed("_key", "doc_id")).where("kept").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(kept, "_key", "left_semi").select(docs.columns)
+    return outliers.kept_rows(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +40,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by a mark."""
-    found = secrets.keyed_scan(docs).where("spans <> ''").groupBy(F.col("text_key").alias("_key")).agg(F.min("spans").alias("_found_spans"))
-    marked = docs.withColumn("_key", text_key_column()).join(found, "_key", "left").drop("_key")
-    return secrets.redacted(marked, "_found_spans").select(docs.columns)
+    return secrets.redacted(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, parity, round_trip."""
+    """doc_id, n_tokens, ids, and what was verified of them."""
     return sentencepiece_backend.encoded(docs)
 
 
@@ -64,9 +62,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), written(spark)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = staged(docs, f"stage-{i}")
+            discard(spark, since=before, but=docs)
     return docs
