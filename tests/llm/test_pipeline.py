@@ -1,5 +1,7 @@
+import pytest
+
 import corpus_pipeline as p
-from pairlake.llm import decontamination, jaccard_join, outliers, secrets
+from pairlake.llm import common, decontamination, jaccard_join, outliers, secrets
 from pairlake.llm import sentencepiece_backend as sp
 
 DATA = "/root/testdata/sf0.001"
@@ -21,7 +23,11 @@ def test_run_equals_its_parts(spark):
     original = sp.backend(sp.MODEL).original
     for i in kept:
         want[i] = original.encode(secrets.redact(rows[i], spans[i]))
-    got = p.run(spark, DATA).collect()
+    before = common.written(spark)
+    run = p.run(spark, DATA)
+    assert common.written(spark) == before + 1  # the last stage's input
+    got = run.collect()
+    assert common.discard(spark, since=before) == 1 and common.written(spark) == before
     assert {r["doc_id"]: r["ids"] for r in got} == want and len(got) == len(want) and all(r["word_parity"] for r in got)
 
 
@@ -54,3 +60,28 @@ def test_rows_have_their_own_verdicts(spark, docs_of):
     secret = docs_of([(None, "a token = abcdefgh1234 x"), (3, "password=abcdefgh99"), (3, "bb cc api_key: zyxwvuts12"), (3, "plain"), (None, None)])
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in p.without_secrets(spark, secret, DATA).collect())
     assert got == [(False, 3, "[SECRET]"), (False, 3, "bb cc [SECRET]"), (False, 3, "plain"), (True, 0, ""), (True, 0, "a [SECRET] x")]
+
+
+def test_names_that_clash(spark, docs_of):
+    docs = docs_of([(1, "token = abcdefgh1234 " + " ".join(f"w{i}" for i in range(60))), (2, None)])
+    for name in ("_row", "_key", "_found_spans", "g", "comp", "text_key", "item", "kept", "distance"):
+        docs = docs.withColumn(name, docs["lang"])
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        assert [(r["doc_id"], r["_row"], r["comp"], r["kept"]) for r in out.where("doc_id = 1").collect()] == [(1, "en", "en", "en")], name
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": lambda self, key, default: default})()
+
+    with pytest.raises(RuntimeError):
+        common.checkpoint_dir(Session())
