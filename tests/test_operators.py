@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairlake.config import Config, override
+from pairlake.functions import sections
 from pairlake.functions.hashing import draw, uniform
 from pairlake.operators import audit, graph, mixer, negatives, retrieval, sampling, scores, signals, training
 
@@ -84,7 +85,7 @@ def test_intents_shift_unless_kept_together(spark):
 def test_section_pairs(spark):
     body = "word " * 60
     docs = spark.createDataFrame([(i, f"Introduction\n{body}{i}\nMethods\n{body}m{i}\nResults\n{body}r{i}") for i in range(6)], "doc_id long, text string")
-    got = signals.section_pairs(docs, 40).collect()
+    got = signals.section_pairs(sections.extract(docs), 40).collect()
     assert len(got) == 40
     for r in got:
         assert (r["anchor_section"] == r["positive_section"]) == (r["pair_type"] == "same_section")
@@ -222,3 +223,79 @@ def test_config():
     assert (c.mixer.seed, c.training.dims, c.contexts.min_chars) == (9, (4, 2), 60)
     with pytest.raises(KeyError):
         override(Config(), "mixer.nothing=1")
+
+
+def test_numbers_run_from_nought_in_each_group(spark):
+    rows = spark.createDataFrame([(i * 7, "a" if i % 3 else "b") for i in range(50)], "k long, g string")
+    got = sampling.numbered(rows, "k", "g", block=32).collect()
+    for g in "ab":
+        own = sorted((r["k"], r["idx"], r["n"]) for r in got if r["g"] == g)
+        assert [(i, n) for _, i, n in own] == [(i, len(own)) for i in range(len(own))]
+    assert [r["idx"] for r in sampling.numbered(rows.drop("g"), "k", block=8).orderBy("k").collect()] == list(range(50))
+
+
+def test_large_samples_equal_small_ones(spark, monkeypatch):
+    rows = spark.range(3_000)
+    want = [tuples(sampling.exact(rows, n, 1, "id")) for n in (0, 1, 700, 2_999, 3_000, 9_000)]
+    monkeypatch.setattr(sampling, "HEAD", -1)
+    assert [tuples(sampling.exact(rows, n, 1, "id")) for n in (0, 1, 700, 2_999, 3_000, 9_000)] == want
+
+
+def test_null_parts_of_a_key_have_their_own_draw(spark):
+    rows = spark.createDataFrame([(None, "a"), ("a", None), (None, None), ("a", "")], "x string, y string")
+    assert len({r[0] for r in rows.select(draw(1, "t", "x", "y")).collect()}) == 4
+
+
+def test_a_missing_gold_is_an_error(spark):
+    candidates = spark.createDataFrame([(1, [1.0, 0.0], "f"), (2, [0.0, 1.0], None)], "candidate_id long, vector array<double>, field string")
+    queries = spark.createDataFrame([(7, [1.0, 1.0], 1), (8, [1.0, 0.0], 5)], "query_id long, vector array<double>, gold long")
+    with pytest.raises(KeyError):
+        retrieval.dense_ranks(queries, candidates)
+    assert tuples(retrieval.dense_ranks(queries, candidates, missing="drop")) == [(7, 1, 2)]
+    got = retrieval.evaluated({"m": (queries.where("query_id = 7"), candidates)}).collect()
+    assert {(r["model"], r["pool"], r["queries"], r["pool_max"]) for r in got} == {("m", "full", 1, 2), ("m", "samefield", 1, 1)}
+
+
+def test_sparse_ranks_within_a_field(spark):
+    queries = spark.createDataFrame([(1, 10), (2, 11), (3, 13)], "query_id long, gold long")
+    scores_ = spark.createDataFrame([(1, 10, 1.0), (1, 11, 2.0), (1, 12, 3.0), (2, 11, -1.0), (3, 10, 1.0)], "query_id long, doc long, score double")
+    fields = spark.createDataFrame([(10, "a"), (11, "b"), (12, "a"), (13, None), (14, "b")], "doc long, field string")
+    assert tuples(retrieval.sparse_ranks(queries, scores_, 5)) == [(1, 3, 5), (2, 5, 5), (3, 2, 5)]
+    assert tuples(retrieval.sparse_ranks(queries, scores_, 5, fields)) == [(1, 2, 2), (2, 2, 2), (3, 1, 1)]
+
+
+def test_negatives_that_the_anchor_cites_can_go(spark):
+    pool = spark.createDataFrame([(i, "t", "a", "f", 0) for i in range(150)], "corpusid long, title string, abstract_preview string, field_of_study string, citationcount long")
+    pairs = spark.createDataFrame([(i, (i + 1) % 150) for i in range(150)], "citing long, cited long")
+    adjacency = spark.createDataFrame([(i, [(i + 2) % 150]) for i in range(150)], "citing long, cited_ids array<long>")
+    whole = negatives.hard_negatives(pairs, pool, adjacency)
+    cites = spark.createDataFrame([(i, j) for i in range(150) for j in range(0, 150, 2)], "citing long, cited long")
+    kept = negatives.hard_negatives(pairs, pool, adjacency, cited_by_anchor=cites)
+    assert tuples(kept) == [r for r in tuples(whole) if r[1] % 2] or tuples(kept.select("citing", "negative")) == sorted((r["citing"], r["negative"]) for r in whole.collect() if r["negative"] % 2)
+
+
+def test_edge_tasks(spark):
+    rows = spark.createDataFrame([("1", "2", "1"), (" 1 ", "2", "0.5"), ("s", "3", "-1"), ("s", "x", "2"), (None, None, "1"), (None, "4", "1"), ("5", "6", "bad"), ("5", "6", None)], "query_id string, cand_id string, score string")
+    mapping = spark.createDataFrame([("s", 9)], "doc_id string, corpus_id long")
+    edges = audit.edge_task(rows, mapping)
+    assert edges.where("unresolved").count() == 2 and tuples(audit.positives(edges)) == [(1, 2)]
+    assert tuples(audit.endpoints(edges)) == [(1,), (2,), (3,), (5,), (6,), (9,)]
+
+
+def test_impact(spark):
+    papers = spark.createDataFrame([(1, 10), (2, None), (3, 1_000)], "corpusid long, citationcount int")
+    counts = audit.citation_counts(spark.createDataFrame([(1,), (2,), (3,), (4,), (1,)], "id long"), papers)
+    assert tuples(counts) == [(1, 10), (1, 10), (2, 0), (3, 1_000), (4, 0)]
+    assert [r["id"] for r in audit.impact(counts).where("is_high").collect()] == [3]
+    assert all(r["is_high"] and r["log_count"] == 0 for r in audit.impact(counts.withColumn("count", F.lit(0).cast("long"))).collect())
+
+
+def test_section_pairs_of_few_documents(spark):
+    found = spark.createDataFrame([(1, "introduction", "i1"), (1, "methods", "m1"), (2, "introduction", "i2"), (3, "results", "r3")], "doc_id long, section_type string, text string")
+    rows = signals.section_pairs(found, 50).collect()
+    assert 0 < len(rows) <= 50
+    for r in rows:
+        same = r["anchor_section"] == r["positive_section"]
+        assert r["pair_type"] == ("same_section" if same else "cross_section_negative") and r["anchor"] != r["positive"]
+    assert signals.section_pairs(found.where("doc_id = 1"), 50).count() == 0 and signals.section_pairs(found.limit(0), 50).count() == 0
+    assert {r["section_type"]: r["n"] for r in signals.section_counts(found).collect()} == {"introduction": 2, "methods": 1, "results": 1, "papers": 3}

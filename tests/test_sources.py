@@ -17,6 +17,7 @@ def test_catalog(spark, tmp_path):
     assert spark.sql("select * from probe join s2ag_papers using (id)").count() == 1
     kept = c.table("kept", spark.range(4), str(tmp_path / "kept"))
     assert kept.count() == 4 and c.table("kept", spark.range(9), str(tmp_path / "kept")).count() == 4
+    assert c.table("kept", spark.range(9), str(tmp_path / "kept"), fresh=True).count() == 9
 
 
 def test_shards(spark, tmp_path):
@@ -33,6 +34,16 @@ def test_shards(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "tokens")).count() == 1
 
 
+def test_index_names_shards_that_cannot_be_read(spark, tmp_path):
+    path = str(tmp_path / "out")
+    sinks.write_shards(spark.range(6).coalesce(1), path, 3)
+    (tmp_path / "out/zz.parquet").write_bytes(b"no shard")
+    found = sinks.index(spark, path).collect()
+    assert [r["samples"] for r in found] == [3, 3, None] and found[-1]["file"] == "zz.parquet" and all(r["bytes"] > 0 for r in found)
+    index = json.loads(sinks.shard_index(sinks.index(spark, path)))
+    assert index["version"] == 2 and [x["samples"] for x in index["shards"]] == [3, 3]
+
+
 def test_results(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"x": 1}))
     (tmp_path / "baseline_results.json").write_text("{}")

@@ -1,5 +1,9 @@
 """Text functions on the cases of the data model."""
 
+import re
+import time
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +93,43 @@ def test_section_lengths(spark):
     got = apply(spark, sections.sections, make(199), make(200), make(16_001))
     assert [[s["section_type"] for s in g] for g in got] == [["discussion"], ["introduction", "discussion"], ["introduction", "discussion"]]
     assert len(got[2][0]["text"]) == 16_000
+
+
+def plain_clean(t):
+    """The cleaning chain in single steps, for texts without LaTeX."""
+    t = re.sub(r"\n\s*(?:References|REFERENCES|Bibliography|BIBLIOGRAPHY)\s*\n.*", "", t, flags=re.S)
+    t = re.sub(r"<[^>]+>", "", t)
+    for p in (r"This article has been cited by other articles in PMC", r"Articles from .* are provided here courtesy of", r"External link\. Please review our privacy policy", r"Go to:"):
+        t = re.sub(p, "", t, flags=re.I)
+    t = re.sub(r"(?:©|Copyright|All rights reserved|Licensed under|Published by).*?(?:\n|$)", "", t, flags=re.I)
+    t = re.sub(r"\S+@\S+\.\S+", "", re.sub(r"https?://\S+", "", t))
+    t = re.sub(r"[^\S\n]+", " ", unicodedata.normalize("NFKC", t))
+    return re.sub(r"\n{3,}", "\n\n", t).strip()
+
+
+def test_cleaning_equals_single_steps(spark):
+    import random
+
+    r = random.Random(1)
+    parts = ["a", "word", " ", "  ", "\n", "\n\n", "\t", "References", "Bibliography", "<p>", "<", ">", "</b >", "Go to:", "copyright 2", "©x", "http://x.y/z", "me@x.org", "@", "@@", ".", "x@y", "ﬁ", "½", "\u00a0", "\u2003", "é", "e\u0301", "😀"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(25))) for _ in range(600)] + ["", "   ", "\n References \n", "a@b.c", "@a@b.c", "a@b.", "x\n \n\nReferences\n\n y"]
+    want = [plain_clean(t) for t in texts]
+    assert apply(spark, text.clean_text, *texts) == want
+    rows = spark.createDataFrame([(i, t, "pmc") for i, t in enumerate(texts)] + [(len(texts), None, "arxiv")], "i int, t string, s string")
+    assert [x["cleaned"] for x in text.with_clean_text(rows, "t", "s").orderBy("i").collect()] == [*want, ""]
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t\n", "<", "x", "@", "1", "a@"])
+def test_long_runs_take_linear_time(spark, run):
+    t = "a" + run * (200_000 // len(run)) + "b"
+    begin = time.monotonic()
+    got = apply(spark, text.clean_text, t, "x. " + t + "c")
+    assert all(x[0] in "ax" and x[-1] in "bc" for x in got if x)
+    assert len(apply(spark, text.is_noise, run * 400, run * 400 + "z")) == 2
+    assert time.monotonic() - begin < 20
+
+
+def test_small_formats(spark):
+    rows = spark.createDataFrame([("T ", " A", None), (None, "A", "B"), ("T", None, " ")], "t string, a string, b string")
+    assert [x[0] for x in rows.select(text.candidate_text(F.col("t"), F.col("a"), F.col("b"))).collect()] == ["T. A", ". A B", "T."]
+    assert apply(spark, text.doi_key, "10.1/X", None) == ["https://doi.org/10.1/X", None]
