@@ -156,7 +156,7 @@ def section_pairs(found: DataFrame, target: int, seed: int = 42, positive_ratio:
     by = ["doc_id"] if per_source is None else ["doc_id", "source"]
     maps = found.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section_type", "text")))).alias("sections"))
     maps = maps if per_source is None else graph.first_k(maps, "source", ["doc_id"], per_source).drop("source")
-    members = sampling.numbered(maps, "doc_id")
+    members = sampling.numbered(maps, "doc_id").persist()  # sections are extracted once; the caller's session keeps them
     n = members.agg(F.max("n").alias("n")).where(F.col("n") > 1)  # one row
     drawn = found.sparkSession.range(1, 5 * target + 1).select(F.col("id").alias("draw")).join(F.broadcast(n))
     i, j = draw(seed, "first", "draw") % F.col("n"), draw(seed, "second", "draw") % (F.col("n") - 1)
