@@ -9,9 +9,11 @@ The suffix sums work in two levels (sums by block of lengths, then inside blocks
 so no task sees the whole histogram; its size depends on the longest text, not on
 the number of documents.
 
-Defined results: a null or empty text has length 0 and counts as a document. An
-empty table gives an empty histogram. Any code point is encoded; strings of
-special tokens are ordinary text.
+Defined results: a null or empty text has length 0 and counts as a document; a null
+doc_id is reported as such. An empty table gives an empty histogram. Any code point is
+encoded; strings of special tokens are ordinary text. A text with a run of white space of
+``LONG_RUN`` characters or more, on which the encoder's own splitter overflows its stack, is
+split by the same pattern here and its pieces encoded one by one, with the same ids.
 """
 
 from __future__ import annotations

@@ -76,3 +76,20 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 150: 150, 200: 150, 300: 150}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_the_greatest_id_is_an_id(spark, docs_of):
+    rows = [(j.NO_ID, "some words that are here"), (None, "some words that are here"), (None, "lone words"), (j.NO_ID, "other"), (None, None), (5, "x y z"), (j.NO_ID, "x y z")]
+    got = sorted(map(tuple, j.groups(docs_of(rows)).collect()), key=str)
+    want = [(j.NO_ID, 1, j.NO_ID), (None, 1, j.NO_ID), (None, 1, None), (j.NO_ID, 1, j.NO_ID), (None, 0, None), (5, 1, 5), (j.NO_ID, 1, 5)]
+    assert got == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("broadcast_rows", [50_000, 100])
+def test_components_of_hubs(spark, monkeypatch, broadcast_rows):
+    from pairlake.llm import components as c
+
+    monkeypatch.setattr(c, "BROADCAST_ROWS", broadcast_rows)
+    edges = [(10_000, i) for i in range(1, 900)] + [(20_000 + i, 20_001 + i) for i in range(60)] + [(899, 30_000), (30_000, 5)] + [(7, 7)]
+    got = {r["node"]: r["root"] for r in c.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[i] == 1 for i in [*range(1, 900), 10_000, 30_000]) and all(got[20_000 + i] == 20_000 for i in range(61)) and len(got) == 962

@@ -57,3 +57,10 @@ def test_radix_groups():
     for m, g in zip(member, group):
         found.setdefault(int(g), set()).add(int(m))
     assert sorted(map(sorted, found.values())) == [[0, 2, 5], [3, 6]]
+
+
+def test_the_greatest_id_is_an_id(spark, docs_of):
+    p = "a passage of more than fifty bytes that several documents have in common"
+    rows = [(repeats.NO_ID, p + " one"), (None, "two-" + p), (4, "three " + p), (repeats.NO_ID, "lone")]
+    got = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in repeats.repeats(docs_of(rows)).collect()}
+    assert got == {(repeats.NO_ID, len(p) + 4): len(p), (None, len(p) + 4): len(p), (4, len(p) + 6): 0, (repeats.NO_ID, 4): 0}
