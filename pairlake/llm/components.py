@@ -25,6 +25,8 @@ def _state(edges: DataFrame) -> tuple:
 
 def _with_least(pairs: DataFrame, n: int) -> DataFrame:
     """Edges (u, v) with m, the least v of their u; ``n`` is about the number of edges."""
+    if n <= BROADCAST_ROWS:  # no hub among so few can weigh on a task
+        return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")), "u")
     least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
     many = max(256, 8 * n // BROADCAST_ROWS)  # fewer than BROADCAST_ROWS nodes have so many edges
     hubs = cut(least.where(F.col("degree") >= many).select("u", F.col("m").alias("hub_m")))

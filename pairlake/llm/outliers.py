@@ -7,8 +7,8 @@ source. Points are standardised by medians and MADs; three deterministic starts
 (these alone, the covariance of hyperbolic tangents and that of spatial signs, as in
 Hubert, Rousseeuw and Verdonck, "A deterministic algorithm for robust location and
 scatter", 2012) each take concentration steps, mean and covariance of the 75 % of
-points nearest under the last estimate, until no determinant has fallen below its
-least for two steps, and a group keeps the estimate of the least determinant. The square of each statistic's
+points nearest under the last estimate, three at least, until a step in which no
+determinant falls below its least, and a group keeps the estimate of the least one. The square of each statistic's
 floor is added to its variance, so that determinants stay above zero and a statistic
 that hardly varies rejects nothing by itself. A document whose Mahalanobis distance,
 scaled to a chi-squared quantile, exceeds the cutoff is rejected; one at the cutoff
@@ -41,8 +41,8 @@ SYMBOLS = r"[#*$%&|<>]"
 #: Share of a group that the estimate is taken from, and the chi-squared quantiles with five degrees of
 #: freedom at that share and at 0.999999: fixed values.
 SHARE, CHI_AT_SHARE, CUTOFF = 0.75, 6.6257, 35.888
-#: Starts of each group, most concentration steps, and the fall of a log-determinant that calls for another step.
-STARTS, MOST_STEPS, FALL = 3, 12, 1e-6
+#: Starts of each group, concentration steps that all take and that any may take, and the fall of a log-determinant that calls for another.
+STARTS, FIRST_STEPS, MOST_STEPS, FALL = 3, 3, 10, 1e-6
 LEAST_GROUP = 50
 #: Least standard deviations of the statistics, so that one that hardly varies in a group cannot reject by itself.
 FLOORS = (0.35, 0.05, 0.04, 0.5, 0.1)
@@ -238,18 +238,17 @@ def estimates(rows: DataFrame) -> DataFrame:
     points = points.select("g", *[f"z{i}" for i in range(D)], *[f"f{i}" for i in range(D)])
     started = points.withColumn("start", F.explode(F.array(*map(F.lit, range(STARTS)))))
     cells = lambda of, est, keys: beside(of, est, keys, sent).withColumn("cell", _cell(F.expr(_DISTANCE))).drop(*_numbers())
-    est, keys, found, stale = _first_estimates(points), ["g", "start"], [], 0
+    est, keys, found = _first_estimates(points), ["g", "start"], []
     for step in range(MOST_STEPS):
         seen = cells(started, est, keys)
         limit = _quantile(seen, keys, F.col("cell"), SHARE)
         est = cut(_estimate(beside(seen, limit, keys, sent).where(F.col("cell") <= F.col("q"))))
-        # points in the cell at the limit come and go together, so a determinant can also rise by a little
-        if step > 1:
-            before = reduce(DataFrame.unionByName, found).groupBy(*keys).agg(F.min("logdet").alias("was"))
-            stale = stale + 1 if est.join(before, keys).where(F.col("was") - F.col("logdet") > FALL).isEmpty() else 0
         found.append(est)
-        if stale == 2:
-            break
+        if step >= FIRST_STEPS:
+            # points in the cell at the limit come and go together, so a determinant can also rise by a little
+            before = reduce(DataFrame.unionByName, [e.select(*keys, "logdet") for e in found[:-1]]).groupBy(*keys).agg(F.min("logdet").alias("was"))
+            if est.join(before, keys).where(F.col("was") - F.col("logdet") > FALL).isEmpty():
+                break
     numbers = F.min_by(F.struct(*_numbers()), F.struct("logdet", "start"))
     best = cut(reduce(DataFrame.unionByName, found).groupBy("g").agg(numbers.alias("e")).select("g", "e.*"))
     limit = _quantile(cells(points, best, "g"), ["g"], F.col("cell"), SHARE)

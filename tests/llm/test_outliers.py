@@ -66,7 +66,7 @@ def test_distances_equal_numpy(spark):
     floor = np.diag((floors / s) ** 2)
     norm = np.sqrt((z * z).sum(axis=1, keepdims=True))
     firsts = [np.eye(5), np.cov(np.tanh(z).T, bias=True) + floor, np.cov((z / norm * 5**0.5).T, bias=True) + floor]
-    now, best, stale = [(np.zeros(5), first) for first in firsts], [(np.inf, None, None)] * 3, 0
+    now, best = [(np.zeros(5), first) for first in firsts], [(np.inf, None, None)] * 3
     for step in range(outliers.MOST_STEPS):
         fell = False
         for k, (mean, cov) in enumerate(now):
@@ -77,10 +77,9 @@ def test_distances_equal_numpy(spark):
             det = np.linalg.slogdet(now[k][1])[1]
             if best[k][0] - det > outliers.FALL:
                 best[k], fell = (det, *now[k]), True
-        stale = 0 if fell or step < 2 else stale + 1
-        if stale == 2:
+        if step >= outliers.FIRST_STEPS and not fell:
             break
-    assert step > 3 and len({round(b[0], 6) for b in best}) > 1  # the starts end at different estimates
+    assert step >= 3 and len({round(b[0], 6) for b in best}) > 1  # the starts end at different estimates
     _, mean, cov = min(best, key=lambda x: x[0])
     centred = z - mean
     d = np.einsum("ij,jk,ik->i", centred, np.linalg.inv(cov), centred)
