@@ -17,6 +17,8 @@ last, whatever their names. An empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pairlake.llm import decontamination, jaccard_join, outliers, secrets, sentencepiece_backend
@@ -68,4 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs = staged(docs, f"stage-{i}")
             discard(spark, since=before, but=docs)
+            gc.collect()  # so that Spark's cleaner sees what the stage's plans held: shuffles, checkpoints, broadcasts
+            spark.sparkContext._jvm.System.gc()
     return docs
