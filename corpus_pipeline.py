@@ -47,7 +47,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and what was verified of them."""
-    return sentencepiece_backend.encoded(docs)
+    return sentencepiece_backend.encoded(docs, whole=True)
 
 
 STAGES = [

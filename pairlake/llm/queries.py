@@ -31,7 +31,7 @@ def op2_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_backend.encoded(table(spark, sf_dir, "documents"), keep_ids=False)
+    return sentencepiece_backend.encoded(table(spark, sf_dir, "documents"), keep_ids=False, whole=True)
 
 
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

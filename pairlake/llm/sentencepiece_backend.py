@@ -4,16 +4,21 @@ The model's protobuf is parsed here (four wire types, five messages), and rebuil
 a tokenizers pipeline: normaliser (the precompiled character map, white-space rules,
 dummy prefix), metaspace marker, the model (unigram with its scores, or BPE whose
 merges follow from the scores) and byte fallback, and a decoder that undoes them.
-Batches are encoded by the library's own threads.
-
-When no piece has a marker after another character, no piece can span the start of
-a word, so the encoding of a text is the encodings of its words one after another.
-A worker then encodes each distinct word once, and parity with the original library
-and decoding are verified on these distinct words (``word_parity`` and
-``word_round_trip`` tell whether that holds for all words of a text). That words
-are independent is verified too: one text in ``SAMPLED``, by a checksum of the text,
-goes through both libraries as a whole (``text_parity``, ``text_round_trip``; null for
-the others). For other models a text is one word, so all four are about whole texts.
+Batches are encoded by the library's own threads, in a Spark worker as many as its task
+has cores.
+
+With ``whole``, as the query and the pipeline ask, each text goes through both libraries
+as a whole: its ids are the encoding of the whole text, ``text_parity`` tells whether the
+original library gives the same, ``text_round_trip`` whether decoding them gives the text
+back. A text is then one word, so ``word_parity`` and ``word_round_trip`` say the same.
+
+Without it: when no piece has a marker after another character, no piece can span the
+start of a word, so the encoding of a text is the encodings of its words one after
+another. A worker then encodes each distinct word once, and parity with the original
+library and decoding are verified on these distinct words (``word_parity`` and
+``word_round_trip`` tell whether that holds for all words of a text); only one text in
+``SAMPLED``, by a checksum of the text, is verified as a whole (``text_parity``,
+``text_round_trip``; null for the others). For other models a text is one word anyway.
 
 A worker remembers words in two generations of ``KNOWN_BYTES`` / 2 each (when the
 younger is full, the older goes; a word that is used again is young again), and none of
@@ -28,6 +33,7 @@ encoded. Extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,6 +43,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,8 +159,8 @@ def splits_at_marks(model: Model) -> bool:
     return not any(re.search(f"[^{MARK}]{MARK}", piece) for piece, _, kind in model.pieces if kind != CONTROL)
 
 
-def build(model: Model):
-    """The tokenizers pipeline of a model."""
+def build(model: Model, split: bool = True):
+    """The tokenizers pipeline of a model; with ``split``, it takes a text apart where pieces cannot meet."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     vocab = {p: i for i, (p, _, _) in enumerate(model.pieces)}
@@ -170,9 +177,9 @@ def build(model: Model):
         steps.append(normalizers.Prepend(MARK))
     steps.append(normalizers.Replace(" ", MARK))
     tokenizer.normalizer = normalizers.Sequence(steps)
-    if splits_at_marks(model):
+    if split and splits_at_marks(model):
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
-    undo = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+    undo = [decoders.Metaspace(MARK, "never", False), decoders.ByteFallback(), decoders.Fuse()]
     if model.add_dummy_prefix:
         undo.append(decoders.Strip(" ", 1, 0))
     tokenizer.decoder = decoders.Sequence(undo)
@@ -182,13 +189,13 @@ def build(model: Model):
 class Backend:
     """Encoder and decoder of one model file, with the original library beside it for parity."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, whole: bool = False) -> None:
         with open(path, "rb") as f:
             raw = f.read()
         self.model = parse(raw)
         self.raw = raw
-        self.tokenizer = build(self.model)
-        self.by_word = splits_at_marks(self.model) and not self.model.charsmap and not self.model.remove_extra_whitespaces and self.model.add_dummy_prefix
+        self.tokenizer = build(self.model, split=not whole)
+        self.by_word = not whole and splits_at_marks(self.model) and not self.model.charsmap and not self.model.remove_extra_whitespaces and self.model.add_dummy_prefix
         self._original = None
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
@@ -213,7 +220,7 @@ class Backend:
     def words(self, text: str) -> list[str]:
         """The parts that encode independently, without the marker that either library adds to each."""
         if not self.by_word:
-            return [text] if text else []
+            return [text]
         if text and "  " not in text and text[0] != " " and text[-1] != " ":
             return text.split(" ")
         # a text is a dummy marker and itself; its parts start where spaces do
@@ -262,8 +269,11 @@ class Backend:
 
 
 @lru_cache(maxsize=2)
-def backend(path: str) -> Backend:
-    return Backend(path)
+def backend(path: str, whole: bool = False) -> Backend:
+    task = TaskContext.get()
+    if task:  # read when the library's threads start
+        os.environ.setdefault("RAYON_NUM_THREADS", str(task.cpus()))
+    return Backend(path, whole)
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -279,26 +289,30 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         i = j
 
 
-def encoded(docs: DataFrame, path: str = MODEL, keep_ids: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, path: str = MODEL, keep_ids: bool = True, whole: bool = False) -> DataFrame:
     """documents -> doc_id, n_tokens, ids, word_parity, word_round_trip, text_parity, text_round_trip.
 
     ``path`` must exist on every executor. Without ``keep_ids``, ids_crc32 (of the ids
-    as little-endian 32-bit words, unsigned) stands for ids.
+    as little-endian 32-bit words, unsigned) stands for ids. With ``whole``, every text is
+    encoded and verified as a whole.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = backend(path)
+        own = backend(path, whole)
         for batch in batches:
             for part in _parts(batch):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 packed, parity, back = own.encode_packed(texts)
-                whole = [own.whole(t, p) if zlib.crc32(t.encode("utf-8", "surrogatepass")) % SAMPLED == 0 else (None, None) for t, p in zip(texts, packed)]
+                if whole:
+                    checked = zip(parity, back)
+                else:
+                    checked = [own.whole(t, p) if zlib.crc32(t.encode("utf-8", "surrogatepass")) % SAMPLED == 0 else (None, None) for t, p in zip(texts, packed)]
                 sizes = np.array([len(x) // 4 for x in packed], np.int32)
                 if keep_ids:
                     out = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.frombuffer(b"".join(packed), "<i4"))
                 else:
                     out = pa.array([zlib.crc32(x) for x in packed], pa.int64())
-                columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), out, *[pa.array(x, pa.bool_()) for x in (parity, back, *zip(*whole))]]
+                columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), out, *[pa.array(x, pa.bool_()) for x in (parity, back, *zip(*checked))]]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids" if keep_ids else "ids_crc32", *VERIFIED])
 
     kind = "ids array<int>" if keep_ids else "ids_crc32 long"

@@ -1,11 +1,15 @@
 import random
 import struct
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
 
+import corpus_pipeline
+from pairlake.llm import queries
 from pairlake.llm import sentencepiece_backend as sp
 
 CASES = ["", " ", "   ", "  a", "a  b ", "a b  ", "tab\there\n\nx", "emoji 😀 漢字", "\x00z", "éé", "x" * 5_000, "<s> </s> <unk>", "<0x0A> a", "ﬁ ½"]
@@ -89,3 +93,26 @@ def test_rows(spark, docs_of):
     many = [(i, f"text number {i}") for i in range(600)] + [(None, "a")]
     got = sp.encoded(docs_of(many)).collect()
     assert 2 < sum(r["text_parity"] is not None for r in got) < 40 and all(r["text_parity"] in (True, None) and r["text_round_trip"] in (True, None) for r in got)
+
+
+def test_query_and_pipeline_verify_every_whole_text(spark, docs_of, tmp_path):
+    """No text is left to a sample: each has its verdicts, and a text that does not round-trip is always told."""
+    rows = [(i, f"text number {i}  of \n many {'é漢 ' * (i % 3)}") for i in range(150)] + [(150, None), (151, ""), (None, "a"), (3, "again 3")]
+    rows += [(200 + i, f"mark\u2581{i}") for i in range(50)]
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    original = sp.backend(sp.MODEL).original
+    want = Counter((i, zlib.crc32(np.array(original.encode(t or ""), "<i4").tobytes()), True, "\u2581" not in (t or "")) for i, t in rows)
+    got = queries.op3_sentencepiece(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["ids_crc32"], r["text_parity"], r["text_round_trip"]) for r in got) == want
+    got = corpus_pipeline.token_ids(spark, docs_of(rows), str(tmp_path)).collect()
+    assert Counter((r["doc_id"], zlib.crc32(np.array(r["ids"], "<i4").tobytes()), r["text_parity"], r["text_round_trip"]) for r in got) == want
+
+
+def test_whole_texts_whose_words_are_not_independent_are_told(monkeypatch):
+    """An encoder that goes wrong only across words passes word by word, not as a whole."""
+    encode = sp.Backend.encode
+    monkeypatch.setattr(sp.Backend, "encode", lambda self, texts: [ids + ids[-1:] if " " in t else ids for t, ids in zip(texts, encode(self, texts))])
+    assert sp.Backend(sp.MODEL).encode_packed(["one", "one two"])[1:] == ([True, True], [True, True])
+    own = sp.Backend(sp.MODEL, whole=True)
+    assert own.encode_packed(["one", "one two", ""])[1:] == ([True, False, True], [True, False, True])
+    assert own.words("") == [""] and own.words(" a  b ") == [" a  b "]
