@@ -1,8 +1,10 @@
 """Results on odd texts, and steps that must stay small on larger tables."""
 
 import duckdb
+import pytest
 
 from pairlake import queries
+from pairlake.operators import graph, texts
 
 
 def test_candidates_of_blank_and_odd_texts(spark, tmp_path):
@@ -14,3 +16,25 @@ def test_candidates_of_blank_and_odd_texts(spark, tmp_path):
     duck.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     got = {tuple(r) for r in queries.candidate_texts(spark, str(tmp_path)).select("doc_id", "candidate").collect()}
     assert got == set(duck.execute(f"select doc_id, candidate from ({queries.ORACLE_SQL['candidate_texts']})").fetchall())
+
+
+@pytest.mark.parametrize("block", [40, 1_000])
+def test_texts_of_cells_are_those_of_joins(spark, monkeypatch, block):
+    monkeypatch.setattr(texts, "BLOCK_BYTES", block)
+    side = lambda c, t: spark.createDataFrame([(i, f"{t}{i}") for i in range(9)] + [(3, f"{t} again"), (None, "x"), (5, None)], f"{c} long, {t} string")
+    rows = spark.createDataFrame([(i % 7, i * i % 11, i % 5) for i in range(40)] + [(1, 0, 0), (None, 1, 1), (1, None, 2)], "a long, b long, c long")
+    a, b, c = side("a", "p"), side("b", "q"), side("c", "r")
+    known = lambda d: d.dropna()
+    for got, want in ((texts.with_texts(rows.select("a", "b"), a, b), rows.select("a", "b").join(known(a), "a").join(known(b), "b")), (texts.with_texts(rows, a, b, c), rows.join(known(a), "a").join(known(b), "b").join(known(c), "c"))):
+        assert got.count() and sorted(map(str, got.select(*sorted(got.columns)).collect())) == sorted(map(str, want.select(*sorted(got.columns)).collect()))
+
+
+def test_cocitation_gets_tasks_by_its_edges(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_PAIRS", 10)
+    edges = spark.createDataFrame([(i % 9, i * i % 13, i) for i in range(60)], "citing long, cited long, citationid long")
+    pairs = graph.cocitation(edges)
+    assert pairs.rdd.getNumPartitions() == 27
+    refs = {}
+    for r in edges.orderBy("citationid").collect():
+        refs.setdefault(r["citing"], []).append(r["cited"])
+    assert sorted(map(tuple, pairs.collect())) == sorted({(x, y) for v in refs.values() for x in v[:10] for y in v[:10] if x < y})
