@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -58,12 +59,20 @@ def chunked(rows: DataFrame, max_length: int, stride: int, cls: int, sep: int, p
 def masked(rows: DataFrame, key: str, mask_id: int, vocabulary: int, special: tuple[int, ...], share: float = 0.3, seed: int = 42) -> DataFrame:
     """input_ids and labels for masked language modelling: of the chosen, 80 % masked, 10 % random, 10 % kept."""
 
+    def h(tag: str, i: Column) -> Column:
+        return F.md5(F.concat_ws(":", F.lit(f"{seed}:{tag}"), F.col(key).cast("string"), i.cast("string")).cast("binary"))
+
     def u(tag: str, i: Column) -> Column:
-        return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:{tag}"), F.col(key).cast("string"), i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+        return F.conv(F.substring(h(tag, i), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+    def under(tag: str, i: Column, share: float) -> Column:
+        """u < share, by the digits."""
+        limit = math.ceil(share * (1 << 32))
+        return F.lit(True) if limit >= 1 << 32 else h(tag, i) < F.lit(f"{max(0, limit):08x}")
 
-    chosen = F.transform("input_ids", lambda x, i: (F.get("attention_mask", i) == 1) & ~x.isin(*special) & (u("choose", i) < share))
+    chosen = F.transform("input_ids", lambda x, i: (F.get("attention_mask", i) == 1) & ~x.isin(*special) & under("choose", i, share))
     rows = rows.withColumn("chosen", chosen)
-    new = F.transform("input_ids", lambda x, i: F.when(~F.get("chosen", i), x).when(u("kind", i) < 0.8, F.lit(mask_id)).when(u("half", i) < 0.5, F.floor(u("word", i) * vocabulary).cast("int")).otherwise(x))
+    new = F.transform("input_ids", lambda x, i: F.when(~F.get("chosen", i), x).when(under("kind", i, 0.8), F.lit(mask_id)).when(under("half", i, 0.5), F.floor(u("word", i) * vocabulary).cast("int")).otherwise(x))
     labels = F.transform("input_ids", lambda x, i: F.when(F.get("chosen", i), x).otherwise(F.lit(IGNORED)))
     return rows.withColumns({"labels": labels, "masked_ids": new}).drop("input_ids", "chosen").withColumnRenamed("masked_ids", "input_ids")
 
