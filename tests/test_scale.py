@@ -6,6 +6,7 @@ import unicodedata
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 
@@ -38,6 +39,43 @@ def test_texts_of_cells_are_those_of_joins(spark, monkeypatch, block):
         assert got.count() and sorted(map(str, got.select(*sorted(got.columns)).collect())) == sorted(map(str, want.select(*sorted(got.columns)).collect()))
 
 
+@pytest.mark.parametrize(("few", "size"), [(True, 40), (True, 1_000), (False, 40)])
+def test_texts_of_cells_keep_other_columns(spark, monkeypatch, few, size):
+    for name in ("BLOCK_BYTES", "FEW_BYTES", "GATHERED", "MESSAGE"):
+        monkeypatch.setattr(texts, name, size)
+    side = lambda c, t: spark.createDataFrame([(i, f"{t}{i} é") for i in range(9)] + [(3, f"{t} again"), (None, "x"), (5, None)], f"{c} long, {t} string")
+    edges = [(i % 7, i * i % 11, i, i % 3 == 0) for i in range(40)] + [(1, 0, 5, None), (1, 0, 5, None), (1, 0, None, True), (None, 1, 1, True), (1, None, 2, False)]
+    rows = spark.createDataFrame(edges, "a long, b long, number long, flag boolean")
+    got, want = texts.with_texts(rows, side("a", "p"), side("b", "q"), few=few), rows.join(side("a", "p").dropna(), "a").join(side("b", "q").dropna(), "b")
+    found = got.collect()
+    assert found and sorted(map(str, got.select(*sorted(got.columns)).collect())) == sorted(map(str, want.select(*sorted(want.columns)).collect()))
+    assert dict(got.dtypes) == dict(want.dtypes)
+    empty = texts.with_texts(rows.where("false"), side("a", "p"), side("b", "q"), few=few)
+    assert empty.collect() == [] and empty.columns == got.columns
+
+
+def test_rows_of_a_text_leave_a_cell_side_by_side(spark):
+    side = lambda c, t: spark.range(30).selectExpr(f"id {c}", f"'{t}' || id {t}")
+    rows = spark.range(300).selectExpr("id % 30 a", "id * 7 % 29 b", "id number")
+    where = texts.with_texts(rows, side("a", "p"), side("b", "q"), few=True).rdd.mapPartitions(lambda x: [[r["b"] for r in x]]).collect()
+    runs = [b for p in where for i, b in enumerate(p) if i == 0 or p[i - 1] != b]
+    assert sorted(runs) == list(range(29)) and sum(map(len, where)) == 300
+
+
+def test_texts_are_packed_on_their_way(spark):
+    words = np.random.default_rng(0).choice([f"word{i}" for i in range(400)], (600, 200))
+    ids = pa.array([[{"b": i}] if i % 2 else None for i in range(600)], pa.list_(pa.struct([("b", pa.int64())])))
+    sent = pa.table({"cell": pa.array([i % 3 for i in range(600)], pa.int32()), "kind": pa.array([i % 2 for i in range(600)], pa.int32()), "id": range(600), "text": [" ".join(w) for w in words], "ids": ids})
+    packed = list(texts._packed(sent, 100_000))
+    assert 6 < len(packed) < 30 and sum(b.nbytes for b in packed) < sent.nbytes / 2.5
+    back = [(b["cell"][0].as_py(), b["kind"][0].as_py(), *r.values()) for b in packed for r in pa.ipc.open_stream(b["message"][0].as_buffer()).read_all().to_pylist()]
+    assert sorted(back, key=lambda r: r[2]) == [tuple(r.values()) for r in sent.to_pylist()]
+
+
+def test_improved_papers_take_up_texts_packed_and_only_in_pairs(spark):
+    assert all(x in plan(queries.improves_over_pairs(spark, DATA)) for x in ("MapInArrow", "LeftSemi"))
+
+
 def test_cocitation_gets_tasks_by_its_edges(spark, monkeypatch):
     monkeypatch.setattr(graph, "TASK_PAIRS", 10)
     edges = spark.createDataFrame([(i % 9, i * i % 13, i) for i in range(60)], "citing long, cited long, citationid long")
